@@ -1,10 +1,16 @@
 """The registered queries of this subpackage and their SQL."""
 
 from tastegrid.llm.exhaustive_topk import OP5_SQL, op5_exact_topk
+from tastegrid.llm.html_text import op7_html_text
 from tastegrid.llm.simhash import op4_simhash
+from tastegrid.llm.token_files import op1_token_files
+from tastegrid.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op4_simhash": op4_simhash,
+    "op1_token_files": op1_token_files,
+    "op7_html_text": op7_html_text,
+    "op8_toxicity": op8_toxicity,
     "op5_exact_topk": op5_exact_topk,
 }
 
