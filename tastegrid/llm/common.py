@@ -32,7 +32,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")  # once the table is written, its shuffle files are of no more use
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
