@@ -1,5 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
+from tastegrid.llm.byte_bpe import op9_byte_bpe
 from tastegrid.llm.exhaustive_topk import OP5_SQL, op5_exact_topk
 from tastegrid.llm.html_text import op7_html_text
 from tastegrid.llm.licenses import OP6_SQL, op6_licenses
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_licenses": op6_licenses,
     "op7_html_text": op7_html_text,
     "op8_toxicity": op8_toxicity,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op5_exact_topk": op5_exact_topk,
 }
