@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm.common import batches, table
+from tastegrid.llm.common import batches, table, written
 from tastegrid.llm.pieces import chunks
 
 #: The logit of each bucket, that of an empty bag, and the cut between the classes.
@@ -89,7 +89,7 @@ def _most(first: np.ndarray, doc_at: np.ndarray, z: np.ndarray, floor: float) ->
     return best
 
 
-def train(texts: list[bytes], toxic: np.ndarray, dim: int = 4, steps: int = 120, rate: float = 0.2, min_docs: int = 8, seed: int = 1) -> Model | None:
+def train(texts: list[bytes], toxic: np.ndarray, dim: int = 4, steps: int = 120, rate: float = 0.2, min_docs: int | None = None, seed: int = 1) -> Model | None:
     """Fit to documents and their labels; every third one only sets the scale of the score."""
     if not len(toxic) or toxic.all() or not toxic.any():
         return None
@@ -111,6 +111,7 @@ def train(texts: list[bytes], toxic: np.ndarray, dim: int = 4, steps: int = 120,
     n_toxic, n_docs = np.bincount(word, label[doc], v), np.bincount(word, minlength=v).astype(float)
     b, w, _ = grams(_buffer(list(place))[0])
     size = np.bincount(w, minlength=v) + PRIOR
+    min_docs = min(8, max(2, len(own) // 100)) if min_docs is None else min_docs
     # a bucket of few documents could only learn the sample by heart: it stays at zero
     often = np.flatnonzero(np.bincount(b, n_docs[w], 1 << BITS) >= min_docs)
     taught = np.isin(b, often)
@@ -175,10 +176,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, clean_docs: int = 1000, toxic_docs: int = 500, sample_chars: int = 4_000) -> Model | None:
     """Fit to at most clean_docs and toxic_docs labelled documents that are not held out."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    near = docs.filter(F.length("text").between(1, sample_chars)).select("doc_id", F.col("text").cast("binary").alias("text")).join(known, "doc_id")
+    fits = F.length("text").between(1, sample_chars)
+    near = written(docs.filter(fits).select("doc_id").join(known, "doc_id"), "toxicity-labelled")
     rows = []
     for label, most in ((0, clean_docs), (1, toxic_docs)):
-        rows += near.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", F.md5("text")).limit(most).select("text", "toxic").collect()
+        ids = near.filter(F.col("toxic") == label).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        own = docs.filter(fits).join(F.broadcast(ids), "doc_id")  # at most `most` ids
+        rows += own.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).select(F.col("text").cast("binary").alias("text"), F.lit(label).alias("toxic")).collect()
     return train([bytes(r.text) for r in rows], np.array([r.toxic == 1 for r in rows], bool))
 
 
