@@ -5,6 +5,7 @@ from tastegrid.llm.exhaustive_topk import OP5_SQL, op5_exact_topk
 from tastegrid.llm.html_text import op7_html_text
 from tastegrid.llm.licenses import OP6_SQL, op6_licenses
 from tastegrid.llm.mixing import OP3_SQL, op3_mixing
+from tastegrid.llm.nn_descent import op2_nn_descent
 from tastegrid.llm.simhash import op4_simhash
 from tastegrid.llm.suffix_dedup import op10_suffix_dedup
 from tastegrid.llm.token_files import op1_token_files
@@ -13,6 +14,7 @@ from tastegrid.llm.toxicity import op8_toxicity
 QUERIES = {
     "op4_simhash": op4_simhash,
     "op1_token_files": op1_token_files,
+    "op2_nn_descent": op2_nn_descent,
     "op3_mixing": op3_mixing,
     "op6_licenses": op6_licenses,
     "op7_html_text": op7_html_text,
