@@ -155,7 +155,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, threshold: int = 3) ->
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, threshold: int = 3) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 3, threshold: int = 3) -> DataFrame:
     """docs with one row of each group of near copies: that with the group's smallest doc_id.
 
     Rows without doc_id stay, as no other row can stand for them.
