@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastegrid.operators.vectors import list_keys
@@ -21,3 +21,56 @@ def suggest_dna(queries: DataFrame, manual: DataFrame, limits: dict[str, int] |
     top = n.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= most)
     own = manual.select("owner", F.when(F.col("type") == "genre", "g").when(F.col("type") == "keyword", "k").otherwise("o").alias("prefix"), "id")
     return top.join(own, ["owner", "prefix", "id"], "left_anti")
+
+
+# The filters a definition may hold.
+FILTER_KEYS = (
+    "with_genres without_genres with_keywords without_keywords with_cast with_crew with_people with_companies with_networks with_origin_country with_original_language with_watch_providers watch_region "
+    "vote_average.gte vote_average.lte vote_count.gte vote_count.lte primary_release_date.gte primary_release_date.lte first_air_date.gte first_air_date.lte air_date.gte air_date.lte with_runtime.gte with_runtime.lte "
+    "certification.lte certification_country sort_by with_status"
+).split()
+
+
+def fingerprint(filters: Column, secret: tuple[str, ...] = ("api_key",)) -> Column:
+    """SHA-256 of the filters as JSON in order of key, without empty values and secrets."""
+    kept = F.map_filter(filters, lambda k, v: v.isNotNull() & (v != "") & ~k.isin(*secret))
+    return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(kept)))), 256)
+
+
+def clamp_filters(filters: Column) -> Column:
+    """Known filters only; averages within 0 to 10, counts whole and not negative."""
+    known = F.map_filter(filters, lambda k, _: k.isin(*FILTER_KEYS))
+
+    def own(k: Column, v: Column) -> Column:
+        n = v.try_cast("double")
+        average = F.greatest(F.lit(0.0), F.least(F.lit(10.0), n)).cast("string")
+        return F.when(k.startswith("vote_average"), average).when(k.startswith("vote_count"), F.greatest(F.lit(0), F.floor(n)).cast("string")).otherwise(v)
+
+    return F.transform_values(known, own)
+
+
+def parts(text: Column) -> Column:
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[,|]"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def smart_merge(a: Column, b: Column, mode: str = "or") -> Column:
+    """Two filter maps as one: genres and keywords united, A's other fields first, then B's."""
+    sep = "," if mode == "and" else "|"
+    lists = {k: F.array_join(F.array_distinct(F.concat(parts(F.try_element_at(a, F.lit(k))), parts(F.try_element_at(b, F.lit(k))))), sep) for k in ("with_genres", "with_keywords")}
+    some = lambda m, k: F.nullif(F.try_element_at(m, F.lit(k)), F.lit(""))
+    fixed = F.map_filter(F.create_map(*(x for k, v in lists.items() for x in (F.lit(k), v)), F.lit("sort_by"), F.coalesce(some(a, "sort_by"), some(b, "sort_by"), F.lit("popularity.desc"))), lambda _, v: v != "")
+    own = F.map_filter(a, lambda k, v: v.isNotNull() & (v != "") & ~k.isin("with_genres", "with_keywords", "sort_by"))
+    rest = F.map_filter(b, lambda k, v: v.isNotNull() & ~k.isin("with_genres", "with_keywords", "sort_by") & ~F.array_contains(F.map_keys(own), k))
+    return F.map_concat(fixed, own, rest)
+
+
+def dna_filters(manual: Column, suggested: Column) -> Column:
+    """manual, then suggested; the first of each type and id, without those that lack either."""
+    whole = F.filter(F.concat(manual, suggested), lambda x: x["type"].isNotNull() & x["id"].isNotNull())
+    key = lambda x: F.concat(x["type"], F.lit(":"), x["id"])
+    return F.aggregate(whole, F.slice(whole, 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: key(y) == key(x)), acc).otherwise(F.concat(acc, F.array(x))))
+
+
+def ratings_export(loved: DataFrame, liked: DataFrame) -> DataFrame:
+    """Loved items rate 10, liked ones 8 unless they are loved too."""
+    return loved.select("owner", "item_id", F.lit(10).alias("rating")).unionByName(liked.select("owner", "item_id").distinct().join(loved.select("owner", "item_id"), ["owner", "item_id"], "left_anti").withColumn("rating", F.lit(8)))
