@@ -74,3 +74,8 @@ def dna_filters(manual: Column, suggested: Column) -> Column:
 def ratings_export(loved: DataFrame, liked: DataFrame) -> DataFrame:
     """Loved items rate 10, liked ones 8 unless they are loved too."""
     return loved.select("owner", "item_id", F.lit(10).alias("rating")).unionByName(liked.select("owner", "item_id").distinct().join(loved.select("owner", "item_id"), ["owner", "item_id"], "left_anti").withColumn("rating", F.lit(8)))
+
+
+def upsert_history(history: DataFrame, events: DataFrame, *keys: str) -> DataFrame:
+    """History with new events: counts add up, the last time stays."""
+    return history.unionByName(events).groupBy(*keys).agg(F.sum("episodes_watched").alias("episodes_watched"), F.max("last_watched_at").alias("last_watched_at"))
