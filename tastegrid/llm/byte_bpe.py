@@ -21,7 +21,7 @@ import base64
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,49 +79,60 @@ def _literal(values: list, kind: str = "bigint") -> Column:
     return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, bound to a name by transform() over one element."""
+    return F.transform(F.array(value), body)[0]
+
+
 class BytePairs:
-    """The vocabulary: its rank map as literals for the fold, and its pieces for decoding."""
+    """The vocabulary: its rank map as literals for the fold."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.pieces = ranks, [b""] * (max(ranks.values()) + 1)
-        for p, r in ranks.items():
-            self.pieces[r] = p
+        self.ranks = ranks
         a, b = two_places(pair_ranks(ranks))
-        self.sizes, self.tables = (len(a), len(b)), (_literal(a), _literal(b))
-        self.bytes = _literal([ranks[bytes([i])] for i in range(256)], "int")
+        self.sizes = (len(a), len(b))
+        self.tables = F.struct(_literal(a).alias("a"), _literal(b).alias("b"), _literal([ranks[bytes([i])] for i in range(256)], "int").alias("bytes"))
+
+    def pair(self, t: Column, left: Column, right: Column) -> Column:
+        """Rank of a pair of ids in the tables t, or NONE."""
 
-    def pair(self, left: Column, right: Column) -> Column:
-        key = left.cast("long") * 65536 + right
-        a, b = (F.element_at(t, (key % n + 1).cast("int")) for t, n in zip(self.tables, self.sizes, strict=True))
-        rank = lambda e: e.bitwiseAND(F.lit(65535)).cast("int")
-        return F.when(F.shiftright(a, 16) == key, rank(a)).when(F.shiftright(b, 16) == key, rank(b)).otherwise(F.lit(NONE))
+        def found(key: Column) -> Column:
+            def second(e: Column) -> Column:
+                return F.when(F.shiftright(e, 16) == key, e.bitwiseAND(F.lit(65535)).cast("int")).otherwise(F.lit(NONE))
 
-    def fold(self, word: Column) -> Column:
+            first = lambda e: F.when(F.shiftright(e, 16) == key, e.bitwiseAND(F.lit(65535)).cast("int")).otherwise(let(t["b"][(key % self.sizes[1]).cast("int")], second))
+            return let(t["a"][(key % self.sizes[0]).cast("int")], first)
+
+        return let(left.cast("long") * 65536 + right, found)
+
+    def fold(self, t: Column, word: Column) -> Column:
         """The ids of a word (binary): a fold of ranked merges over its bytes."""
         n = F.octet_length(word)
-        ids = F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(self.bytes, F.conv(F.hex(F.substring(word, i, F.lit(1))), 16, 10).cast("int") + 1))
-
-        def merge(s: Column, least: Column) -> Column:
-            p, r = s["p"], s["r"]
-            i, m = F.array_position(r, least).cast("int"), F.size(p)
-            none = F.slice(r, F.lit(1), F.lit(0))
-            left = F.when(i > 1, F.array(self.pair(F.element_at(p, i - 1), least))).otherwise(none)
-            right = F.when(i + 2 <= m, F.array(self.pair(least, F.element_at(p, i + 2)))).otherwise(none)
+        hexed = lambda h: F.transform(F.sequence(F.lit(0), n - 1), lambda i: t["bytes"][F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")])
+        ids = let(F.hex(word), hexed)
+
+        def merge(p: Column, r: Column, least: Column, i: Column) -> Column:
+            """Pieces i and i + 1 become `least`; only the pairs beside it are looked up."""
+            m, none = F.size(p), F.slice(r, 1, 0)
+            left = F.when(i > 1, F.array(self.pair(t, p[i - 2], least))).otherwise(none)
+            right = F.when(i + 2 <= m, F.array(self.pair(t, least, p[i + 1]))).otherwise(none)
             pieces = F.concat(F.slice(p, F.lit(1), i - 1), F.array(least), F.slice(p, i + 2, F.greatest(m - i - 1, F.lit(0))))
             around = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.greatest(m - i - 2, F.lit(0))))
-            return F.struct(pieces.alias("p"), around.alias("r"))
+            return F.struct(pieces.alias("p"), around.alias("r"), F.coalesce(F.array_min(around), F.lit(NONE)).alias("least"))
 
-        def step(s: Column, _: Column) -> Column:
-            least = F.array_min(s["r"])
-            return F.when(F.coalesce(least, F.lit(NONE)) == NONE, s).otherwise(merge(s, least))
+        def merge_once(s: Column, _: Column) -> Column:
+            return F.when(s["least"] == NONE, s).otherwise(let(F.array_position(s["r"], s["least"]).cast("int"), lambda i: merge(s["p"], s["r"], s["least"], i)))
 
-        def start(p: Column) -> Column:
-            return F.struct(p.alias("p"), F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: self.pair(F.element_at(p, i), F.element_at(p, i + 1))).alias("r"))
+        def begin(p: Column) -> Column:
+            r = F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: self.pair(t, p[i], p[i + 1]))
+            return let(r, lambda r: F.struct(p.alias("p"), r.alias("r"), F.array_min(r).alias("least")))
 
-        # transform() over one element binds the bytes' ids to a name
-        folded = F.element_at(F.transform(F.array(ids), lambda p: F.aggregate(F.sequence(F.lit(2), F.size(p)), start(p), step)["p"]), 1)
+        folded = let(ids, lambda p: F.aggregate(F.sequence(F.lit(2), F.size(p)), begin(p), merge_once)["p"])
         return F.when(n == 1, ids).when(n > 1, folded).otherwise(F.slice(F.array(F.lit(0)), 1, 0))
 
+    def ids(self, word: Column) -> Column:
+        return let(self.tables, lambda t: self.fold(t, word))
+
 
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges for a long word: a heap of pairs over a linked list of pieces."""
@@ -164,7 +175,7 @@ def common_words(docs: DataFrame, bpe: BytePairs, pattern: str, most: int) -> di
         if total + sizes[n] > most or n < 2 and len(sizes) > 1:
             break
         least, total = n, total + sizes[n]
-    rows = counts.filter(F.col("n") >= least).select("word").repartition(F.col("word")).select("word", bpe.fold(F.col("word")).alias("ids")).collect() if total else []
+    rows = counts.filter(F.col("n") >= least).select("word").repartition(F.col("word")).select("word", bpe.ids(F.col("word")).alias("ids")).collect() if total else []
     return {bytes(r["word"]).decode(): r["ids"] for r in rows}
 
 
@@ -231,7 +242,7 @@ def token_texts(docs: DataFrame, rank_path: str, pattern: str, common: int = 200
     ranks = sc.broadcast(bpe.ranks)
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     c = d.mapInArrow(lambda rows: _chunks(rows, pattern, known), "doc_ids array<long>, firsts array<long>, ids array<int>, rare array<binary>")
-    c = c.withColumn("folded", F.transform("rare", lambda w: F.when(F.octet_length(w) <= LONG, bpe.fold(w))))
+    c = c.withColumn("folded", let(bpe.tables, lambda t: F.transform("rare", lambda w: F.when(F.octet_length(w) <= LONG, bpe.fold(t, w)))))
     return c.mapInArrow(lambda rows: _texts(rows, ranks), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

@@ -191,8 +191,10 @@ def _sub_runs(rows: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[
             lo = 0
             while lo < n:
                 hi = min(n, lo + (off - lo) % SUB + 1)
-                core = digest(body[hi - 1 : lo + length] + bytes([(off - lo) // SUB]), 7)
-                got.append((m, s, i, start, lo, sign(core), sign(digest(body[lo : hi - 1 + length])), [sign(digest(body[k : k + length])) for k in range(lo, hi)]))
+                at = off - (off - lo) // SUB * SUB  # the core is what all SUB windows of this place would share
+                core = digest(body[at : at - SUB + 1 + length] + bytes([(off - lo) // SUB]), 7)
+                whole = digest(body[lo : hi - 1 + length], off - lo)
+                got.append((m, s, i, start, lo, sign(core), sign(whole), [sign(digest(body[k : k + length], off - k)) for k in range(lo, hi)]))
                 lo = hi
         kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 2 + [pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got, strict=True), kinds, strict=True)], names=["m", "s", "id", "start", "lo", "core", "whole", "each"])
@@ -207,12 +209,12 @@ def _hot(units: DataFrame) -> DataFrame:
     known = written(wholes.join(cores, "core", "left"), "suffix-known")
     full = sub.join(known.filter("c > 1"), ["core", "whole"]).select("m", "s", "lo", F.size("each").alias("k"), (place != F.col("first")).alias("late"))
     full = full.select("m", "s", F.expr("explode(sequence(lo, lo + k - 1))").alias("w"), "late")
-    # kinds that share a core but differ: one of each, by single windows
-    mixed = sub.join(known.filter("kinds > 1"), ["core", "whole"]).select("core", "m", "s", "id", "start", "lo", (place == F.col("first")).alias("lead"), F.posexplode("each").alias("j", "h"))
+    # runs that share a core but differ: by single windows
+    mixed = sub.join(known.filter("kinds > 1"), ["core", "whole"]).select("core", "m", "s", "id", "start", "lo", F.posexplode("each").alias("j", "h"))
     mixed = written(mixed.withColumn("w", F.col("lo") + F.col("j")), "suffix-mixed")
     at = F.struct("id", "start", "m", "s", "w")
-    same = written(mixed.groupBy("core", "j", "h").agg(F.count("*").alias("c"), F.min(at).alias("first")).filter("c > 1"), "suffix-same")
-    single = mixed.join(same, ["core", "j", "h"]).select("m", "s", "w", (at != F.col("first")).alias("late"))
+    same = written(mixed.groupBy("core", "h").agg(F.count("*").alias("c"), F.min(at).alias("first")).filter("c > 1"), "suffix-same")
+    single = mixed.join(same, ["core", "h"]).select("m", "s", "w", (at != F.col("first")).alias("late"))
     flags = full.union(single).groupBy("m", "s", "w").agg(F.max("late").alias("late"))
     one = lambda c: F.array_sort(F.collect_list(F.when(c, F.struct(F.col("w").alias("lo"), (F.col("w") + 1).alias("hi")))))
     return flags.groupBy("m", "s").agg(one(F.lit(True)).alias("dup"), one(F.col("late")).alias("later"))
