@@ -6,10 +6,12 @@ array of its pieces' ids: each step takes the least rank of neighbouring pieces,
 the two pairs that are new. The rank map is a literal: two arrays addressed by the pair of ids (each
 pair stands in one of its two places), so that a lookup is two array reads.
 
-Only distinct words are folded. Words seen in many chunks of text, at most `common` of them, are
-folded once and shared with all tasks (a bound on what is sent, not on what is encoded); the other
-words of a chunk are folded with the chunk. Words of more than LONG bytes, for which a fold would take
-quadratic time, get the same merges from a heap. Decoding concatenates the ids' binary pieces.
+Only distinct words are merged. The words of the most chunks of text, at most `common` of them, are
+folded by Spark and shared with all tasks (a bound on what is sent, not on what is encoded). The
+other words are merged beside the texts, once in each chunk, by the same ranks (merge_word, and a
+heap for words of more than 64 bytes, as a fold would take quadratic time): the fold takes some
+100 microseconds a word, which for all distinct words of all chunks is over the CPU budget. Decoding
+concatenates the ids' binary pieces.
 
 Defined cases: a null text is empty; an empty text has no ids (sha256 of the empty string twice);
 repeated rows each keep a row; an empty table gives no rows; other columns are ignored.
@@ -179,71 +181,67 @@ def common_words(docs: DataFrame, bpe: BytePairs, pattern: str, most: int) -> di
     return {bytes(r["word"]).decode(): r["ids"] for r in rows}
 
 
-def _chunks(rows: Iterator[pa.RecordBatch], pattern: str, shared) -> Iterator[pa.RecordBatch]:
-    """A row for each chunk: ids of all places, with -1-k in the place of the chunk's k-th word that isn't common."""
-    find, known = regex.compile(pattern).findall, shared.value
+def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The fold's merges for one word, beside a task's texts; long words take the heap."""
+    if len(word) > 64:
+        return heap_merge(word, ranks)
+    p = [word[i : i + 1] for i in range(len(word))]
+    get = ranks.get
+    r = [get(a + b, NONE) for a, b in zip(p, p[1:], strict=False)]
+    while r and (least := min(r)) != NONE:
+        i = r.index(least)
+        p[i : i + 2] = [p[i] + p[i + 1]]
+        del r[i]
+        if i < len(r):
+            r[i] = get(p[i] + p[i + 1], NONE)
+        if i:
+            r[i - 1] = get(p[i - 1] + p[i], NONE)
+    return [ranks[x] for x in p]
+
+
+def _texts(rows: Iterator[pa.RecordBatch], pattern: str, shared, ranked) -> Iterator[pa.RecordBatch]:
+    """Encodes chunks of texts by their distinct words, and decodes every text from its ids."""
+    find, known, ranks = regex.compile(pattern).findall, shared.value, ranked.value
+    binary = [b""] * (max(ranks.values()) + 1)
+    for p, r in ranks.items():
+        binary[r] = p
+    decimal = [str(i) for i in range(len(binary))]
     for b in batches(rows):
         for c in chunks(b, 1, CHUNK):
             pieces, codes, first = cut(c.column(1))
-            rare: dict[str, int] = {}
+            own: dict[str, list[int]] = {}
             flat: list[int] = []
             ends = [0]
             for p, used in zip(pieces, (np.bincount(codes, minlength=len(pieces)) > 0).tolist(), strict=True):
                 if used:
                     for w in find(p):
-                        got = known.get(w)
+                        got = known.get(w) or own.get(w)
                         if got is None:
-                            flat.append(-1 - rare.setdefault(w, len(rare)))
-                        else:
-                            flat += got
+                            got = own[w] = merge_word(w.encode(), ranks)
+                        flat += got
                 ends.append(len(flat))
-            flat_a, starts = np.array(flat, np.int32), np.array(ends, np.int64)
+            del pieces, own
+            ids, starts = np.array(flat, np.int32), np.array(ends, np.int64)
             lengths = starts[codes + 1] - starts[codes]
             upto = np.concatenate([[0], np.cumsum(lengths)])
-            ids = flat_a[np.repeat(starts[codes] - upto[:-1], lengths) + np.arange(upto[-1])]
-            row = [pa.array([x], k) for x, k in ((c.column(0).to_pylist(), pa.list_(pa.int64())), (upto[first], pa.list_(pa.int64())), (ids, pa.list_(pa.int32())), ([w.encode() for w in rare], pa.list_(pa.binary())))]
-            yield pa.RecordBatch.from_arrays(row, names=["doc_ids", "firsts", "ids", "rare"])
+            at, out = upto[first], []
+            for d in range(c.num_rows):
+                place = slice(first[d], first[d + 1])
+                n = lengths[place]
+                x = ids[np.repeat(starts[codes[place]] - upto[place], n) + np.arange(at[d], at[d + 1])].tolist()
+                out.append((len(x), hashlib.sha256(" ".join([decimal[i] for i in x]).encode()).hexdigest(), hashlib.sha256(b"".join([binary[i] for i in x])).hexdigest()))
+            a = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([c.column(0), pa.array(a[0], pa.int64()), pa.array(a[1]), pa.array(a[2])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def _texts(rows: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    ranks = shared.value
-    pieces = [b""] * (max(ranks.values()) + 1)
-    for p, r in ranks.items():
-        pieces[r] = p
-    decimal = [str(i) for i in range(len(pieces))]
-    for b in batches(rows):
-        for k in range(b.num_rows):
-            doc_ids, firsts, ids, words, folded = (b.column(j)[k] for j in range(5))
-            own = [f if f is not None else heap_merge(w, ranks) for w, f in zip(words.as_py(), folded.as_py(), strict=True)]
-            ids, firsts = ids.values.to_numpy(zero_copy_only=False), firsts.values.to_numpy(zero_copy_only=False)
-            sizes = np.fromiter(map(len, own), np.int64, len(own))
-            held = np.flatnonzero(ids < 0)
-            lengths = np.ones(len(ids), np.int64)
-            lengths[held] = sizes[-1 - ids[held]]
-            out, upto = np.repeat(ids, lengths), np.concatenate([[0], np.cumsum(lengths)])
-            flat = np.fromiter((i for x in own for i in x), np.int32, int(sizes.sum()))
-            begin = np.concatenate([[0], np.cumsum(sizes)])[:-1][-1 - ids[held]] if len(own) else np.zeros(0, np.int64)
-            n = lengths[held]
-            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            out[np.repeat(upto[held], n) + inner] = flat[np.repeat(begin, n) + inner]
-            at, got = upto[firsts].tolist(), []
-            for lo, hi in zip(at[:-1], at[1:], strict=True):
-                x = out[lo:hi].tolist()
-                got.append((hi - lo, hashlib.sha256(" ".join([decimal[i] for i in x]).encode()).hexdigest(), b"".join([pieces[i] for i in x])))
-            a = list(zip(*got, strict=True))
-            yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(a[0], pa.int64()), pa.array(a[1]), pa.array([hashlib.sha256(x).hexdigest() for x in a[2]])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
-def token_texts(docs: DataFrame, rank_path: str, pattern: str, common: int = 200_000) -> DataFrame:
+def token_texts(docs: DataFrame, rank_path: str, pattern: str, common: int = 65_536) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, from encoding and decoding its text."""
     sc = docs.sparkSession.sparkContext
     bpe = BytePairs(read_ranks(rank_path))
     known = sc.broadcast(common_words(docs, bpe, pattern, common))
     ranks = sc.broadcast(bpe.ranks)
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    c = d.mapInArrow(lambda rows: _chunks(rows, pattern, known), "doc_ids array<long>, firsts array<long>, ids array<int>, rare array<binary>")
-    c = c.withColumn("folded", let(bpe.tables, lambda t: F.transform("rare", lambda w: F.when(F.octet_length(w) <= LONG, bpe.fold(t, w)))))
-    return c.mapInArrow(lambda rows: _texts(rows, ranks), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return d.mapInArrow(lambda rows: _texts(rows, pattern, known, ranks), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
