@@ -101,5 +101,5 @@ def genre_saturation(ranked: DataFrame, *keys: str, step: float = 0.15, free: in
     g = ranked.select(*keys, "item_id", "rank", F.posexplode("genre_ids").alias("at", "genre"))
     w = Window.partitionBy(*keys, "genre").orderBy("rank", "at")
     seen = F.row_number().over(w) - 1
-    p = g.withColumn("p", F.when(seen > free, step * (seen - free)).otherwise(0.0)).groupBy(*keys, "item_id").agg(F.sum("p").alias("penalty"))
+    p = g.withColumn("_step", F.when(seen > free, step * (seen - free)).otherwise(0.0)).groupBy(*keys, "item_id").agg(F.sum("_step").alias("penalty"))
     return ranked.join(p, [*keys, "item_id"], "left").fillna(0.0, ["penalty"])
