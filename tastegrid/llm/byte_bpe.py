@@ -23,7 +23,7 @@ import base64
 import hashlib
 import heapq
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm.common import batches, table, written
+from tastegrid.llm.common import batches, let, table, written
 from tastegrid.llm.pieces import chunks, cut
 
 NONE, LONG, CHUNK = 2**31 - 1, 512, 12 << 20
@@ -81,11 +81,6 @@ def _literal(values: list, kind: str = "bigint") -> Column:
     return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, bound to a name by transform() over one element."""
-    return F.transform(F.array(value), body)[0]
-
-
 class BytePairs:
     """The vocabulary: its rank map as literals for the fold."""
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -67,6 +67,11 @@ def usable_vector(name: str):
     return v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(bad, F.lit(True))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, bound to a name by transform() over one element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def batches(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in rows if b.num_rows)
 

@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm.common import table
+from tastegrid.llm.common import let, table
 
 SHINGLE, BANDS, SHARE = 5, 128, 0.8
 SIZES = (8, 16, 32, 64, 128)
@@ -83,10 +83,17 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) ->
     gate = F.lit(False)
     for g in GATE:
         gate = gate | low.contains(g)
-    d = docs.filter(gate).select(F.col("doc_id").cast("long"), F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)).alias("w")).filter(F.size("w") >= SHINGLE)
-    at = F.sequence(F.lit(1), F.size("w") - (SHINGLE - 1))
-    d = d.select("doc_id", F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(SHINGLE)), " "))).alias("h"))
-    d = d.withColumn("hits", F.filter(F.transform("h", lambda h, i: F.when(h.isin(known), i)), lambda i: i.isNotNull())).filter(F.size("hits") > 0)
+    def hashes(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(w) - (SHINGLE - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(SHINGLE)), " ")))
+
+    def with_hits(h: Column) -> Column:
+        return F.struct(h.alias("h"), F.filter(F.transform(h, lambda x, i: F.when(x.isin(known), i)), lambda i: i.isNotNull()).alias("hits"))
+
+    def scan(w: Column) -> Column:
+        return F.when(F.size(w) >= SHINGLE, let(hashes(w), with_hits))
+
+    d = docs.filter(gate).select(F.col("doc_id").cast("long"), let(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)), scan).alias("s"))
+    d = d.select("doc_id", F.explode(F.array("s")).alias("s")).filter(F.size("s.hits") > 0).select("doc_id", F.col("s.h").alias("h"), F.col("s.hits").alias("hits"))
 
     # every window of each size that holds a hit: the windows begin at i * S/2 and hold 1.5 S words
     def starts(s: int) -> Column:
@@ -97,7 +104,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) ->
 
     used = sorted({size_of(x) for x in templates.values()})
     win = d.select("doc_id", "h", F.explode(F.concat(*(starts(s) for s in used))).alias("win")).select("doc_id", "win.size", "win.word", F.slice("h", F.col("win.word") + 1, F.col("win.span")).alias("held"))
-    probe = win.select("doc_id", "size", "word", "held", F.posexplode(_min_hashes(F.col("held"))).alias("band", "value"))
+    probe = win.select("doc_id", "size", "word", "held", F.posexplode(let(F.col("held"), _min_hashes)).alias("band", "value"))
     met = probe.join(F.broadcast(bands), ["size", "band", "value"])  # a fixed list of templates
     share = F.size(F.array_intersect("own", "held")) / F.size("own")
     found = met.select("doc_id", "template", "word", share.alias("containment")).filter(F.col("containment") >= SHARE)
