@@ -143,7 +143,7 @@ def train(texts: list[bytes], toxic: np.ndarray, dim: int = 4, steps: int = 120,
     missed = np.concatenate([[0], np.cumsum(y[ordered])])[below]
     wrong = missed + (len(y) - below - (total - missed))
     best = np.flatnonzero(wrong == wrong.min())
-    widest = best[np.argmax((np.append(cuts, np.inf)[best + 1] - cuts[best]) * (best + 1 < len(cuts)))]
+    widest = best[np.argmax(np.append(np.diff(cuts), 0)[best])]
     lo, hi = x[x < cuts[widest]], x[x >= cuts[widest]]
     mid = (lo.max() + hi.min()) / 2 if len(lo) and len(hi) else cuts[widest]
     return logits, bias, float(mid)
