@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tastegrid.llm.byte_bpe import token_texts
-from tastegrid.llm.common import table, written
+from tastegrid.llm.common import ship, table, written
 from tastegrid.llm.mixing import mixed
 from tastegrid.llm.simhash import near_dedup
 from tastegrid.llm.suffix_dedup import strip_repeats
@@ -57,6 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
