@@ -183,7 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, clean_docs: int = 1000, toxic_docs:
         ids = near.filter(F.col("toxic") == label).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         own = docs.filter(fits).join(F.broadcast(ids), "doc_id")  # at most `most` ids
         rows += own.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).select(F.col("text").cast("binary").alias("text"), F.lit(label).alias("toxic")).collect()
-    return train([bytes(r.text) for r in rows], np.array([r.toxic == 1 for r in rows], bool))
+    model = train([bytes(r.text) for r in rows], np.array([r.toxic == 1 for r in rows], bool))
+    _powers.clear()  # the driver has no more use for them
+    return model
 
 
 def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
