@@ -12,7 +12,7 @@ from tastegrid.sources.domain import BASE_SQL
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ("vectors", "scoring", "discovery", "identity", "episodes", "text", "ranking", "catalogs", "streams")
+MODULES = ("vectors", "scoring", "discovery", "identity", "episodes", "text", "ranking", "catalogs", "streams", "more")
 
 
 def with_tables(sql: str, tables: tuple[str, ...]) -> str:
