@@ -6,7 +6,7 @@ the next one. All but the last keep the columns of documents:
 1. toxicity: drops documents scored 0.5 or more by the classifier trained on labels;
 2. near_dedup: keeps the document of the smallest doc_id of each group of near copies (five-word
    shingles, similarity 0.8 or more);
-3. suffix_dedup: cuts byte strings of 400 that stand earlier in the corpus out of the texts;
+3. suffix_dedup: cuts passages of over 50 words that stand earlier in the corpus out of the texts;
 4. mixing: takes sources at tempered weights, 0.8 of all tokens, no document twice;
 5. byte_bpe: encodes what is left and decodes it again, as counts and digests.
 """
@@ -19,7 +19,7 @@ from tastegrid.llm.byte_bpe import token_texts
 from tastegrid.llm.common import ship, table, written
 from tastegrid.llm.mixing import mixed
 from tastegrid.llm.near_copies import near_copies
-from tastegrid.llm.suffix_dedup import strip_repeats
+from tastegrid.llm.suffix_dedup import strip_passages
 from tastegrid.llm.toxicity import drop_toxic
 
 
@@ -32,7 +32,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return strip_repeats(docs, keep="first")
+    return strip_passages(docs, keep="first")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,11 +24,17 @@ every task. Hashes of runs have 64 bits within one minimizer's 64 bits.
 Defined cases: null and empty texts, and those shorter than LENGTH, stay as they are; repeated rows
 count as copies of each other, and keep="first" treats them alike; a null doc_id comes first; an empty
 table stays empty; other columns are kept (strip_repeats) or ignored.
+
+strip_passages cuts repeats counted in words: every word, between ASCII white space, becomes a code of
+CODE bytes, and repeats of CODE * PASSAGE bytes of codes are repeats of so many words, whatever their
+bytes. Texts with words of UNBROKEN bytes or more also lose their repeats of LENGTH bytes, since long
+strings without white space have no words to count.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +46,7 @@ from pyspark.sql import functions as F
 from tastegrid.llm.common import batches, table, written
 
 LENGTH, GRAM, HOT, SUB = 400, 100, 2000, 16
+CODE, PASSAGE, UNBROKEN = 4, 51, 100
 _SEGMENT = 1 << 21
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
@@ -95,9 +102,9 @@ def runs_of(parts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     return part, first - begins[part], n, m[new] - first, h[m[new]].view(np.int64), whole.view(np.int64)
 
 
-def _runs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(rows: Iterator[pa.RecordBatch], length: int = LENGTH, gram: int = GRAM) -> Iterator[pa.RecordBatch]:
     def out(held):
-        part, start, n, off, m, s = runs_of([x[3] for x in held])
+        part, start, n, off, m, s = runs_of([x[3] for x in held], length, gram)
         ids, keys, base = (np.array([x[k] for x in held], np.int64) for k in range(3))
         cols = (ids[part], keys[part], (base[part] + start).astype(np.int32), n.astype(np.int32), off.astype(np.int32), m, s)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["id", "key", "start", "n", "off", "m", "s"])
@@ -107,8 +114,8 @@ def _runs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows):
             for i, k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 t = t.as_py()
-                for at in range(0, len(t) - LENGTH + 1, _SEGMENT):
-                    seg = t[at : at + _SEGMENT + LENGTH - 1]
+                for at in range(0, len(t) - length + 1, _SEGMENT):
+                    seg = t[at : at + _SEGMENT + length - 1]
                     if held and size + len(seg) > _SEGMENT:
                         yield out(held)
                         held, size = [], 0
@@ -200,9 +207,9 @@ def _sub_runs(rows: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got, strict=True), kinds, strict=True)], names=["m", "s", "id", "start", "lo", "core", "whole", "each"])
 
 
-def _hot(units: DataFrame) -> DataFrame:
+def _hot(units: DataFrame, length: int = LENGTH) -> DataFrame:
     """(m, s, dup, later) for the runs of minimizers with many kinds of runs, by counting."""
-    sub = written(units.select("m", "s", "id", "start", "n", "off", "body").mapInArrow(_sub_runs, "m long, s long, id long, start int, lo int, core long, whole long, each array<long>"), "suffix-sub")
+    sub = written(units.select("m", "s", "id", "start", "n", "off", "body").mapInArrow(lambda rows: _sub_runs(rows, length), "m long, s long, id long, start int, lo int, core long, whole long, each array<long>"), "suffix-sub")
     place = F.struct("id", F.col("start").alias("start"), "m", "s", "lo")
     wholes = written(sub.groupBy("core", "whole").agg(F.count("*").alias("c"), F.min(place).alias("first")), "suffix-wholes")
     cores = written(wholes.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "suffix-cores")
@@ -226,12 +233,12 @@ def _keyed(docs: DataFrame, *more) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(body).alias("key"), body.alias("body"), *more)
 
 
-def repeated_spans(docs: DataFrame, keep: str = "none", hot: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, keep: str = "none", hot: int = HOT, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(id, key, spans): the byte spans to remove of each text that has any, not yet merged."""
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
-    d = _keyed(docs).filter(F.octet_length("body") >= LENGTH)
-    runs = written(d.mapInArrow(_runs, "id long, key long, start int, n int, off int, m long, s long"), "suffix-runs")
+    d = _keyed(docs).filter(F.octet_length("body") >= length)
+    runs = written(d.mapInArrow(lambda rows: _runs(rows, length, gram), "id long, key long, start int, n int, off int, m long, s long"), "suffix-runs")
     twice = written(runs.groupBy("m").count().filter("count > 1").select("m"), "suffix-twice")
     cand = written(runs.join(twice, "m"), "suffix-candidates")
     kinds = written(cand.groupBy("m", "s").agg(F.count("*").alias("c"), F.min(F.struct("id", "start", "key", "n", "off")).alias("first")), "suffix-kinds")
@@ -240,12 +247,12 @@ def repeated_spans(docs: DataFrame, keep: str = "none", hot: int = HOT) -> DataF
     want = written(want.groupBy("id", "key").agg(F.collect_list("r").alias("r")), "suffix-wanted")
     own = d.dropDuplicates(["id", "key"]) if not _keyed_once(docs) else d
     units = own.join(want, ["id", "key"]).select("id", "body", F.explode("r").alias("r"))
-    units = written(units.select("id", "r.*", F.expr(f"substring(body, r.start + 1, r.n + {LENGTH - 1})").alias("body")), "suffix-units")
+    units = written(units.select("id", "r.*", F.expr(f"substring(body, r.start + 1, r.n + {length - 1})").alias("body")), "suffix-units")
     found = units.filter(F.col("kinds") <= hot).repartition("m").sortWithinPartitions("m", "id", "start")
-    found = found.select("m", "s", "n", "body").mapInArrow(_suffix_order, f"m long, s long, dup {SPANS}, later {SPANS}")
+    found = found.select("m", "s", "n", "body").mapInArrow(lambda rows: _suffix_order(rows, length), f"m long, s long, dup {SPANS}, later {SPANS}")
     many = units.filter(F.col("kinds") > hot)
     if not several.filter(F.col("kinds") > hot).isEmpty():
-        found = found.union(_hot(many))
+        found = found.union(_hot(many, length))
     found = written(found, "suffix-found")
     known = written(kinds.join(found, ["m", "s"], "left"), "suffix-known")
     none = F.expr(f"CAST(array() AS {SPANS})")
@@ -257,7 +264,7 @@ def repeated_spans(docs: DataFrame, keep: str = "none", hot: int = HOT) -> DataF
         lead = (F.col("id") == F.col("first.id")) & (F.col("start") == F.col("first.start")) & (F.col("key") == F.col("first.key"))
         spans = F.when(lead, F.coalesce("later", none)).otherwise(all_)
     r = r.select("id", "key", "start", F.explode(spans).alias("x"))
-    r = r.select("id", "key", (F.col("start") + F.col("x.lo")).alias("lo"), (F.col("start") + F.col("x.hi") + (LENGTH - 1)).alias("hi")).distinct()
+    r = r.select("id", "key", (F.col("start") + F.col("x.lo")).alias("lo"), (F.col("start") + F.col("x.hi") + (length - 1)).alias("hi")).distinct()
     return written(r.groupBy("id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
 
 
@@ -318,5 +325,45 @@ def strip_repeats(docs: DataFrame, keep: str = "first") -> DataFrame:
     return out.unionByName(cut.select(*rest))
 
 
+def _codes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    digest = xxhash.xxh32_intdigest
+    for b in batches(rows):
+        codes = (np.fromiter(map(digest, t.as_py().split()), "<u4").tobytes() for t in b.column(2))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.binary())], names=["doc_id", "key", "text"])
+
+
+def word_spans(body: bytes, spans: list[dict]) -> list[dict]:
+    """Spans of codes as the spans of bytes from their first whole word to the last."""
+    place = [m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", body)]
+    whole = [(-(-x["lo"] // CODE), x["hi"] // CODE) for x in spans]
+    return [{"lo": place[a][0], "hi": place[b - 1][1]} for a, b in whole if b - a >= PASSAGE]
+
+
+def _passages_left(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches(rows):
+        left = [kept_bytes(t, word_spans(t, w or []) + (s or []))[0].decode("utf-8", "ignore") for t, w, s in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(left, pa.string())], names=["row", "left"])
+
+
+def strip_passages(docs: DataFrame, keep: str = "first") -> DataFrame:
+    """docs with repeated passages of PASSAGE words or more cut out of text, and n_chars made to fit."""
+    cols = docs.columns
+    d = _keyed(docs, F.struct(*cols).alias("row"))
+    coded = d.select("id", "key", "body").filter(F.octet_length("body") >= 2 * PASSAGE - 1).mapInArrow(_codes, "doc_id long, key long, text binary")
+    coded = written(coded, "suffix-codes")
+    # equal ids with texts that differ only in white space have equal codes, and with them equal spans
+    words = repeated_spans(coded.select("doc_id", "text"), keep, length=CODE * PASSAGE, gram=CODE * PASSAGE // 4)
+    keys = coded.select(F.col("doc_id").alias("id"), "key", F.xxhash64("text").alias("code")).distinct()
+    words = words.withColumnsRenamed({"key": "code", "spans": "words"}).join(keys, ["id", "code"]).select("id", "key", "words")
+    unbroken = docs.filter(F.col("text").rlike(f"[^ \\t\\n\\r\\x0B\\f]{{{UNBROKEN}}}"))
+    spans = words.join(repeated_spans(unbroken, keep), ["id", "key"], "full")
+    j = d.join(spans, ["id", "key"], "left").select("row", "body", "words", "spans")
+    kind = j.schema["row"].dataType.simpleString()
+    out = j.filter("words IS NULL AND spans IS NULL").select("row.*").select(cols)
+    cut = j.filter("words IS NOT NULL OR spans IS NOT NULL").mapInArrow(_passages_left, f"row {kind}, left string")
+    rest = [F.col("left").alias(c) if c == "text" else F.length("left").cast("long").alias(c) if c == "n_chars" else F.col(f"row.{c}") for c in cols]
+    return out.unionByName(cut.select(*rest))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -33,3 +33,19 @@ def test_near_dedup_stage(spark):
     assert got.columns == docs.columns and {i for i in ids if i is not None and i >= 1000} == {1000 + i for i, _ in rows if i % 3 != 1}
     assert 2 not in ids and 4 not in ids and 7 not in ids and ids.count(10) == 1 and {1, 3, 6, 13, None} <= set(ids)
     assert pipeline.near_dedup_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_suffix_stage(spark):
+    """Passages of 51 short words go from all documents but the first; 50 words and long unbroken strings as defined."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+
+    rng = np.random.default_rng(6)
+    words = lambda n: " ".join(f"{x:x}" for x in rng.integers(0, 1 << 16, n))
+    shared, short, unbroken = words(51), words(50), "".join(rng.choice(list("abcdefgh"), 450))
+    texts = [(f"{a} ", p, f" {b}") for p in (shared, short, unbroken) for a, b in [(words(30), words(30)) for _ in range(3)]]
+    docs = odd_docs(spark).limit(0).union(odd_docs(spark, [(100 + i, "".join(t), "en", "a") for i, t in enumerate(texts)]).filter("doc_id >= 100"))
+    got = {r.doc_id - 100: r.text for r in pipeline.suffix_dedup_stage(spark, docs, "").collect()}
+    assert len(shared) < 400
+    for i in range(6):
+        assert got[i] == (texts[i][0] + texts[i][2] if i in (1, 2) else "".join(texts[i]))
+    assert unbroken in got[6] and unbroken[50:400] not in got[7] and unbroken[50:400] not in got[8]
