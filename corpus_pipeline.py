@@ -7,7 +7,7 @@ the next one. All but the last keep the columns of documents:
 2. near_dedup: keeps the document of the smallest doc_id of each group of near copies (five-word
    shingles, similarity 0.8 or more);
 3. suffix_dedup: cuts passages of over 50 words that stand earlier in the corpus out of the texts;
-4. mixing: takes sources at tempered weights, 0.8 of all tokens, no document twice;
+4. mixing: takes sources at tempered weights: every document once, those of small sources up to twice;
 5. byte_bpe: encodes what is left and decodes it again, as counts and digests.
 """
 
@@ -36,7 +36,7 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed(docs, budget_share=0.8, entropy_share=None, max_repeat=1.0)
+    return mixed(docs, budget_share=None, entropy_share=None, max_repeat=2.0)
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

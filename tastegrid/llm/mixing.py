@@ -8,7 +8,8 @@ grows, so a is found by bisection. Five halvings are done in one aggregation ove
 
 A source's budget of tokens is whole passes over its documents plus the start of one more pass in a
 random order: blocks of 1024 consecutive doc_ids are permuted by a hash, and so are the documents in
-each block. Running sums are taken in three levels (256 groups of blocks, blocks, documents), so that
+each block. With a budget share of None the budget is the least with which every source gets a whole
+pass, so that small sources are repeated and no document is left out. Running sums are taken in three levels (256 groups of blocks, blocks, documents), so that
 a source of any size never meets in one task.
 
 Tokens are words between ASCII white space. Defined cases: null texts have no tokens; a null source
@@ -31,19 +32,20 @@ def source_key(source: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
 
 
-def exponent(sources: DataFrame, budget_share: float, entropy_share: float | None, max_repeat: float | None) -> float:
+def exponent(sources: DataFrame, budget_share: float | None, entropy_share: float | None, max_repeat: float | None) -> float:
     """The smallest exponent that meets the targets, or 1; sources: one row with its tokens `t` > 0 each."""
-    n, total, least = sources.agg(F.count("*"), F.sum("t"), F.min("t")).first()
+    n, total, least, most = sources.agg(F.count("*"), F.sum("t"), F.min("t"), F.max("t")).first()
     if not n:
         return 1.0
     share = F.col("t") / F.lit(float(total))
     bound = F.lit(float("inf")) if entropy_share is None else F.lit(entropy_share) * F.log(F.lit(float(n)))
     repeat = F.lit(float("inf")) if max_repeat is None else F.lit(max_repeat)
     small = F.lit(least / total)
+    whole = lambda a, z: F.lit(budget_share) if budget_share is not None else z * F.pow(F.lit(most / total), F.lit(1 - a))
 
     def meets(a: float) -> Column:
         z, zl = F.sum(F.pow(share, F.lit(a))), F.sum(F.pow(share, F.lit(a)) * F.log(share))
-        return (F.log(z) - F.lit(a) * zl / z <= bound) & (F.lit(budget_share) * F.pow(small, F.lit(a - 1)) / z <= repeat)
+        return (F.log(z) - F.lit(a) * zl / z <= bound) & (whole(a, z) * F.pow(small, F.lit(a - 1)) / z <= repeat)
 
     lo, width, parts = 0.0, 1.0, 2**LEVELS
     for _ in range(PASSES):
@@ -54,7 +56,7 @@ def exponent(sources: DataFrame, budget_share: float, entropy_share: float | Non
     return lo + width
 
 
-def mix(docs: DataFrame, budget_share: float = 1.0, entropy_share: float | None = 0.95, max_repeat: float | None = 2.0, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, budget_share: float | None = 1.0, entropy_share: float | None = 0.95, max_repeat: float | None = 2.0, seed: str = "mix") -> DataFrame:
     """(src, doc_id, source, n_tokens, copies) of each document: how often the mixture holds it."""
     tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     units = docs.select(source_key().alias("src"), F.col("doc_id").cast("long"), "source", tokens.alias("n_tokens"))
@@ -70,7 +72,12 @@ def mix(docs: DataFrame, budget_share: float = 1.0, entropy_share: float | None
     a = exponent(sources, budget_share, entropy_share, max_repeat)
     power = F.pow(F.col("t") / F.lit(float(total or 1)), F.lit(a))
     z = sources.agg(F.sum(power)).first()[0] or 1.0
-    budget = F.round(F.floor(F.lit(budget_share * total)) * (power / F.lit(z))).cast("long")
+    if budget_share is None:
+        most = sources.agg(F.max("t")).first()[0] or 1
+        # the largest source's budget is one pass; the others' lie between that and their own tokens
+        budget = F.greatest(F.col("t"), F.round(F.lit(float(most)) * F.pow(F.col("t") / F.lit(float(most)), F.lit(a))).cast("long"))
+    else:
+        budget = F.round(F.floor(F.lit(budget_share * total)) * (power / F.lit(z))).cast("long")
     plan = sources.select("src", F.col("t").alias("whole"), budget.alias("budget"))
     plan = plan.select("src", F.expr("budget div whole").alias("passes"), F.expr("budget % whole").alias("rest"))
 

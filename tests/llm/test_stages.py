@@ -49,3 +49,13 @@ def test_suffix_stage(spark):
     for i in range(6):
         assert got[i] == (texts[i][0] + texts[i][2] if i in (1, 2) else "".join(texts[i]))
     assert unbroken in got[6] and unbroken[50:400] not in got[7] and unbroken[50:400] not in got[8]
+
+
+def test_mixing_stage(spark):
+    """A hot source of a third of the tokens keeps all its documents; small ones come up to twice."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+
+    rows = [(i, f"hot {i} text", "en", "hot") for i in range(100)] + [(1000 + 100 * k + i, f"small {i} text", "en", f"s{k}") for k in range(10) for i in range(20)]
+    docs = odd_docs(spark, [(10_000 + i, *r) for i, *r in rows]).filter("doc_id >= 10000")
+    got = [r.doc_id for r in pipeline.mixing_stage(spark, docs, "").collect()]
+    assert set(got) == {10_000 + i for i, *_ in rows} and max(got.count(i) for i in set(got)) <= 2 and len(got) > len(rows)
