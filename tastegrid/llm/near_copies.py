@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 from tastegrid.llm.common import batches, components, written
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 6
-_PIECE = 1 << 12
+_PIECE = 128
+_rng = np.random.default_rng(11)
+_ODD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * _ODD
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -46,15 +49,13 @@ def _key(own: np.ndarray) -> int:
 
 def band_keys(own: np.ndarray) -> np.ndarray:
     """A key for each band, from BANDS * ROWS MinHash values of a set of hashes."""
-    rng = np.random.default_rng(11)
-    odd = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(own), _PIECE):
-        x = own[at : at + _PIECE] ^ (own[at : at + _PIECE] >> np.uint64(31))
-        for k in range(BANDS * ROWS):
-            y = (x + add[k]) * odd[k]
-            least[k] = min(least[k], (y ^ (y >> np.uint64(32))).min())
+    x = own ^ (own >> np.uint64(31))
+    for at in range(0, len(x), _PIECE):
+        y = np.multiply.outer(x[at : at + _PIECE], _ODD)
+        y += _ADD
+        y ^= y >> np.uint64(32)
+        np.minimum(least, y.min(axis=0), out=least)
     return np.array([xxhash.xxh64_intdigest(b.tobytes(), j) for j, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
 
 
