@@ -125,8 +125,11 @@ def _runs(rows: Iterator[pa.RecordBatch], length: int = LENGTH, gram: int = GRAM
             yield out(held)
 
 
-def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
-    """Rank of every position by its next `length` bytes, by prefix doubling; text is padded with zeros."""
+def suffix_levels(text: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The first bytes of every position as a number, and (k, rank by the next k bytes) for k doubling up to length.
+
+    Prefix doubling; text is padded with zeros, and the last step overlaps what is sorted already.
+    """
     n = len(text)
     wide = np.concatenate([text, np.zeros(length, np.uint8)])
     step = 1
@@ -136,25 +139,76 @@ def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
     for k in range(step):
         key = (key << np.uint64(8)) | wide[k : k + n]
     rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+    levels = [(step, rank)]
     while step < length:
-        jump = min(step, length - step)  # the last step overlaps what is sorted already
+        jump = min(step, length - step)
         after = np.concatenate([rank[jump:] + 1, np.zeros(min(jump, n), np.int64)])[:n]
         rank = np.unique(rank * (int(rank.max(initial=0)) + 2) + after, return_inverse=True)[1].astype(np.int64)
         step += jump
-    return rank
+        levels.append((step, rank))
+    return key, levels
+
+
+def previous_smaller(a: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it with a smaller value, or -1, by minima of blocks of two, four, ..."""
+    minima = [a]
+    while len(minima[-1]) > 1:
+        x = minima[-1]
+        x = np.append(x, np.iinfo(x.dtype).max) if len(x) % 2 else x
+        minima.append(np.minimum(x[::2], x[1::2]))
+    place, node, found = np.arange(len(a)), np.arange(len(a)), []
+    for low in minima:  # up: the first block to the left that holds a smaller value
+        hit = (node % 2 == 1) & (low[node - 1] < a[place])
+        found.append((place[hit], node[hit] - 1))
+        place, node = place[~hit], node[~hit] // 2
+    place, node = found.pop()
+    while found:  # down: to the rightmost such value of the block
+        low, value = minima[len(found) - 1], a[place]
+        right = np.minimum(2 * node + 1, len(low) - 1)
+        node = np.where(low[right] < value, right, 2 * node)
+        more = found.pop()
+        place, node = np.concatenate([place, more[0]]), np.concatenate([node, more[1]])
+    out = np.full(len(a), -1, np.int64)
+    out[place] = node
+    return out
+
+
+def common_prefix(key: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The length of the common prefix of the suffixes at a and b, up to that of the last level."""
+    length, whole = levels[-1]
+    out = np.where(whole[a] == whole[b], length, 0)
+    open_ = np.flatnonzero(out == 0)
+    x, y, at = a[open_], b[open_], np.zeros(len(open_), np.int64)
+    width = levels[0][0]
+    for k, rank in reversed(levels[:-1]):
+        at += np.where(rank[x + at] == rank[y + at], k, 0)
+    differ = key[x + at] ^ key[y + at]
+    for k in range(1, width):
+        at += (differ >> np.uint64(8 * (width - k))) == 0
+    out[open_] = np.minimum(at, length - 1)
+    return out
 
 
 def previous_factors(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the longest previous, and the longest later, factor of each start reaches length.
+    """For each start the length, up to `length`, of its longest previous factor, and of its longest later one.
 
-    In suffix order, with ties by position, suffixes with a common prefix of length or more stand
-    together, so the previous smaller position with such a prefix is the neighbour before.
+    In suffix order the longest earlier match of a position stands at the nearest smaller position before or
+    after it, the longest later one at the nearest larger position; starts go up, and only they are matched.
     """
-    rank = suffix_ranks(text, length)[starts]
-    order = np.lexsort((starts, rank))
-    same = rank[order][1:] == rank[order][:-1]
-    earlier, later = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
-    earlier[order[1:]], later[order[:-1]] = same, same
+    key, levels = suffix_levels(text, length)
+    order = np.lexsort((starts, levels[-1][1][starts]))
+    at = starts[order]
+
+    def longest(value: np.ndarray) -> np.ndarray:
+        before, after = previous_smaller(value), len(value) - 1 - previous_smaller(value[::-1])[::-1]
+        out = np.zeros(len(value), np.int64)
+        for near, there in ((before, before >= 0), (after, after < len(value))):
+            some = np.flatnonzero(there)
+            out[some] = np.maximum(out[some], common_prefix(key, levels, at[some], at[near[some]]))
+        return out
+
+    earlier, later = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    earlier[order], later[order] = longest(at), longest(-at)
     return earlier, later
 
 
@@ -170,7 +224,7 @@ def _suffix_order(rows: Iterator[pa.RecordBatch], length: int = LENGTH, most: in
         text = np.frombuffer(b"".join(x[3] for x in held), np.uint8)
         at = np.cumsum([0] + [len(x[3]) for x in held])
         starts = np.concatenate([np.arange(a, a + x[2]) for a, x in zip(at.tolist(), held, strict=False)])
-        earlier, later = previous_factors(text, starts, length)
+        earlier, later = (x >= length for x in previous_factors(text, starts, length))
         cuts = np.cumsum([x[2] for x in held])[:-1]
         both = [(_spans(a | b), _spans(a)) for a, b in zip(np.split(earlier, cuts), np.split(later, cuts), strict=True)]
         kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
