@@ -8,7 +8,7 @@ word makes a document toxic, however long it is: a document's score is that of i
 over its whole text, and a third of the sample, kept out of the training, sets the cut. As softmax
 and mean are linear, scoring needs one number per bucket.
 
-The model is fitted on the driver to a bounded sample of labelled rows: at most `clean_docs` and
+The model is fitted, in one task, to a bounded sample of labelled rows: at most `clean_docs` and
 `toxic_docs` rows, of texts up to `sample_chars` characters, in order of a hash of doc_id. Everything else covers
 all rows. Labels, lang, source and doc_id are never inputs of a score; rows with
 crc32(doc_id) mod 5 = 0 teach nothing.
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,19 +174,29 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
+def _trained(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, toxic) of the whole sample to the model's one row, or none."""
+    texts, toxic = [], []
+    for b in batches(rows):
+        texts += b.column(0).to_pylist()
+        toxic += b.column(1).to_pylist()
+    order = sorted(range(len(texts)), key=lambda i: (toxic[i], xxhash.xxh64_intdigest(texts[i]), texts[i]))
+    model = train([texts[i] for i in order], np.array([toxic[i] == 1 for i in order], bool))
+    if model is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([model[0].tobytes()], pa.binary()), pa.array([model[1]]), pa.array([model[2]])], names=["logits", "bias", "cut"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, clean_docs: int = 1000, toxic_docs: int = 500, sample_chars: int = 4_000) -> Model | None:
-    """Fit to at most clean_docs and toxic_docs labelled documents that are not held out."""
+    """Fit, in one task, to at most clean_docs and toxic_docs labelled documents that are not held out."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     fits = F.length("text").between(1, sample_chars)
-    near = written(docs.filter(fits).select("doc_id").join(known, "doc_id"), "toxicity-labelled")
-    rows = []
-    for label, most in ((0, clean_docs), (1, toxic_docs)):
-        ids = near.filter(F.col("toxic") == label).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        own = docs.filter(fits).join(F.broadcast(ids), "doc_id")  # at most `most` ids
-        rows += own.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).select(F.col("text").cast("binary").alias("text"), F.lit(label).alias("toxic")).collect()
-    model = train([bytes(r.text) for r in rows], np.array([r.toxic == 1 for r in rows], bool))
-    _powers.clear()  # the driver has no more use for them
-    return model
+    near = written(docs.filter(fits).select("doc_id").join(known, "doc_id").distinct(), "toxicity-labelled")
+    first = lambda label, most: near.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    ids = written(first(0, clean_docs).unionByName(first(1, toxic_docs)), "toxicity-sample")
+    own = docs.filter(fits).select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most clean_docs + toxic_docs ids
+    own = own.groupBy("doc_id", "toxic").agg(F.min("text").cast("binary").alias("text"))
+    row = own.select("text", F.col("toxic").cast("int").alias("toxic")).repartition(1).mapInArrow(_trained, "logits binary, bias double, cut double").first()
+    return None if row is None else (np.frombuffer(bytes(row["logits"]), np.float32), row["bias"], row["cut"])
 
 
 def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
