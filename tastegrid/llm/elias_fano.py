@@ -2,7 +2,8 @@
 
 Each value's lower bits are stored as they are; its upper part is stored in unary in a bit array with
 one bit set per value. Value i is then select(i) - i for the upper part: the place of the i-th set
-bit, found from a table of every 64th and a scan of whole bytes. About 2 + log2(u / n) bits a value.
+bit, found from a table of every 64th (32 bits each, half a bit a value) and a scan of whole bytes.
+About 2.5 + log2(u / n) bits a value; no table of whole offsets is kept or built to read one.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ class EliasFano:
             raise ValueError("values must not decrease")
         n, universe = len(v), int(v[-1]) + 1 if len(v) else 1
         low_bits = max(0, (universe // max(n, 1)).bit_length() - 1)
+        if n + (universe >> low_bits) >= 2**32:
+            raise ValueError("too many values for one code")
         bits = (v[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)
         low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
         ones = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         high[ones] = 1
-        return cls(n, universe, low_bits, low, np.packbits(high, bitorder="little"), ones[::SAMPLE].astype("<u8"))
+        return cls(n, universe, low_bits, low, np.packbits(high, bitorder="little"), ones[::SAMPLE].astype("<u4"))
 
     def select(self, i: int) -> int:
         """Place of the i-th set bit of the upper array, from 0."""
@@ -47,10 +50,11 @@ class EliasFano:
         return 8 * byte + (bits & -bits).bit_length() - 1
 
     def __getitem__(self, i: int) -> int:
-        value, at = (self.select(i) - i) << self.low_bits, i * self.low_bits
-        for k in range(self.low_bits):
-            value |= (int(self.low[(at + k) // 8]) >> ((at + k) % 8) & 1) << k
-        return value
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        at = i * self.low_bits
+        low = int.from_bytes(self.low[at // 8 : (at + self.low_bits + 7) // 8].tobytes(), "little") >> at % 8
+        return (self.select(i) - i) << self.low_bits | low & ((1 << self.low_bits) - 1)
 
     def all(self) -> np.ndarray:
         upper = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
@@ -65,7 +69,7 @@ class EliasFano:
         """The code, and the number of bytes it took."""
         n, universe, low_bits = _HEAD.unpack_from(data)
         at, parts = _HEAD.size, []
-        for kind in (np.uint8, np.uint8, "<u8"):
+        for kind in (np.uint8, np.uint8, "<u4"):
             size = struct.unpack_from("<Q", data, at)[0]
             parts.append(np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at + 8))
             at += 8 + size

@@ -8,7 +8,8 @@ seq) hold all documents in ascending doc_id order; a shard's first id is the sum
 before it, one row a shard.
 
 Defined cases: a null text is empty and gets only the end id; null doc_ids come first; rows of one
-doc_id are in order of text. An empty table writes no block. Other columns are ignored.
+doc_id are in order of text. An empty table writes no block. Other columns are ignored. A special
+token's string in a text is encoded as that token, as the library does by default.
 """
 
 from __future__ import annotations
@@ -44,7 +45,6 @@ class _PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.t, self.run = Tokenizer.from_file(path), run
-        self.t.encode_special_tokens = True
         self.bytes_of = np.zeros(max(self.t.get_vocab().values()) + 1, np.int64)
         for token, i in self.t.get_vocab().items():  # byte-level: one character a byte
             self.bytes_of[i] = len(token)
@@ -106,6 +106,12 @@ def from_payload(payload: bytes) -> tuple[EliasFano, np.ndarray]:
     return bounds, np.frombuffer(payload, f"<u{payload[4]}", offset=8 + used)
 
 
+def document_ids(payload: bytes, i: int) -> np.ndarray:
+    """The ids of a block's document i, end id included, from two selects."""
+    bounds, ids = from_payload(payload)
+    return ids[bounds[i] : bounds[i + 1]]
+
+
 def _encode(rows: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     shard, seq, start = TaskContext.get().partitionId(), 0, 0
     for b in batches(rows):
@@ -129,7 +135,7 @@ def _decode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in range(b.num_rows):
             shard, base, doc_ids, payload = (b.column(k)[r] for k in range(4))
             bounds, ids = from_payload(payload.as_py())
-            at, raw = bounds.all(), memoryview(ids.astype("<u4").tobytes())
+            at, raw = np.fromiter(map(bounds.__getitem__, range(bounds.n)), np.int64, bounds.n), memoryview(ids.astype("<u4").tobytes())
             crc = [zlib.crc32(raw[4 * lo : 4 * hi]) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()] * len(crc), pa.int32()), doc_ids.values, pa.array(at[:-1] + base.as_py()), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["shard", "doc_id", "start", "n_tokens", "ids_crc32"])
 
