@@ -72,10 +72,10 @@ def floats_matrix(col: pa.Array, dim: int) -> np.ndarray:
 
 
 def usable_vector(name: str):
-    """Not null, not empty, and every component a finite number."""
+    """Not null, and every component a finite number."""
     v = F.col(name)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    return v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(bad, F.lit(True))
+    return v.isNotNull() & ~F.coalesce(bad, F.lit(True))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

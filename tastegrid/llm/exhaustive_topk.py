@@ -6,8 +6,8 @@ dense array of scores, term by term, a partition selection keeps the block's k b
 lists are merged. Every query meets every candidate: a grid of groups (candidate groups by query
 groups) decides which task compares which blocks, so that no side is broadcast.
 
-Defined cases: a vector that is null, empty, or holds a null or non-finite component takes no part,
-nor does a row without id. Rows with a query's id are never its candidates. Ties go to the smaller
+Defined cases: a vector that is null or holds a null or non-finite component takes no part, nor does a
+row without id; an empty vector scores 0 with all. Rows with a query's id are never its candidates. Ties go to the smaller
 id; repeated candidate rows each count; a repeated query row gets a list of its own. Vectors of
 unequal length are compared on the terms they share. An empty table gives an empty result. Other
 columns of the input are ignored.
@@ -164,7 +164,7 @@ OP5_SQL = """
 WITH v AS (
   SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS w
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0
+  WHERE embedding IS NOT NULL
     AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(CAST(q.w AS DOUBLE[]), CAST(c.w AS DOUBLE[])) AS BIGINT) AS score
