@@ -36,7 +36,8 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img wbr br nobr".split())
 FURNITURE = frozenset("nav footer aside form script style noscript template iframe svg canvas object button select textarea menu dialog head title audio video map math".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-WORDS = frozenset("ad ads adv advert sponsor promo banner sidebar side nav navbar navigation menu footer masthead cookie consent gdpr notice alert popup modal overlay login signin signup respond reply replies disqus discussion share sharing social related widget pager copyright legal disclaimer skip".split())
+WORDS = frozenset("ad ads adv advert sponsor promo banner sidebar side nav navbar navigation menu footer masthead cookie consent gdpr notice alert popup modal overlay login signin signup respond reply replies disqus pager".split())
+DOUBTFUL = frozenset("copyright disclaimer discussion legal related share sharing skip social widget".split())
 STEMS = ("comment", "advert", "sponsor", "cookie", "sidebar", "breadcrumb", "recommend", "subscri", "newsletter", "pagina", "promo")
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -47,28 +48,31 @@ _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
 
-def is_furniture(tag: str, attrs: str, in_article: bool) -> bool:
+def furniture(tag: str, attrs: str, in_article: bool) -> int:
+    """2 for page furniture, 1 for what counts as such if it is mostly links, else 0."""
     if tag in FURNITURE or tag == "header" and not in_article:
-        return True
+        return 2
     if "=" not in attrs and "hidden" not in attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
+    doubt = 0
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             for w in _PART.findall(value):
                 w = w.lower()
                 if w in WORDS or w.startswith(STEMS) or w == "header" and not in_article:
-                    return True
+                    return 2
+                doubt = max(doubt, int(w in DOUBTFUL))
         elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return 2
+    return doubt
 
 
 class _Tree:
     """Nodes in page order; events are text, or a block's begin or end (None)."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.skip = ["body"], [-1], [False]
+        self.tag, self.parent, self.skip, self.doubt = ["body"], [-1], [False], [False]
         self.begin, self.end = [0], [0]
         self.chars, self.links, self.own = [0], [0], [0]
         self.events: list[str | None] = []
@@ -114,7 +118,9 @@ class _Tree:
         up = stack[-1]
         self.tag.append(name)
         self.parent.append(up)
-        self.skip.append(self.skip[up] or is_furniture(name, attrs, bool(open_.get("article"))))
+        kind = furniture(name, attrs, bool(open_.get("article")))
+        self.skip.append(self.skip[up] or kind == 2)
+        self.doubt.append(kind == 1)
         if name not in INLINE:
             self.events.append(None)
         self.begin.append(len(self.events))
@@ -178,6 +184,9 @@ def main_text(page: str | None) -> str:
     c, tags, lc, lt = list(own), list(t.own), [x if k else 0 for x, k in zip(own, in_link, strict=True)], [0] * n
     for i in range(n - 1, 0, -1):
         p = t.parent[i]
+        if t.doubt[i] and not skip[i] and 2 * lc[i] >= c[i]:
+            skip[i] = True
+            t.events[t.begin[i] : t.end[i]] = [None] * (t.end[i] - t.begin[i])
         if not skip[i]:
             c[p] += c[i]
             tags[p] += tags[i] + 1
@@ -185,6 +194,8 @@ def main_text(page: str | None) -> str:
             lt[p] += lt[i] + (t.tag[i] == "a")
     if not c[0]:
         return ""
+    for i in range(1, n):
+        skip[i] = skip[i] or skip[t.parent[i]]
     share = lc[0] / c[0]
 
     def density(i: int) -> float:
