@@ -12,7 +12,10 @@ from tastegrid.operators.scoring import KIDS_GENRES, KIDS_KEYWORDS
 # Film genres as series genres, and the ladder of certificates.
 TV_GENRES = {28: 10759, 12: 10759, 16: 16, 35: 35, 80: 80, 99: 99, 18: 18, 10751: 10751, 14: 10765, 36: 10768, 27: 9648, 10402: 18, 9648: 9648, 10749: 18, 878: 10765, 53: 80, 10752: 10768, 37: 37}
 CERTIFICATES = {"G": 1, "PG": 2, "PG-13": 3, "R": 3, "NC-17": 4}
-SORTS = {"popularity": "popularity", "vote_average": "vote_average", "vote_count": "vote_count", "release_date": "release_date", "first_air_date": "release_date"}
+HORROR = "315058"
+PROVIDERS = {"netflix": 8, "amazon": 119, "prime": 119, "disney": 337, "apple": 350}
+SORTS = {"popularity": "popularity", "vote_average": "vote_average", "vote_count": "vote_count", "release_date": "release_date", "first_air_date": "release_date", "primary_release_date": "release_date", "revenue": "revenue"}
+LABELS = {"popularity": "popularity.desc", "vote": "vote_average.desc", "date": "release_date.desc", "revenue": "revenue.desc"}
 
 
 @dataclass(frozen=True)
@@ -36,9 +39,26 @@ class Discovery:
     popularity_lte: float | None = None
     year_from: int | None = None
     year_to: int | None = None
+    with_people: str | None = None
+    with_companies: str | None = None
+    with_networks: str | None = None
+    runtime_gte: int | None = None
+    runtime_lte: int | None = None
+    certification_lte: str | None = None
+    watch_provider: str | None = None
+    watch_region: str = "IT"
     text_search: str | None = None
     sort_by: str = "popularity.desc"
 
+    def for_series(self) -> Discovery:
+        """The horror rule: genre 27 of series comes with the horror keyword, too."""
+        has = self.media_type == "tv" and "27" in _parts(self.with_genres or "")
+        return replace(self, with_keywords=",".join(filter(None, [self.with_keywords, HORROR]))) if has else self
+
+    def without_topic(self) -> Discovery | None:
+        """What a documentary block that found nothing tries next: the same without keywords."""
+        return replace(self, with_keywords=None) if self.with_keywords and "99" in _parts(self.with_genres or "") else None
+
     def for_kids(self) -> Discovery:
         """Adds the blocked genres and keywords; bounds on the average would hide family titles and go."""
         add = lambda a, b: ",".join(filter(None, [a, *map(str, b)]))
@@ -48,7 +68,7 @@ class Discovery:
         tests = [F.lit(True)]
         if self.media_type:
             tests.append(F.col("media_type") == self.media_type)
-        for text, column in ((self.with_genres, "genre_ids"), (self.with_keywords, "keyword_ids"), (self.with_cast, "cast_ids"), (self.with_crew, "director_ids")):
+        for text, column in ((self.with_genres, "genre_ids"), (self.with_keywords, "keyword_ids"), (self.with_cast, "cast_ids"), (self.with_crew, "director_ids"), (self.with_companies, "company_ids"), (self.with_networks, "network_ids")):
             if text:
                 tests.append(holds(F.col(column), text))
         for text, column in ((self.without_genres, "genre_ids"), (self.without_keywords, "keyword_ids")):
@@ -67,6 +87,15 @@ class Discovery:
             tests.append(F.col("release_date") >= F.make_date(F.lit(self.year_from), F.lit(1), F.lit(1)))
         if self.year_to is not None:
             tests.append(F.col("release_date") <= F.make_date(F.lit(self.year_to), F.lit(12), F.lit(31)))
+        if self.with_people:
+            tests.append(holds(F.array_union("cast_ids", "director_ids"), self.with_people))
+        if self.media_type != "tv":  # only films have a runtime
+            tests += [F.col("runtime") >= self.runtime_gte] if self.runtime_gte is not None else []
+            tests += [F.col("runtime") <= self.runtime_lte] if self.runtime_lte is not None else []
+        if self.certification_lte:
+            tests.append(certificate_rank(F.col("certificate")) <= CERTIFICATES[self.certification_lte])
+        if self.watch_provider and (pid := PROVIDERS.get(self.watch_provider.lower())):
+            tests.append(F.array_contains(offers(F.col("providers"), self.watch_region), pid))
         if self.text_search:
             tests.append(F.lower("name").contains(self.text_search.lower()))
         out = tests[0]
@@ -76,12 +105,23 @@ class Discovery:
 
     def sort_key(self) -> Column:
         """A number of which larger comes first."""
-        name, _, way = self.sort_by.partition(".")
+        name, _, way = LABELS.get(self.sort_by, self.sort_by).partition(".")
         c = F.col(SORTS[name])
         c = F.datediff(c, F.lit("1970-01-01").cast("date")).cast("double") if SORTS[name] == "release_date" else c.cast("double")
         return -c if way == "asc" else c
 
 
+def certificate_rank(certificate: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in CERTIFICATES.items() for x in kv)), certificate)
+
+
+def offers(providers: Column, region: str) -> Column:
+    """All providers of a region, whether by subscription, rent, sale or with adverts."""
+    own = F.try_element_at(providers, F.lit(region))
+    none = F.expr("CAST(array() AS array<bigint>)")
+    return F.concat(*(F.coalesce(own[k], none) for k in ("flatrate", "rent", "buy", "ads")))
+
+
 def _parts(text: str) -> list[str]:
     return [x.strip() for x in text.replace("|", ",").split(",") if x.strip()]
 
@@ -106,6 +146,42 @@ def discover(items: DataFrame, blocks: list[tuple[dict, Discovery]]) -> DataFram
     return out.withColumn("pos", F.row_number().over(w)).drop("sort")
 
 
+def discover_relaxed(items: DataFrame, blocks: list[tuple[dict, Discovery]]) -> DataFrame:
+    """As discover(); a documentary block without any row gets those it has without keywords, from the same scan."""
+    twins = [({**k, "relaxed": 1}, b.without_topic()) for k, b in blocks if b.without_topic()]
+    both = discover(items, [({**k, "relaxed": 0}, b) for k, b in blocks] + twins)
+    keys = list(blocks[0][0])
+    return both.filter("relaxed = 0").unionByName(both.filter("relaxed = 1").join(both.filter("relaxed = 0").select(*keys).distinct(), keys, "left_anti"))
+
+
+ANY = "*"
+
+
+def keyed_lists(items: DataFrame, n: int, *order: Column) -> DataFrame:
+    """(key, item_id, place): the first n items of each combination of a genre, a keyword and a country, or any (*)."""
+    own = lambda c: F.concat(F.array(F.lit(ANY)), F.coalesce(c.cast("array<string>"), F.expr("CAST(array() AS array<string>)")))
+    one = items.select("*", F.explode(own(F.array_distinct("genre_ids"))).alias("_g"))
+    one = one.select("*", F.explode(own(F.array_distinct("keyword_ids"))).alias("_k"))
+    one = one.select("*", F.explode(own(F.array("origin_country"))).alias("_o")).withColumn("key", F.concat_ws("|", "_g", "_k", "_o"))
+    w = Window.partitionBy("key").orderBy(*order, "item_id")
+    return one.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("key", "item_id", "place")
+
+
+def discover_for(items: DataFrame, wanted: DataFrame, n: int, order: str = "popularity") -> DataFrame:
+    """(owner, item_id, pos): each profile's first n items by `order` of any wanted genre, any wanted keyword and any wanted country.
+
+    wanted: (owner, genres, keywords, countries), where an empty list means all. The best n of a union are
+    among the best n of its parts, so profiles meet lists of n items, never the items.
+    """
+    lists = keyed_lists(items, n, F.desc(order))
+    part = lambda c: F.when(F.size(c) > 0, F.array_distinct(F.col(c).cast("array<string>"))).otherwise(F.array(F.lit(ANY)))
+    keys = wanted.select("owner", F.explode(part("genres")).alias("g"), part("keywords").alias("k"), part("countries").alias("o"))
+    keys = keys.select("owner", "g", F.explode("k").alias("k"), "o").select("owner", "g", "k", F.explode("o").alias("o")).select("owner", F.concat_ws("|", "g", "k", "o").alias("key"))
+    own = keys.join(lists, "key").select("owner", "item_id").distinct().join(items.select("item_id", order), "item_id")
+    w = Window.partitionBy("owner").orderBy(F.desc(order), "item_id")
+    return own.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n).select("owner", "item_id", "pos")
+
+
 def map_genres(genre_ids: Column) -> Column:
     """Film genres as series genres, once each, in order; ids that already are series genres stay."""
     table = F.create_map(*(F.lit(x).cast("long") for kv in TV_GENRES.items() for x in kv))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,15 +19,17 @@ def top_catalog(df: DataFrame, n: int, *keys: str, score: str = "score") -> Data
     return ranked(df, score, *keys).filter(F.col("pos") <= n)
 
 
-def two_tier(pool: DataFrame, days: DataFrame, *keys: str, most: int = 80) -> DataFrame:
+def two_tier(pool: DataFrame, days: DataFrame, *keys: str, most: int = 80, full: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Keep the better half by the light score, at most `most`; order by the full one less the impression penalty.
 
-    pool: (keys, item_id, light, full); days: (keys, item_id, days).
+    pool: (keys, item_id, light); days: (keys, item_id, days). full adds the column `full` to the rows that
+    are kept, so that what it needs is joined to those only; without it pool has that column.
     """
     half = F.least(F.lit(most), F.ceil(F.count("*").over(Window.partitionBy(*keys)) / 2.0))
-    kept = ranked(pool, "light", *keys, out="k").withColumn("half", half).filter("k <= half")
+    kept = ranked(pool, "light", *keys, out="k").withColumn("half", half).filter("k <= half").drop("k", "half")
+    kept = kept if full is None else full(kept)
     s = kept.join(days, [*keys, "item_id"], "left").withColumn("score", F.col("full") * impression_penalty(F.col("days")))
-    return ranked(s, "score", *keys).drop("k", "half")
+    return ranked(s, "score", *keys)
 
 
 def first_seen(df: DataFrame, key: str, order: list[str], *keys: str) -> DataFrame:
@@ -89,3 +93,19 @@ def relax_votes(queries: DataFrame, items: DataFrame, key: str, on: str) -> Data
     lower = F.when(F.col("floor_") > 5, 5).otherwise(0)
     empty = queries.join(first.select(key).distinct(), key, "left_anti")
     return first.unionByName(empty.join(items, on).filter(F.col("vote_count") >= lower).select(key, "item_id", F.lit(1).alias("relaxed")))
+
+
+def seed_weights(seeds: DataFrame, *keys: str) -> DataFrame:
+    """The sum of the weights of each seed (keys, item_id, weight)."""
+    return seeds.groupBy(*keys, "item_id").agg(F.sum("weight").alias("weight"))
+
+
+def weighted_neighbours(seeds: DataFrame, edges: DataFrame, *keys: str) -> DataFrame:
+    """Neighbours of seeds with the sum of their seeds' weights and their best place."""
+    j = seeds.join(edges.withColumnRenamed("src_id", "item_id"), "item_id")
+    return j.groupBy(*keys, F.col("dst_id").alias("item_id")).agg(F.sum("weight").alias("weight"), F.min("position").alias("place"))
+
+
+def similar_counts(edges: DataFrame) -> DataFrame:
+    """How often each item is a neighbour."""
+    return edges.groupBy(F.col("dst_id").alias("item_id")).agg(F.count("*").alias("n"))

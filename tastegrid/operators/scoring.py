@@ -27,10 +27,22 @@ def bayes(votes: Column, average: Column, m: float = MIN_VOTES, mean: float = ME
     return v / (v + m) * r + m / (v + m) * mean
 
 
+UNROLLED = 5
+
+
 def affinity(vector: Column, prefix: str, values: Column) -> Column:
-    """Sum of a profile's weights over an item's ids; ids that come twice count twice."""
-    weight = lambda i: F.coalesce(F.try_element_at(vector, F.concat(F.lit(f"{prefix}:"), i.cast("string"))), F.lit(0.0))
-    return F.aggregate(F.coalesce(values, F.expr("CAST(array() AS array<bigint>)")), F.lit(0.0), lambda s, i: s + weight(i))
+    """Sum of a profile's weights over an item's ids; ids that come twice count twice.
+
+    vector is a profile's struct of maps (vectors.as_maps). The first ids are looked up one by one, in
+    compiled code; only longer lists go on with aggregate(), which is interpreted.
+    """
+    weight = lambda i: F.coalesce(F.try_element_at(vector[prefix], i), F.lit(0.0))
+    total = weight(F.get(values, F.lit(0)))
+    for k in range(1, UNROLLED):
+        total = total + weight(F.get(values, F.lit(k)))
+    n = F.coalesce(F.size(values), F.lit(0))
+    rest = F.aggregate(F.slice(values, UNROLLED + 1, n), F.lit(0.0), lambda s, i: s + weight(i))
+    return total + F.when(n > UNROLLED, rest).otherwise(0.0)
 
 
 def thematic(vector: Column) -> Column:
@@ -54,9 +66,9 @@ def base_match(vector: Column, taste_weight: float = 1.0, vote_weight: float = 1
     return score if kids is None else F.when(kids & unfit_for_kids(), BLOCKED).otherwise(score)
 
 
-def dna_multiplier(genres: Column, keywords: Column) -> Column:
-    """1 without filters or with a genre or keyword hit, else 0.1."""
-    none = (F.size(genres) == 0) & (F.size(keywords) == 0)
+def dna_multiplier(genres: Column, keywords: Column, filters: Column | None = None) -> Column:
+    """1 without filters or with a genre or keyword hit, else 0.1; filters of other kinds alone (their number in `filters`) never hit."""
+    none = (F.size(genres) == 0) & (F.size(keywords) == 0) if filters is None else filters == 0
     return F.when(none | F.arrays_overlap("genre_ids", genres) | F.arrays_overlap("keyword_ids", keywords), 1.0).otherwise(0.1)
 
 

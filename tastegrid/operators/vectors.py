@@ -72,6 +72,14 @@ def as_map(vector: DataFrame, *keys: str) -> DataFrame:
     return vector.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("vector"))
 
 
+def as_maps(vector: DataFrame, *keys: str) -> DataFrame:
+    """(keys, vector STRUCT): one row a profile, with a map from id to weight for each prefix; ids that are no numbers can't be looked up."""
+    kind, number = F.substring_index("feature", ":", 1), F.substring_index("feature", ":", -1).try_cast("long")
+    one = vector.select(*keys, kind.alias("_p"), F.struct(number.alias("id"), "weight").alias("_e"))
+    own = lambda p: F.map_from_entries(F.collect_list(F.when((F.col("_p") == p) & F.col("_e.id").isNotNull(), F.col("_e"))))
+    return one.groupBy(*keys).agg(*(own(p).alias(p) for p in ("g", "k", "d", "a"))).select(*keys, F.struct("g", "k", "d", "a").alias("vector"))
+
+
 def top_features(vector: DataFrame, prefix: str, n: int, *keys: str, filters: DataFrame | None = None) -> DataFrame:
     """(keys, feature, score, pos): the n best of a prefix; filters (keys, feature) add 50, or give 100 where nothing was."""
     own = vector.filter(F.col("feature").startswith(f"{prefix}:")).select(*keys, "feature", F.col("weight").alias("score"))

@@ -1,8 +1,13 @@
-"""Catalog jobs: each is one pipeline over all profiles; nothing is collected and users are never crossed with items."""
+"""Catalog jobs: each is one pipeline over all profiles; nothing is collected and users are never crossed with items.
+
+Full scores come as a function that joins what they need, and are taken after the cheap cuts.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastegrid.operators import ranking as R
@@ -24,35 +29,59 @@ def multi_query_catalog(discovered: DataFrame, queries: int = 10) -> DataFrame:
     return R.interleave(lists, "catalog_id", limit=20).select("catalog_id", "item_id", F.col("place").alias("pos"))
 
 
-def seed_network(neighbours: DataFrame, features: DataFrame, vectors: DataFrame, top: DataFrame, days: DataFrame, most: int = 80) -> DataFrame:
-    """Neighbours of seeds by hybrid score; the best 80 by its sum with the match times the impression penalty."""
-    p = neighbours.join(features, "item_id").join(top, "owner", "left").join(vectors, "owner")
-    p = p.withColumns({"hybrid": S.hybrid_score(F.col("place"), F.col("weight"), F.col("top"), F.col("genre_ids")).cast("double"), "match": S.base_match(F.col("vector"))}).select("owner", "item_id", "hybrid", "match")
-    kept = R.ranked(p, "hybrid", "owner", out="k").filter(F.col("k") <= most).join(days, ["owner", "item_id"], "left")
-    return R.top_catalog(kept.withColumn("score", F.col("hybrid") + F.col("match") * S.impression_penalty(F.col("days"))), SIZE, "owner").select("owner", "item_id", "score", "pos")
+def matched(rows: DataFrame, score: Callable[[DataFrame], DataFrame], days: DataFrame) -> DataFrame:
+    """rows (owner, item_id, ...) with the full score and the impression penalty."""
+    return score(rows).join(days, ["owner", "item_id"], "left").withColumn("penalty", S.impression_penalty(F.col("days"))).drop("days")
+
+
+def seed_network(neighbours: DataFrame, features: DataFrame, top: DataFrame, dna: DataFrame, score: Callable[[DataFrame], DataFrame], days: DataFrame, most: int = 80) -> DataFrame:
+    """Neighbours (owner, item_id, weight) of weighted seeds by hybrid score and DNA; the best 80 by its sum with the match, less impressions.
+
+    dna: (owner, genres, keywords, filters); score adds `full`, to the 80 only.
+    """
+    own = features.select("item_id", "genre_ids", "keyword_ids")
+    p = neighbours.join(own, "item_id").join(top, "owner", "left").join(dna, "owner", "left")
+    hybrid = S.hybrid_score(F.lit(None).cast("int"), F.col("weight"), F.col("top"), F.col("genre_ids")).cast("double") * dna_factor()
+    p = p.select("owner", "item_id", hybrid.alias("hybrid"))
+    kept = matched(R.ranked(p, "hybrid", "owner", out="k").filter(F.col("k") <= most).drop("k"), score, days)
+    return R.top_catalog(kept.withColumn("score", (F.col("hybrid") + F.col("full")) * F.col("penalty")), SIZE, "owner").select("owner", "item_id", "score", "pos")
+
 
+def dna_factor() -> Column:
+    """The DNA multiplier of a row with genres, keywords and filters; profiles without DNA have nulls."""
+    none = F.expr("CAST(array() AS array<bigint>)")
+    return S.dna_multiplier(F.coalesce("genres", none), F.coalesce("keywords", none), F.coalesce("filters", F.lit(0)))
 
-def true_blend(pool: DataFrame, days: DataFrame) -> DataFrame:
-    """Two tiers, then the genre saturation penalty; pool: candidates with features and vector."""
-    p = pool.withColumns({"light": S.light_score(F.col("vector")), "full": S.base_match(F.col("vector"))})
-    t = R.two_tier(p.select("owner", "item_id", "light", "full", "genre_ids"), days, "owner")
+
+def true_blend(pool: DataFrame, days: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Two tiers, then the genre saturation penalty; pool: (owner, item_id, light, genre_ids)."""
+    t = R.two_tier(pool, days, "owner", full=score)
     s = S.genre_saturation(t.withColumnRenamed("pos", "rank").select("owner", "item_id", "rank", "genre_ids", "score"), "owner")
     return R.top_catalog(s.withColumn("score", F.col("score") - F.col("penalty")), SIZE, "owner").select("owner", "item_id", "score", "pos")
 
 
-def hidden_gems(pool: DataFrame, days: DataFrame) -> DataFrame:
-    """Few votes, good averages, low popularity; the light score is the niche one."""
-    p = pool.filter(F.col("vote_count").between(100, 3000) & (F.col("vote_average") >= 5.5) & (F.col("popularity").isNull() | (F.col("popularity") <= 80)))
-    p = p.withColumns({"light": S.niche_light_score(F.col("vector")), "full": S.base_match(F.col("vector"))})
-    return R.two_tier(p.select("owner", "item_id", "light", "full"), days, "owner").filter(F.col("pos") <= SIZE).select("owner", "item_id", "score", "pos")
+# What makes a hidden gem.
+GEMS = {"vote_count_gte": 100, "vote_count_lte": 3000, "vote_average_gte": 7.0, "popularity_lte": 80.0}
+GEMS_RUNTIME = 60
+
+
+def hidden_gems(pool: DataFrame, days: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Two tiers of discovered gems, the light score being the niche one."""
+    return R.two_tier(pool, days, "owner", full=score).filter(F.col("pos") <= SIZE).select("owner", "item_id", "score", "pos")
+
+
+def community_filtered(recommended: DataFrame, days: DataFrame, score: Callable[[DataFrame], DataFrame], most: int = 100) -> DataFrame:
+    """A profile's first recommendations of others, by match less impressions."""
+    own = matched(recommended.filter(F.col("pos") <= most).select("owner", "item_id"), score, days)
+    return R.top_catalog(own.withColumn("score", F.col("full") * F.col("penalty")), SIZE, "owner").select("owner", "item_id", "score", "pos")
 
 
 def popular_fallback(items: DataFrame, n: int = 60) -> DataFrame:
     return items.filter("vote_count >= 50").orderBy(F.desc("popularity"), "item_id").limit(n)
 
 
-def gems_fallback(items: DataFrame, n: int = 60) -> DataFrame:
-    return items.filter((F.col("vote_count").between(50, 2000)) & (F.col("vote_average") >= 5.5) & (F.coalesce("popularity", F.lit(float("inf"))) <= 80)).orderBy(F.desc("vote_average"), "item_id").limit(n)
+def gems_fallback(items: DataFrame, n: int = 60, least: float = 7.0) -> DataFrame:
+    return items.filter((F.col("vote_count").between(50, 2000)) & (F.col("vote_average") >= least) & (F.coalesce("popularity", F.lit(float("inf"))) <= 80)).orderBy(F.desc("vote_average"), "item_id").limit(n)
 
 
 def placed(df: DataFrame, *order) -> DataFrame:
@@ -60,8 +89,14 @@ def placed(df: DataFrame, *order) -> DataFrame:
     return df.withColumn("pos", F.row_number().over(Window.orderBy(*order)))
 
 
-def with_fallback(personal: DataFrame, owners: DataFrame, fallback: DataFrame) -> DataFrame:
-    """Profiles without a list of their own get the fallback, which is at most some dozens of rows."""
+def with_fallback(personal: DataFrame, owners: DataFrame, fallback: DataFrame | None) -> DataFrame:
+    """Profiles without a list of their own get the fallback, or nothing where there is none.
+
+    The fallback is a list of some dozens of rows by its own limit; every profile that gets it gets all of it.
+    """
+    own = personal.select("owner", "item_id", "pos")
+    if fallback is None:
+        return own
     empty = owners.join(personal.select("owner").distinct(), "owner", "left_anti")
-    lane = empty.withColumn("lane", F.lit(0)).join(F.broadcast(fallback.withColumn("lane", F.lit(0))), "lane").drop("lane")
-    return personal.select("owner", "item_id", "pos").unionByName(lane.select("owner", "item_id", "pos"))
+    lane = empty.withColumn("lane", F.lit(0)).join(F.broadcast(fallback.withColumn("lane", F.lit(0))), "lane")
+    return own.unionByName(lane.select("owner", "item_id", "pos"))

@@ -82,29 +82,30 @@ def w14(spark, d):
 
 @query("a10_similar_counts", "SELECT dst_id AS item_id, count(*) AS n FROM similar_items GROUP BY ALL", ("similar_items",))
 def a10(spark, d):
-    return D.similar(spark, d).groupBy(F.col("dst_id").alias("item_id")).agg(F.count("*").alias("n"))
+    return R.similar_counts(D.similar(spark, d))
 
 
-_SEEDS = """SELECT owner, item_id, CAST(sum(weight) AS BIGINT) AS weight FROM (SELECT owner, item_id, 2 AS weight FROM loved WHERE pos <= 20 UNION ALL SELECT owner, item_id, 1 FROM liked WHERE pos <= 15
-  UNION ALL SELECT owner, item_id, 3 FROM (SELECT owner, item_id, row_number() OVER (PARTITION BY owner ORDER BY episodes_watched DESC, item_id) AS k FROM watch_history WHERE context = 'global') WHERE k <= 10) GROUP BY ALL"""
+BASE_SQL["seeds"] = (("loved", "liked", "community", "dna_seeds"), """SELECT owner, item_id, CAST(sum(weight) AS BIGINT) AS weight FROM (SELECT owner, item_id, 2 AS weight FROM loved WHERE pos <= 20 UNION ALL SELECT owner, item_id, 1 FROM liked WHERE pos <= 15
+  UNION ALL SELECT owner, item_id, 3 FROM community WHERE pos <= 10 UNION ALL SELECT owner, item_id, 4 FROM dna_seeds) GROUP BY ALL""")
+BASE_SQL["neighbours"] = (("seeds", "similar_items"), "SELECT owner, dst_id AS item_id, CAST(sum(weight) AS BIGINT) AS weight, min(position) AS place FROM seeds JOIN similar_items ON item_id = src_id GROUP BY ALL")
 
 
 def seeds(spark: SparkSession, d: str) -> DataFrame:
-    h = R.paginate(D.watch_history(spark, d).filter("context = 'global'"), [F.desc("episodes_watched"), "item_id"], "owner", size=10)
+    from tastegrid.queries.tastes import dna_seeds
+
     take = lambda df, n, w: df.filter(F.col("pos") <= n).select("owner", "item_id", F.lit(w).alias("weight"))
-    all_ = take(D.feed(spark, d, "R"), 20, 2).unionByName(take(D.feed(spark, d, "A"), 15, 1)).unionByName(h.select("owner", "item_id", F.lit(3).alias("weight")))
-    return all_.groupBy("owner", "item_id").agg(F.sum("weight").alias("weight"))
+    feeds = take(D.feed(spark, d, "R"), 20, 2).unionByName(take(D.feed(spark, d, "A"), 15, 1)).unionByName(take(D.community(spark, d), 10, 3))
+    return R.seed_weights(feeds.unionByName(take(dna_seeds(spark, d), 5, 4)), "owner")
 
 
-@query("a11_seed_weights", _SEEDS, ("loved", "liked", "watch_history"))
+@query("a11_seed_weights", "SELECT * FROM seeds", ("seeds",))
 def a11(spark, d):
     return seeds(spark, d)
 
 
-@query("a12_weighted_neighbours", f"SELECT owner, dst_id AS item_id, CAST(sum(weight) AS BIGINT) AS weight, min(position) AS place FROM ({_SEEDS}) JOIN similar_items ON item_id = src_id GROUP BY ALL", ("loved", "liked", "watch_history", "similar_items"))
+@query("a12_weighted_neighbours", "SELECT * FROM neighbours", ("neighbours",))
 def a12(spark, d):
-    e = D.similar(spark, d).withColumnRenamed("src_id", "item_id")
-    return seeds(spark, d).join(e, "item_id").groupBy("owner", F.col("dst_id").alias("item_id")).agg(F.sum("weight").alias("weight"), F.min("position").alias("place"))
+    return R.weighted_neighbours(seeds(spark, d), D.similar(spark, d), "owner")
 
 
 @query("j15_expand_seeds", "SELECT * FROM candidates", ("candidates",))

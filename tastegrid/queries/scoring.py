@@ -24,6 +24,7 @@ _BONUS = "CASE WHEN vote_count < 20 THEN 0.0::DOUBLE WHEN vote_count <= 500 THEN
 _NICHE = f"greatest(0.0::DOUBLE, least(10.0::DOUBLE, (0.8::DOUBLE * (genre + 0.35::DOUBLE * keyword + 0.75::DOUBLE * len([x FOR x IN genre_ids IF x IN (99, 10402, 36, 37, 10770)])) + 0.2::DOUBLE * ({_BONUS})) * CASE WHEN vote_count > 0 AND vote_count < 20 THEN 0.15::DOUBLE ELSE 1 END))"
 
 
+@D.shared
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """owner, item_id, n seeds and best place."""
     seeds = D.feed(spark, d, "R").filter("pos <= 5").select("owner", F.col("item_id").alias("src_id"))
@@ -31,7 +32,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, d: str, context: str = "global") -> DataFrame:
-    return V.as_map(fused(spark, d).filter(F.col("context") == context), "owner")
+    return V.as_maps(fused(spark, d).filter(F.col("context") == context), "owner")
 
 
 def pool(spark: SparkSession, d: str) -> DataFrame:
@@ -39,6 +40,21 @@ def pool(spark: SparkSession, d: str) -> DataFrame:
     return candidates(spark, d).join(D.item_features(spark, d), "item_id").join(profiles(spark, d), "owner")
 
 
+LIGHT = ["owner", "item_id", "n", "place", "genre_ids", "keyword_ids", "vote_count", "vote_average", "popularity"]
+
+
+def light_pool(spark: SparkSession, d: str, prefixes: tuple[str, ...] = ("g",)) -> DataFrame:
+    """Candidates with what the light scores need: of the vector the genres only, or those of the prefixes."""
+    own = profiles(spark, d).select("owner", F.struct(*(f"vector.{p}" for p in prefixes)).alias("vector"))
+    return candidates(spark, d).join(D.item_features(spark, d), "item_id").select(*LIGHT).join(own, "owner")
+
+
+def with_match(spark: SparkSession, d: str, kept: DataFrame) -> DataFrame:
+    """kept (owner, item_id, ...) with the full score, whose features and vectors are joined to these rows only."""
+    own = D.item_features(spark, d).select("item_id", *(c for c in ("genre_ids", "keyword_ids", "director_ids", "cast_ids", "vote_count", "vote_average") if c not in kept.columns))
+    return kept.join(own, "item_id").join(profiles(spark, d), "owner").withColumn("full", S.base_match(F.col("vector"))).drop("vector")
+
+
 def cut(df: DataFrame, **scores) -> DataFrame:
     return df.select("owner", "item_id", *(F.round(c, 6).alias(k) for k, c in scores.items()))
 
@@ -145,7 +161,7 @@ def x13(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("owner").orderBy(F.desc(F.round("light", 9)), "item_id")
-    r = pool(spark, d).withColumn("light", S.light_score(F.col("vector"))).withColumn("rank", F.row_number().over(w))
+    r = light_pool(spark, d).select("owner", "item_id", "genre_ids", S.light_score(F.col("vector")).alias("light")).withColumn("rank", F.row_number().over(w))
     return S.genre_saturation(r.select("owner", "item_id", "rank", "genre_ids"), "owner").select("owner", "item_id", "rank", F.round("penalty", 6).alias("penalty"))
 
 
@@ -157,9 +173,9 @@ SELECT owner, item_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITI
 def w02(spark, d):
     from tastegrid.operators.ranking import two_tier
 
-    p = pool(spark, d).withColumns({"light": S.light_score(F.col("vector")), "full": S.base_match(F.col("vector"))})
+    p = light_pool(spark, d).select("owner", "item_id", S.light_score(F.col("vector")).alias("light"))
     days = a16(spark, d).filter("catalog_id = 'c1'").drop("catalog_id")
-    return two_tier(p.select("owner", "item_id", "light", "full"), days, "owner").select("owner", "item_id", F.round("score", 6).alias("score"), "pos")
+    return two_tier(p, days, "owner", full=lambda kept: with_match(spark, d, kept)).select("owner", "item_id", F.round("score", 6).alias("score"), "pos")
 
 
 @query("q01_top_items", f"""

@@ -40,6 +40,7 @@ def active(spark: SparkSession, d: str) -> DataFrame:
     return V.active_vector(D.watch_history(spark, d), D.item_features(spark, d), "owner", "context")
 
 
+@D.shared
 def fused(spark: SparkSession, d: str) -> DataFrame:
     return V.fuse(static(spark, d), active(spark, d), counts(spark, d), "owner", "context")
 

@@ -6,6 +6,9 @@ common table expression in SQL. Item ids start at 1, as id 0 counts as no id.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +37,31 @@ DEFINITIONS = [
 ]
 
 
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def shared(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """make's table, persisted for the session: many jobs read the items' features and the profiles' vectors.
+
+    Only tables of a row for each item, edge or profile feature are shared, none of the size of the events.
+    """
+
+    @functools.wraps(make)
+    def of(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, make.__qualname__, sf_dir)
+        if key not in _SHARED:
+            _SHARED[key] = make(spark, sf_dir).persist()
+        return _SHARED[key]
+
+    return of
+
+
+def release(spark: SparkSession) -> None:
+    """Drop the session's shared tables, as after the inputs have changed."""
+    for key in [k for k in _SHARED if k[0] == spark.sparkContext.applicationId]:
+        _SHARED.pop(key).unpersist()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,6 +77,7 @@ def part_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@shared
 def item_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, media_type, name, language, country, genre/keyword/director/cast ids, votes, popularity, release date."""
     p = read(spark, sf_dir, "part").join(part_numbers(spark, sf_dir), F.col("p_partkey") == F.col("l_partkey"), "left")
@@ -75,6 +104,21 @@ def item_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@shared
+def item_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, runtime, company_ids, network_ids, certificate, revenue, providers (region to kinds of offers)."""
+    p = read(spark, sf_dir, "part")
+    size, key = F.col("p_size"), F.col("p_partkey")
+    ids = lambda *c: F.array(*(x.cast("long") for x in c))
+    offer = F.struct(ids(size % 3 + 7).alias("flatrate"), ids(100 + size % 20).alias("rent"), ids(330 + size % 8).alias("buy"), F.expr("CAST(array() AS array<bigint>)").alias("ads"))
+    other = F.struct(ids(size % 5 + 350).alias("flatrate"), ids(size % 2 + 118).alias("rent"), ids(size % 9).alias("buy"), ids(size % 4 + 336).alias("ads"))
+    return p.select(
+        (key + 1).cast("long").alias("item_id"), (40 + 2 * size).cast("long").alias("runtime"), ids(F.regexp_extract("p_brand", r"(\d+)", 1)).alias("company_ids"), ids(size % 6 + 200, key % 4 + 300).alias("network_ids"),
+        F.element_at(F.array(*map(F.lit, ["G", "PG", "PG-13", "R", "NC-17"])), ((key + 1) % 5 + 1).cast("int")).alias("certificate"), F.col("p_retailprice").alias("revenue"),
+        F.create_map(F.lit("US"), offer, F.lit("IT"), other).alias("providers"),
+    )
+
+
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, line = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
     return line.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -94,6 +138,7 @@ def watch_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("owner", contexts.alias("context"), "item_id", "bought").groupBy("owner", "context", "item_id").agg(F.count("*").alias("episodes_watched"), F.max("bought").alias("last_watched_at"))
 
 
+@shared
 def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src_id, dst_id, position: the 20 items that most often share an order with an item."""
     p = purchases(spark, sf_dir).select("basket", "item_id").distinct()
@@ -118,6 +163,14 @@ def feed(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
     return p.select("owner", "item_id", F.row_number().over(w).alias("pos"))
 
 
+def community(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """owner, item_id, pos: the items that others' views recommend, in order of time."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    e = read(spark, sf_dir, "events").filter("event_type = 'view'").select(F.col("user_id").cast("long").alias("owner"), (k * 7 % 150 + 1).alias("item_id"), "event_id")
+    e = e.groupBy("owner", "item_id").agg(F.min("event_id").alias("event_id"))
+    return e.select("owner", "item_id", F.row_number().over(Window.partitionBy("owner").orderBy("event_id")).alias("pos"))
+
+
 def definitions(spark: SparkSession) -> DataFrame:
     kinds = "catalog_id string, media_type string, query_idx int, with_genres string, without_genres string, with_keywords string, with_cast string, with_crew string, with_origin_country string, vote_count_gte long, vote_average_gte double, popularity_lte double, year_from int, year_to int, sort_by string"
     return spark.createDataFrame(DEFINITIONS, kinds)
@@ -175,6 +228,10 @@ BASE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "impressions": ((), "SELECT CAST(user_id AS BIGINT) AS owner, 'global' AS profile_id, 'c' || CAST(k % 2 AS VARCHAR) AS catalog_id, k % 10 + 1 AS item_id, CAST(ts AS DATE) AS seen_date FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"),
     "loved": (("purchases",), "SELECT owner, item_id, CAST(row_number() OVER (PARTITION BY owner ORDER BY min(bought), item_id) AS INTEGER) AS pos FROM purchases WHERE flag = 'R' GROUP BY owner, item_id"),
     "liked": (("purchases",), "SELECT owner, item_id, CAST(row_number() OVER (PARTITION BY owner ORDER BY min(bought), item_id) AS INTEGER) AS pos FROM purchases WHERE flag = 'A' GROUP BY owner, item_id"),
+    "item_traits": ((), """
+  SELECT CAST(p_partkey + 1 AS BIGINT) AS item_id, CAST(40 + 2 * p_size AS BIGINT) AS runtime, [CAST(regexp_extract(p_brand, '(\\d+)', 1) AS BIGINT)] AS company_ids, [CAST(p_size % 6 + 200 AS BIGINT), CAST(p_partkey % 4 + 300 AS BIGINT)] AS network_ids,
+    ['G', 'PG', 'PG-13', 'R', 'NC-17'][CAST((p_partkey + 1) % 5 + 1 AS INTEGER)] AS certificate, p_retailprice AS revenue, [p_size % 5 + 350, p_size % 2 + 118, p_size % 9, p_size % 4 + 336] AS offers_it FROM part"""),
+    "community": ((), "SELECT owner, item_id, CAST(row_number() OVER (PARTITION BY owner ORDER BY event_id) AS INTEGER) AS pos FROM (SELECT CAST(user_id AS BIGINT) AS owner, CAST(json_extract_string(props, '$.k') AS BIGINT) * 7 % 150 + 1 AS item_id, min(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY ALL)"),
     "definitions": ((), f"SELECT * FROM (VALUES {_values()}) AS d({', '.join(DEFINITION_COLUMNS)})"),
     "profile_catalogs": ((), f"SELECT CAST(c_custkey AS BIGINT) AS owner, catalog_id FROM customer JOIN (VALUES {', '.join(f'({n!r}, {i % 5})' for i, n in enumerate(_NAMES))}) AS n(catalog_id, slot) ON c_custkey % 5 = slot"),
     "episodes": ((), """

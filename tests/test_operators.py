@@ -56,8 +56,11 @@ def test_map_form_is_long_form(spark):
     f = spark.createDataFrame([(1, [28, 28, 12], [5])], "item_id long, genre_ids array<long>, keyword_ids array<long>")
     v = spark.createDataFrame([("g:28", 1.5), ("g:12", 2.0), ("k:9", 4.0)], "feature string, weight double")
     long = f.select(F.explode(F.concat(V.prefixed("g", "genre_ids"), V.prefixed("k", "keyword_ids"))).alias("feature")).join(v, "feature").agg(F.sum("weight").alias("w")).first().w
-    one = V.as_map(v.withColumn("p", F.lit(1)), "p")
+    one = V.as_maps(v.withColumn("p", F.lit(1)), "p")
     assert f.crossJoin(one).select(S.thematic(F.col("vector")).alias("w")).first().w == long == 5.0
+    many = spark.createDataFrame([(1, list(range(9)), None)], "item_id long, genre_ids array<long>, keyword_ids array<long>")
+    w = V.as_maps(spark.createDataFrame([(1, f"g:{i}", 2.0**i) for i in range(12)] + [(1, "k:text", 1.0), (1, "o:US", 1.0)], "p int, feature string, weight double"), "p")
+    assert many.crossJoin(w).select(S.thematic(F.col("vector")).alias("w")).first().w == 2.0**9 - 1  # lists beyond the unrolled part
 
 
 def test_lists(spark):
