@@ -50,7 +50,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, was)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more; what was computed from them is written, too."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,7 +117,9 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
         step = labels.select("node", F.col("root").alias("was")).join(near, "node", "left").select("node", "was", F.least("was", F.coalesce("m", "was")).alias("r"))
         jump = step.join(labels.select(F.col("node").alias("r"), F.col("root").alias("rr")), "r", "left").select("node", F.least("r", F.coalesce("rr", "r")).alias("root"), "was")
-        labels = written(jump.select("node", "root", (F.col("root") != F.col("was")).alias("moved")), f"{name}-labels")
+        before, labels = labels, written(jump.select("node", "root", (F.col("root") != F.col("was")).alias("moved")), f"{name}-labels")
+        drop(before)
         if labels.filter("moved").isEmpty():
+            drop(both)
             return labels.select("node", "root")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm.common import batches, table, written
+from tastegrid.llm.common import batches, drop, table, written
 
 LENGTH, GRAM, HOT, SUB = 400, 100, 2000, 16
 CODE, PASSAGE, UNBROKEN = 4, 51, 100
@@ -295,6 +295,7 @@ def repeated_spans(docs: DataFrame, keep: str = "none", hot: int = HOT, *, lengt
     runs = written(d.mapInArrow(lambda rows: _runs(rows, length, gram), "id long, key long, start int, n int, off int, m long, s long"), "suffix-runs")
     twice = written(runs.groupBy("m").count().filter("count > 1").select("m"), "suffix-twice")
     cand = written(runs.join(twice, "m"), "suffix-candidates")
+    drop(runs, twice)
     kinds = written(cand.groupBy("m", "s").agg(F.count("*").alias("c"), F.min(F.struct("id", "start", "key", "n", "off")).alias("first")), "suffix-kinds")
     several = written(kinds.groupBy("m").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "suffix-several")
     want = kinds.join(several, "m").select("first.id", "first.key", F.struct("m", "s", "first.start", "first.n", "first.off", "kinds").alias("r"))
@@ -302,13 +303,16 @@ def repeated_spans(docs: DataFrame, keep: str = "none", hot: int = HOT, *, lengt
     own = d.dropDuplicates(["id", "key"]) if not _keyed_once(docs) else d
     units = own.join(want, ["id", "key"]).select("id", "body", F.explode("r").alias("r"))
     units = written(units.select("id", "r.*", F.expr(f"substring(body, r.start + 1, r.n + {length - 1})").alias("body")), "suffix-units")
+    drop(want)
     found = units.filter(F.col("kinds") <= hot).repartition("m").sortWithinPartitions("m", "id", "start")
     found = found.select("m", "s", "n", "body").mapInArrow(lambda rows: _suffix_order(rows, length), f"m long, s long, dup {SPANS}, later {SPANS}")
     many = units.filter(F.col("kinds") > hot)
     if not several.filter(F.col("kinds") > hot).isEmpty():
         found = found.union(_hot(many, length))
     found = written(found, "suffix-found")
+    drop(units, several)
     known = written(kinds.join(found, ["m", "s"], "left"), "suffix-known")
+    drop(kinds, found)
     none = F.expr(f"CAST(array() AS {SPANS})")
     all_ = F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")))
     r = cand.join(known, ["m", "s"])
@@ -319,7 +323,9 @@ def repeated_spans(docs: DataFrame, keep: str = "none", hot: int = HOT, *, lengt
         spans = F.when(lead, F.coalesce("later", none)).otherwise(all_)
     r = r.select("id", "key", "start", F.explode(spans).alias("x"))
     r = r.select("id", "key", (F.col("start") + F.col("x.lo")).alias("lo"), (F.col("start") + F.col("x.hi") + (length - 1)).alias("hi")).distinct()
-    return written(r.groupBy("id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
+    spans = written(r.groupBy("id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
+    drop(cand, known)
+    return spans
 
 
 def _keyed_once(docs: DataFrame) -> bool:
@@ -408,7 +414,8 @@ def strip_passages(docs: DataFrame, keep: str = "first") -> DataFrame:
     # equal ids with texts that differ only in white space have equal codes, and with them equal spans
     words = repeated_spans(coded.select("doc_id", "text"), keep, length=CODE * PASSAGE, gram=CODE * PASSAGE // 4)
     keys = coded.select(F.col("doc_id").alias("id"), "key", F.xxhash64("text").alias("code")).distinct()
-    words = words.withColumnsRenamed({"key": "code", "spans": "words"}).join(keys, ["id", "code"]).select("id", "key", "words")
+    words = written(words.withColumnsRenamed({"key": "code", "spans": "words"}).join(keys, ["id", "code"]).select("id", "key", "words"), "suffix-words")
+    drop(coded)
     unbroken = docs.filter(F.col("text").rlike(f"[^ \\t\\n\\r\\x0B\\f]{{{UNBROKEN}}}"))
     spans = words.join(repeated_spans(unbroken, keep), ["id", "key"], "full")
     j = d.join(spans, ["id", "key"], "left").select("row", "body", "words", "spans")
