@@ -1,14 +1,20 @@
-"""Near-dedup by exact similarity: MinHash bands find candidates, word shingles verify them.
+"""Near copies by exact similarity, for thresholds that fingerprints alone can't reach (simhash.near_dedup).
 
 Two texts are near copies if the sets of their five-word shingles have a Jaccard similarity of 0.8 or
-more. BANDS = 32 bands of ROWS = 6 MinHash values miss such a pair with a probability of at most
-(1 - 0.8 ** 6) ** 32 = 6e-5. Texts of equal shingle sets are one node. Each node of a bucket is first
-verified with the bucket's smallest; the components of these links leave, of a large group, few
-buckets with nodes of different components, and only pairs across components are verified after that.
-Every link is verified by the exact similarity, and no bucket is cut.
+more. Texts of equal shingle sets are one node. Candidates come from two sides: fingerprints within three
+bits, by way of their anchors, and BANDS = 32 bands of ROWS = 6 MinHash values, which miss a pair of 0.8
+with a probability of at most (1 - 0.8 ** 6) ** 32 = 6e-5. Every link is verified on the exact sets.
+
+First each node of a bucket is compared with the bucket's head, the node with the most company in all its
+buckets, and so is each fingerprint with those its anchors link; these are pairs in number of the bucket's
+nodes. Where a bucket of three or more still has nodes of different components, all its nodes go, once each,
+to the cluster of such buckets, and pairs across components that share a band are compared inside tasks, of
+which only links that join components come out. Clusters are dealt into chunks of CHUNK shingles, and tasks
+compare two chunks, so that a cluster of any size fits; no pair is skipped and no bucket is cut.
 
 Defined cases: null texts count as empty; texts without words are copies of each other; fewer than five
 words form one shingle. Rows without doc_id stay. Words are cut at ASCII white space, A-Z in lower case.
+An empty table stays empty; repeated rows of one id leave one; other columns are kept.
 """
 
 from __future__ import annotations
@@ -21,9 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.llm.common import batches, components, written
+from tastegrid.llm.common import batches, components, drop, written
+from tastegrid.llm.simhash import majority, near_links
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 6
+CHUNK = 1 << 19
 _PIECE = 128
 _rng = np.random.default_rng(11)
 _ODD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,14 +68,18 @@ def band_keys(own: np.ndarray) -> np.ndarray:
 
 
 def _sketches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) to (doc_id, key, fp, n, bands): the set's key, its fingerprint, its size and its bands' keys."""
     for b in batches(rows):
-        keys, bands = [], []
+        keys, fps, sizes, bands = [], [], [], []
         for t in b.column(1):
             own = shingle_set(t.as_py() or b"")
             keys.append(_key(own))
+            fps.append(majority(own))
+            sizes.append(len(own))
             bands.append(band_keys(own).view(np.int64) if len(own) else np.zeros(0, np.int64))
         at = np.cumsum([0, *map(len, bands)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(bands)))], names=["doc_id", "key", "bands"])
+        signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(0), signed(keys), signed(fps), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(bands)))], names=["doc_id", "key", "fp", "n", "bands"])
 
 
 def _sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,42 +100,115 @@ def _similar(rows: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (b.column(0), b.column(1))], names=["a", "b"])
 
 
-def near_links(docs: DataFrame, nodes: DataFrame, bands: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(a, b): verified links; their components are those of all candidates with the similarity."""
+def _joined(rows: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, i, j, chunk, key, part, bands, own), those of a cluster's chunk pair (i, j) together: links that join parts."""
+
+    def links(held):
+        chunk, key, part = (np.array([x[k] for x in held]) for k in (3, 4, 5))
+        bands = np.array([x[6] for x in held], np.int64)
+        sets = [np.frombuffer(x[7], np.uint64) for x in held]
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        at = np.concatenate([[0], np.cumsum(size)])
+        code, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        mark, root = np.zeros(len(code), bool), {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        i, j = held[0][1], held[0][2]
+        for a in np.flatnonzero(chunk == i).tolist():
+            other = (chunk == j) & (part != part[a]) & (np.minimum(size, size[a]) >= least * np.maximum(size, size[a]))
+            other[: a + 1] &= i != j  # within one chunk each pair once
+            some = np.flatnonzero(other)
+            some = some[(bands[some] == bands[a]).any(axis=1)]
+            if not len(some):
+                continue
+            mark[flat[at[a] : at[a + 1]]] = True
+            held_codes = np.concatenate([flat[at[x] : at[x + 1]] for x in some.tolist()])
+            both = np.add.reduceat(mark[held_codes], np.concatenate([[0], np.cumsum(size[some])[:-1]]), dtype=np.int64)
+            mark[flat[at[a] : at[a + 1]]] = False
+            for x in some[both >= least * (size[a] + size[some] - both)].tolist():
+                p, q = find(part[a]), find(part[x])
+                if p != q:
+                    root[p] = q
+                    yield key[a], key[x]
+
+    def out(held):
+        got = list(links(held))
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
+
+    held: list[tuple] = []
+    for b in batches(rows):
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and row[:3] != held[-1][:3]:
+                yield out(held)
+                held = []
+            held.append(row)
+    if held:
+        yield out(held)
+
+
+def verified_links(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(a, b): links of nodes (key, first, fp, n, bands) whose components are those of all candidates with the similarity."""
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        used = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        texts = docs.join(nodes.join(used, "key").withColumnRenamed("first", "doc_id"), "doc_id").select("key", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-        sets = written(texts.mapInArrow(_sets, "key long, own binary").dropDuplicates(["key"]), f"{name}-sets")
-        p = pairs.join(sets.select(F.col("key").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("own").alias("y")), "b")
-        return written(p.select("a", "b", "x", "y").mapInArrow(lambda rows: _similar(rows, least), "a long, b long"), name)
+    def sets_of(keys: DataFrame, name: str) -> DataFrame:
+        texts = docs.join(nodes.select("key", F.col("first").alias("doc_id")).join(keys, "key"), "doc_id").select("key", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+        return written(texts.mapInArrow(_sets, "key long, own binary").dropDuplicates(["key"]), name)
+
+    bands = nodes.select("key", F.explode("bands").alias("band"))
+    met = written(bands.join(bands.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1"), "band"), "near-met")
+    company = met.groupBy("key").agg(F.sum("m").alias("company"))
+    heads = met.join(company, "key").groupBy("band").agg(F.max(F.struct("company", "key")).alias("h")).select("band", F.col("h.key").alias("head"))
+    met = written(met.join(heads, "band"), "near-headed")
+    stars = met.filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"))
+
+    by_print = written(nodes.filter("n > 0").groupBy("fp").agg(F.min("key").alias("head"), F.count("*").alias("m")), "near-prints")
+    alike = nodes.join(by_print.filter("m > 1").select("fp", "head"), "fp").filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    of = lambda c: by_print.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
+    anchored = near_links(by_print.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    pairs = stars.union(alike).union(anchored).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(pairs, "near-stars")
+    sets = sets_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "near-sets")
+    p = pairs.join(sets.select(F.col("key").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("own").alias("y")), "b")
+    links = written(p.select("a", "b", "x", "y").mapInArrow(lambda rows: _similar(rows, least), "a long, b long"), "near-first")
+    drop(pairs, by_print, sets)
 
-    heads = bands.groupBy("band").agg(F.min("key").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    met = written(bands.join(heads, "band").select("band", "key", "head"), "near-met")
-    stars = written(met.filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct(), "near-stars")
-    links = verified(stars, "near-first")
     part = components(links, "near-part")
-    own = met.join(part.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("part"))
-    own = written(own, "near-own")
+    own = written(met.filter("m > 2").join(part.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "head", F.coalesce("root", "key").alias("part")), "near-own")
+    drop(met)
     open_ = own.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("band")
-    rest = written(own.join(open_, "band"), "near-rest")
-    across = rest.select("band", F.col("key").alias("a"), F.col("part").alias("p")).join(rest.select("band", F.col("key").alias("b"), F.col("part").alias("q")), "band").filter("a < b AND p <> q").select("a", "b").distinct()
-    across = written(across.join(stars, ["a", "b"], "left_anti"), "near-across")
-    return links.union(verified(across, "near-second"))
+    rest = written(own.join(open_, "band").select("key", "head", "part"), "near-rest")
+    drop(own)
+    if rest.isEmpty():
+        return links
+    # clusters of open buckets: every node is in one, whatever the number of its buckets
+    cluster = components(rest.select(F.col("key").alias("a"), F.col("head").alias("b")), "near-clusters")
+    inside = rest.select("key", "part").distinct().join(cluster.withColumnRenamed("node", "key"), "key").join(nodes.select("key", "n", "bands"), "key")
+    inside = written(inside, "near-inside")
+    chunks = inside.groupBy("root").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
+    dealt = inside.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")).join(sets_of(inside.select("key"), "near-inside-sets"), "key")
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("root", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "key", "part", "bands", "own")
+    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "key")
+    more = written(dealt.mapInArrow(lambda rows: _joined(rows, least), "a long, b long"), "near-second")
+    drop(rest, inside)
+    return links.union(more)
 
 
 def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """docs with one row of each group of near copies: that with the group's smallest doc_id."""
     d = docs.filter(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
     texts = d.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    sketches = written(texts.mapInArrow(_sketches, "doc_id long, key long, bands array<long>"), "near-sketches")
-    nodes = written(sketches.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("bands").alias("bands")), "near-nodes")
-    bands = nodes.select("key", F.explode("bands").alias("band"))
-    links = near_links(d.select("doc_id", "text"), nodes.select("key", "first"), bands, least)
-    labels = components(links, "near")
+    sketches = written(texts.mapInArrow(_sketches, "doc_id long, key long, fp long, n int, bands array<long>"), "near-sketches")
+    repeated = not sketches.groupBy("doc_id").count().filter("count > 1").isEmpty()  # an id given to several rows
+    nodes = written(sketches.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bands").alias("bands")), "near-nodes")
+    drop(sketches)
+    labels = components(verified_links(d.select("doc_id", "text"), nodes, least), "near")
     rooted = nodes.select("key", "first").join(labels.withColumnRenamed("node", "key"), "key", "left")
-    kept = rooted.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("doc_id")).select("doc_id").distinct()
-    out = docs.join(written(kept, "near-kept"), "doc_id", "left_semi")
-    if not sketches.groupBy("doc_id").count().filter("count > 1").isEmpty():  # an id given to several rows
-        out = out.dropDuplicates(["doc_id"])
+    kept = written(rooted.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("doc_id")).select("doc_id").distinct(), "near-kept")
+    drop(nodes)
+    out = docs.join(kept, "doc_id", "left_semi")
+    out = out.dropDuplicates(["doc_id"]) if repeated else out
     return out.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm.common import batches, components, table, written
+from tastegrid.llm.common import batches, components, drop, table, written
 
 HOT_HOMES = 8192
 _PIECE = 1 << 15
@@ -48,6 +48,14 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of some hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _PIECE):
+        counts += np.unpackbits(hashes[at : at + _PIECE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def _fingerprints(rows: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for b in batches(rows):
         fps = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in b.column(1)), np.uint64, b.num_rows)
@@ -152,14 +160,22 @@ def simhash_components(docs: DataFrame, shingle: int = 3, threshold: int = 3) ->
     rooted = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = written(rooted.join(least, "root").select("fp", "component_id"), "simhash-components")
+    drop(distinct)
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 3, threshold: int = 3) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 3, threshold: int = 3, similarity: float | None = None) -> DataFrame:
     """docs with one row of each group of near copies: that with the group's smallest doc_id.
 
-    Rows without doc_id stay, as no other row can stand for them.
+    Rows without doc_id stay, as no other row can stand for them. With a similarity, texts are linked by the
+    Jaccard similarity of their sets of five-word shingles instead of by bits: at 0.8 fingerprints differ in ten
+    of 64 bits on average and in up to eighteen, for which no covering code has few anchors, so fingerprints
+    within three bits are candidates beside others, and all are verified (near_copies).
     """
+    if similarity is not None:
+        from tastegrid.llm.near_copies import near_copies
+
+        return near_copies(docs, similarity)
     kept = simhash_components(docs.filter(F.col("doc_id").isNotNull()), shingle, threshold).filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
     kept = written(kept, "simhash-kept")
     out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
