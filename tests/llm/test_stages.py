@@ -35,6 +35,35 @@ def test_near_dedup_stage(spark):
     assert pipeline.near_dedup_stage(spark, docs.limit(0), "").count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1 << 19, 3000])
+def test_near_group(spark, chunk, monkeypatch):
+    """A large group around one text, most pairs of it near the threshold: components as of all pairs, chunked or not."""
+    from tastegrid.llm import near_copies as N
+
+    monkeypatch.setattr(N, "CHUNK", chunk)
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 50_000, 150)]
+    texts = []
+    for i in range(90):
+        w = list(base)
+        for at in rng.choice(150, rng.integers(1, 9), replace=False):
+            w[at] = f"new{i}x{at}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"z{x}" for x in rng.integers(0, 900, 60)) for _ in range(40)] + ["short one", "short one", ""]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (jaccard(texts[i], texts[j]) >= 0.8 if min(len(texts[i].split()), len(texts[j].split())) > 4 else texts[i] == texts[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    docs = odd_docs(spark).limit(0).union(odd_docs(spark, [(100 + i, t, "en", "a") for i, t in enumerate(texts)]).filter("doc_id >= 100"))
+    got = {r.doc_id - 100 for r in N.near_copies(docs).collect()}
+    assert got == {i for i in range(len(texts)) if root(i) == i} and 40 < len(got) < 130
+
+
 def test_suffix_stage(spark):
     """Passages of 51 short words go from all documents but the first; 50 words and long unbroken strings as defined."""
     pipeline = pytest.importorskip("corpus_pipeline")
