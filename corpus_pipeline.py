@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tastegrid.llm.byte_bpe import token_texts
 from tastegrid.llm.common import ship, table, written
 from tastegrid.llm.mixing import mixed
-from tastegrid.llm.near_copies import near_copies
+from tastegrid.llm.simhash import near_dedup
 from tastegrid.llm.suffix_dedup import strip_passages
 from tastegrid.llm.toxicity import drop_toxic
 
@@ -28,7 +28,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies(docs)
+    return near_dedup(docs, similarity=0.8)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
