@@ -79,3 +79,20 @@ def ratings_export(loved: DataFrame, liked: DataFrame) -> DataFrame:
 def upsert_history(history: DataFrame, events: DataFrame, *keys: str) -> DataFrame:
     """History with new events: counts add up, the last time stays."""
     return history.unionByName(events).groupBy(*keys).agg(F.sum("episodes_watched").alias("episodes_watched"), F.max("last_watched_at").alias("last_watched_at"))
+
+
+def describe_taste(vector: DataFrame, manual: DataFrame, names: DataFrame, n: int = 5) -> DataFrame:
+    """(owner, summary): a profile's manual genres and keywords, then its n top ones, by name."""
+    from tastegrid.operators.ranking import lookup_names
+    from tastegrid.operators.vectors import top_features
+
+    m = manual.filter(F.col("type").isin("genre", "keyword")).select("owner", F.concat(F.substring("type", 1, 1), F.lit(":"), "id").alias("feature"))
+    m = lookup_names(m, names).select("owner", F.when(F.col("feature").startswith("g:"), 1).otherwise(2).alias("k"), F.col("label").alias("at"), "label")
+    t = None
+    for k, prefix in ((3, "g"), (4, "k")):
+        own = lookup_names(top_features(vector, prefix, n, "owner"), names).select("owner", F.lit(k).alias("k"), F.lpad(F.col("pos").cast("string"), 9, "0").alias("at"), "label")
+        t = own if t is None else t.unionByName(own)
+    part = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda s: s["label"]), ", ")
+    head = F.element_at(F.array(*map(F.lit, ("Manual genres: ", "Manual keywords: ", "Genres: ", "Keywords: "))), F.col("k"))
+    p = m.unionByName(t).groupBy("owner", "k").agg(part.alias("s")).select("owner", F.struct("k", F.concat(head, "s").alias("s")).alias("p"))
+    return p.groupBy("owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["s"]), ". ").alias("summary"))

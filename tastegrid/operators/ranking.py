@@ -109,3 +109,21 @@ def weighted_neighbours(seeds: DataFrame, edges: DataFrame, *keys: str) -> DataF
 def similar_counts(edges: DataFrame) -> DataFrame:
     """How often each item is a neighbour."""
     return edges.groupBy(F.col("dst_id").alias("item_id")).agg(F.count("*").alias("n"))
+
+
+# Names of genres.
+GENRE_NAMES = {28: "Action", 12: "Adventure", 16: "Animation", 35: "Comedy", 80: "Crime", 99: "Documentary", 18: "Drama", 10751: "Family", 14: "Fantasy", 27: "Horror", 878: "Science Fiction"}
+
+
+def lookup_names(features: DataFrame, names: DataFrame) -> DataFrame:
+    """features (..., feature) with a label: of names (prefix, id, label), else the kind and the id."""
+    own = features.withColumns({"prefix": F.substring_index("feature", ":", 1), "id": F.substring_index("feature", ":", -1)})
+    kind = F.when(F.col("prefix") == "g", "Genre ").when(F.col("prefix") == "k", "Keyword ").when(F.col("prefix") == "o", "").otherwise("Person ")
+    return own.join(names, ["prefix", "id"], "left").withColumn("label", F.coalesce("label", F.concat(kind, "id"))).select(*features.columns, "label")
+
+
+def attach_details(rows: DataFrame, details: DataFrame, order: list, *keys: str, most: int = 60) -> DataFrame:
+    """The first `most` rows of each list with their details (item_id, ...), where there are any; the others without."""
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    asked = placed.withColumn("_id", F.when(F.col("place") <= most, F.col("item_id")))
+    return asked.join(details.withColumnRenamed("item_id", "_id"), "_id", "left").drop("_id")

@@ -164,12 +164,3 @@ SELECT owner, context, string_agg(id, '|' ORDER BY round(weight, 9) DESC, id) AS
 def p25(spark, d):
     g = fused(spark, d).filter("feature LIKE 'g:%'").select("owner", "context", F.struct((-F.round("weight", 9)).alias("w"), F.substring_index("feature", ":", -1).alias("id")).alias("s"))
     return g.groupBy("owner", "context").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["id"]), "|").alias("with_genres"))
-
-
-@query("p24_describe_taste", """
-WITH t AS (SELECT owner, context, feature, row_number() OVER (PARTITION BY owner, context ORDER BY round(weight, 9) DESC, CAST(split_part(feature, ':', 2) AS BIGINT)) AS pos FROM fused WHERE feature LIKE 'g:%')
-SELECT owner, context, 'Genres: ' || string_agg(split_part(feature, ':', 2), ', ' ORDER BY pos) AS summary FROM t WHERE pos <= 5 GROUP BY ALL""", ("fused",))
-def p24(spark, d):
-    t = V.top_features(fused(spark, d), "g", 5, "owner", "context")
-    names = F.transform(F.array_sort(F.collect_list(F.struct("pos", "feature"))), lambda s: F.substring_index(s["feature"], ":", -1))
-    return t.groupBy("owner", "context").agg(F.concat(F.lit("Genres: "), F.array_join(names, ", ")).alias("summary"))
