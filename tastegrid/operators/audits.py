@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Genres that only films, or only series, have, and the keyword of anime.
+ANIME = "210024"
+SERIES_ONLY = ("10759", "10762", "10763", "10764", "10765", "10766", "10767", "10768")
+FILM_ONLY = tuple(str(g) for g in (28, 12, 14, 36, 27, 10402, 10749, 878, 10770, 53, 10752))
+
 
 def catalog_overlap(members: DataFrame, share: float = 0.1) -> DataFrame:
     """Pairs of catalogs that share more than `share` of the smaller one; joined on items, not on pairs of catalogs."""
@@ -14,3 +19,59 @@ def catalog_overlap(members: DataFrame, share: float = 0.1) -> DataFrame:
     pair = pair.join(size.select(F.col("catalog_id").alias("left_id"), F.col("size").alias("left_size")), "left_id")
     pair = pair.join(size.select(F.col("catalog_id").alias("right_id"), F.col("size").alias("right_size")), "right_id")
     return pair.filter(F.col("shared") > share * F.least("left_size", "right_size")).select("left_id", "right_id", "shared", "left_size", "right_size")
+
+
+def relevance_audit(top: DataFrame, details: DataFrame, rules: DataFrame) -> DataFrame:
+    """(catalog_id, message, n, success): how often the items of a catalog (at most its first 20) break its filters.
+
+    rules: (catalog_id, with_genres, with_keywords, with_cast, with_crew) as lists of ids; an item without details is
+    one finding of its own. success is the share of items without any.
+    """
+    j = top.join(rules, "catalog_id").join(details.withColumn("_known", F.lit(True)), "item_id", "left")
+    ids = lambda c: F.transform(F.split(F.col(c), "[,|]"), lambda x: F.trim(x).cast("long"))
+    lacks = lambda c, own, word: F.when(F.col("_known").isNotNull() & F.col(c).isNotNull() & ~F.arrays_overlap(ids(c), own), f"missing {word}")
+    found = F.array(F.when(F.col("_known").isNull(), "missing details"), *(lacks(c, own, word) for c, own, word in (("with_genres", "genre_ids", "genres"), ("with_keywords", "keyword_ids", "keywords"), ("with_cast", "cast_ids", "cast"), ("with_crew", "director_ids", "crew"))))
+    j = j.select("catalog_id", "item_id", F.array_compact(found).alias("found"))
+    rate = j.groupBy("catalog_id").agg((F.count(F.when(F.size("found") == 0, 1)) / F.count("*")).alias("success"))
+    return j.select("catalog_id", F.explode("found").alias("message")).groupBy("catalog_id", "message").agg(F.count("*").alias("n")).join(rate, "catalog_id")
+
+
+def preset_lint(presets: DataFrame) -> DataFrame:
+    """(id, finding) of presets (id, name, type, queries): what is odd about the first query."""
+    q = F.get("queries", F.lit(0))
+    get = lambda k: F.nullif(F.try_element_at(q, F.lit(k)), F.lit(""))
+    has = lambda k: get(k).isNotNull()
+    holds = lambda k, x: F.coalesce(get(k).contains(x), F.lit(False))
+    number = lambda k: F.coalesce(get(k).try_cast("double"), F.lit(0.0))
+    genres = F.split(F.coalesce(get("with_genres"), F.lit("")), "[|,]")
+    any_of = lambda values: F.arrays_overlap(genres, F.array(*map(F.lit, values)))
+    series, name, sort = F.col("type") == "series", F.lower("name"), get("sort_by")
+    narrow = sum((c.cast("int") for c in (has("with_genres"), has("with_keywords"), has("with_companies") | has("with_cast") | has("with_crew"), number("vote_average.gte") >= 8, number("vote_count.gte") > 1000, has("with_original_language"))), F.lit(0))
+    findings = F.array(
+        F.when(~series & any_of(SERIES_ONLY), "series genre").when(series & any_of(FILM_ONLY), "film genre"),
+        F.when(series & ~F.col("id").contains("anime") & ~holds("with_keywords", ANIME) & (F.coalesce(get("with_genres"), F.lit("")) != "16") & ~holds("without_keywords", ANIME), "anime not excluded"),
+        F.when(narrow >= 4, "too narrow"), F.when((sort == "vote_average.desc") & (number("vote_count.gte") < 50), "few votes"),
+        F.when((sort == "popularity.desc") & (number("vote_count.gte") < 5) & ~F.col("id").rlike("new|recent"), "no votes"),
+        F.when(name.rlike("best|top|cult") & (sort != "vote_average.desc"), "not by vote"), F.when(name.rlike("popular|trend") & (sort != "popularity.desc"), "not by popularity"), F.when(sort.isNull(), "no order"),
+    )
+    return presets.select("id", F.explode(F.array_compact(findings)).alias("finding"))
+
+
+def similar_presets(presets: DataFrame) -> DataFrame:
+    """Groups of presets of one type that ask for the same genres, keywords and people under several names; one row a group, not a pair."""
+    q = F.get("queries", F.lit(0))
+    get = lambda k: F.coalesce(F.try_element_at(q, F.lit(k)), F.lit(""))
+    keys = {"genres": "with_genres", "keywords": "with_keywords", "cast_list": "with_cast", "crew": "with_crew", "companies": "with_companies"}
+    g = presets.select("id", "name", "type", *(get(k).alias(c) for c, k in keys.items())).groupBy("type", *keys).agg(F.countDistinct("name").alias("names"), F.count("*").alias("n"), F.collect_list("id").alias("ids"))
+    return g.filter("names > 1")
+
+
+def preset_categories(presets: DataFrame) -> DataFrame:
+    """(category, pos): the categories in order of their first preset; they are few."""
+    c = presets.groupBy("category").agg(F.min("pos").alias("first"))
+    return c.select("category", F.row_number().over(Window.orderBy("first")).alias("pos"))
+
+
+def affinity_report(rows: DataFrame, scored: DataFrame) -> DataFrame:
+    """Catalog rows (owner, catalog_id, item_id, pos) beside the light and the full score (owner, item_id, light, full)."""
+    return rows.join(scored.select("owner", "item_id", "light", "full"), ["owner", "item_id"])

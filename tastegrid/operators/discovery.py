@@ -111,6 +111,12 @@ class Discovery:
         return -c if way == "asc" else c
 
 
+def series_horror(media_type: Column, genres: Column, keywords: Column) -> Column:
+    """The horror rule for queries in rows: keywords of a series with genre 27, with the horror keyword."""
+    has = F.array_contains(F.split(F.coalesce(genres, F.lit("")), "[,|]"), "27")
+    return F.when((media_type == "tv") & has, F.concat_ws(",", keywords, F.lit(HORROR))).otherwise(keywords)
+
+
 def certificate_rank(certificate: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in CERTIFICATES.items() for x in kv)), certificate)
 

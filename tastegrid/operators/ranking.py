@@ -127,3 +127,17 @@ def attach_details(rows: DataFrame, details: DataFrame, order: list, *keys: str,
     placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     asked = placed.withColumn("_id", F.when(F.col("place") <= most, F.col("item_id")))
     return asked.join(details.withColumnRenamed("item_id", "_id"), "_id", "left").drop("_id")
+
+
+def search_all(items: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(text, item_id, pos): for each text the first n items whose names hold all its words; equal names first, then beginnings, then by popularity.
+
+    Texts and names meet on words, so no text is held against every name.
+    """
+    words = texts.select("text", F.array_distinct(F.split("text", " ")).alias("words"))
+    names = items.select("item_id", "popularity", F.lower("name").alias("name")).withColumn("own", F.array_distinct(F.split("name", " ")))
+    j = words.withColumn("word", F.element_at("words", 1)).join(names.select("*", F.explode("own").alias("word")), "word")
+    j = j.filter(F.size(F.array_except("words", "own")) == 0)
+    rank = F.when(F.col("name") == F.col("text"), 0).when(F.col("name").startswith(F.col("text")), 1).otherwise(2)
+    w = Window.partitionBy("text").orderBy(rank, F.desc("popularity"), "item_id")
+    return j.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n).select("text", "item_id", "pos")

@@ -100,3 +100,12 @@ def with_fallback(personal: DataFrame, owners: DataFrame, fallback: DataFrame |
     empty = owners.join(personal.select("owner").distinct(), "owner", "left_anti")
     lane = empty.withColumn("lane", F.lit(0)).join(F.broadcast(fallback.withColumn("lane", F.lit(0))), "lane")
     return own.unionByName(lane.select("owner", "item_id", "pos"))
+
+
+def combined_search(lists: DataFrame, items: DataFrame, score: Callable[[DataFrame], DataFrame], n: int = 20) -> DataFrame:
+    """(owner, item_id, score, pos): the lists of a search's queries by vote, consensus and match, then popularity and consensus."""
+    c = R.consensus(lists, "owner").select("owner", "item_id", "n", "bonus")
+    s = score(c).join(items.select("item_id", F.col("vote_average").alias("_v"), F.col("popularity").alias("_p")), "item_id")
+    s = s.withColumn("score", F.col("_v") + F.col("bonus") + F.col("full"))
+    w = Window.partitionBy("owner").orderBy(F.desc(F.round("score", 9)), F.desc("_p"), F.desc("n"), "item_id")
+    return s.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n).select("owner", "item_id", "score", "pos")

@@ -162,16 +162,21 @@ def u06(spark, d):
 
 
 @query("u07_smart_merge", """
-WITH p AS (SELECT a.catalog_id AS left_id, b.catalog_id AS right_id, a.with_genres AS ga, b.with_genres AS gb, a.with_keywords AS ka, b.with_keywords AS kb, a.sort_by FROM definitions a JOIN definitions b ON a.query_idx = b.query_idx AND a.catalog_id < b.catalog_id)
-SELECT left_id, right_id, sort_by, (SELECT string_agg(x, '|' ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT trim(unnest(string_split_regex(concat_ws('|', ga, gb), '[,|]'))) AS x, unnest(range(100)) AS i) WHERE x <> '' GROUP BY x)) AS genres,
-  (SELECT string_agg(x, '|' ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT trim(unnest(string_split_regex(concat_ws('|', ka, kb), '[,|]'))) AS x, unnest(range(100)) AS i) WHERE x <> '' GROUP BY x)) AS keywords FROM p""", ("definitions",))
+WITH r AS (SELECT owner, catalog_id, query_idx, media_type, with_genres, with_keywords, sort_by, row_number() OVER (PARTITION BY owner ORDER BY catalog_id, query_idx) AS k FROM profile_catalogs JOIN definitions USING (catalog_id)),
+p AS (SELECT a.owner, a.k, a.with_genres AS ga, b.with_genres AS gb, a.with_keywords AS ka, b.with_keywords AS kb, coalesce(a.sort_by, b.sort_by, 'popularity.desc') AS sort_by, coalesce(a.media_type, b.media_type) AS kind FROM (SELECT * REPLACE (CASE WHEN owner % 3 > 0 THEN sort_by END AS sort_by, CASE WHEN owner % 2 = 0 THEN media_type END AS media_type) FROM r) a JOIN r b ON a.owner = b.owner AND b.k = a.k + 1)
+SELECT owner, k, sort_by, kind, (SELECT string_agg(x, '|' ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT trim(unnest(string_split_regex(concat_ws('|', ga, gb), '[,|]'))) AS x, unnest(range(100)) AS i) WHERE x <> '' GROUP BY x)) AS genres,
+  (SELECT string_agg(x, '|' ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT trim(unnest(string_split_regex(concat_ws('|', ka, kb), '[,|]'))) AS x, unnest(range(100)) AS i) WHERE x <> '' GROUP BY x)) AS keywords FROM p""", ("profile_catalogs", "definitions"))
 def u07(spark, d):
-    names = ["with_genres", "with_keywords", "sort_by"]
-    m = lambda p: F.create_map(*(x for n in names for x in (F.lit(n), F.col(f"{p}{n}"))))
-    side = lambda p: D.definitions(spark).select("query_idx", F.col("catalog_id").alias(f"{p}id"), *(F.col(n).alias(f"{p}{n}") for n in names))
-    j = side("l_").join(side("r_"), "query_idx").filter("l_id < r_id").select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), M.smart_merge(m("l_"), m("r_")).alias("m"))
+    """Each profile's neighbouring queries, merged."""
+    q = D.profile_catalogs(spark, d).join(F.broadcast(D.definitions(spark)), "catalog_id")
+    q = q.withColumn("k", F.row_number().over(Window.partitionBy("owner").orderBy("catalog_id", "query_idx")))
+    own = {"with_genres": F.col("with_genres"), "with_keywords": F.col("with_keywords")}
+    side = lambda name, fields: F.create_map(*(x for n, c in {**own, **fields}.items() for x in (F.lit(n), c))).alias(name)
+    a = q.select("owner", "k", side("a", {"sort_by": F.when(F.col("owner") % 3 > 0, F.col("sort_by")), "type": F.when(F.col("owner") % 2 == 0, F.col("media_type"))}))
+    b = q.select("owner", (F.col("k") - 1).alias("k"), side("b", {"sort_by": F.col("sort_by"), "type": F.col("media_type")}))
+    m = a.join(b, ["owner", "k"]).select("owner", "k", M.smart_merge(F.col("a"), F.col("b")).alias("m"))
     get = lambda k: F.try_element_at("m", F.lit(k))
-    return j.select("left_id", "right_id", get("sort_by").alias("sort_by"), get("with_genres").alias("genres"), get("with_keywords").alias("keywords"))
+    return m.select("owner", "k", get("sort_by").alias("sort_by"), get("type").alias("kind"), get("with_genres").alias("genres"), get("with_keywords").alias("keywords"))
 
 
 @query("u04_dedupe_profile_catalogs", """

@@ -66,14 +66,16 @@ def p18(spark, d):
 
 
 @query("p23_query_fingerprint", """
-SELECT catalog_id, query_idx, sha256('{' || string_agg('"' || k || '":"' || v || '"', ',' ORDER BY k) || '}') AS fingerprint FROM (
-  SELECT catalog_id, query_idx, unnest(['type', 'with_genres', 'without_genres', 'with_keywords', 'with_cast', 'with_crew', 'sort_by']) AS k, unnest([media_type, with_genres, without_genres, with_keywords, with_cast, with_crew, sort_by]) AS v FROM definitions) WHERE v IS NOT NULL AND v <> '' GROUP BY ALL""", ("definitions",))
+SELECT owner, catalog_id, query_idx, sha256('{' || string_agg('"' || k || '":"' || v || '"', ',' ORDER BY k) || '}') AS fingerprint FROM (
+  SELECT owner, catalog_id, query_idx, unnest(['type', 'with_genres', 'without_genres', 'with_keywords', 'with_cast', 'with_crew', 'sort_by', 'region']) AS k, unnest([media_type, with_genres, without_genres, with_keywords, with_cast, with_crew, sort_by, CASE WHEN owner % 3 > 0 THEN 'r' || (owner % 3) END]) AS v FROM profile_catalogs JOIN definitions USING (catalog_id)) WHERE v IS NOT NULL AND v <> '' GROUP BY ALL""", ("profile_catalogs", "definitions"))
 def p23(spark, d):
     from tastegrid.operators.merging import fingerprint
 
     keys = ["with_genres", "without_genres", "with_keywords", "with_cast", "with_crew", "sort_by"]
-    m = F.create_map(F.lit("type"), F.col("media_type"), F.lit("api_key"), F.lit("secret"), *(x for k in keys for x in (F.lit(k), F.col(k))))
-    return D.definitions(spark).select("catalog_id", "query_idx", fingerprint(m).alias("fingerprint"))
+    region = F.when(F.col("owner") % 3 > 0, F.concat(F.lit("r"), (F.col("owner") % 3).cast("string"))).otherwise("")
+    m = F.create_map(F.lit("type"), F.col("media_type"), F.lit("api_key"), F.lit("secret"), F.lit("region"), region, *(x for k in keys for x in (F.lit(k), F.col(k))))
+    q = D.profile_catalogs(spark, d).join(F.broadcast(D.definitions(spark)), "catalog_id")
+    return q.select("owner", "catalog_id", "query_idx", fingerprint(m).alias("fingerprint"))
 
 
 @query("p21_clamp_filters", "SELECT event_id, greatest(0.0::DOUBLE, least(10.0::DOUBLE, value / 5)) AS vote_average_gte, CAST(greatest(0, floor(value * 3 - 20)) AS BIGINT) AS vote_count_gte FROM events")

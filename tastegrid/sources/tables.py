@@ -78,6 +78,13 @@ def normalize_list_item(df: DataFrame) -> DataFrame:
     return out.filter("id IS NOT NULL")
 
 
+def read_user_lists(lists: DataFrame, page: int = 1, size: int = 20) -> DataFrame:
+    """A page of each user's lists (owner, list_type, media_type, item_id, pos), films and series apart, with places on the page."""
+    w = Window.partitionBy("owner", "list_type", "media_type").orderBy("pos", "item_id")
+    place = F.row_number().over(w) - (page - 1) * size
+    return lists.withColumn("_p", place).filter(F.col("_p").between(1, size)).drop("pos").withColumnRenamed("_p", "pos")
+
+
 def write_catalogs(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("catalog_id").parquet(path)
 
