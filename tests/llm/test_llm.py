@@ -526,13 +526,13 @@ def test_pipeline(spark, sf):
 
 
 def test_search_opens_all(spark):
-    """A path of 60 nodes is walked to its end, however many hops that takes."""
+    """A path of 60 nodes is walked to its end, however many hops that takes, if no recall is enough."""
     from tastegrid.llm import nn_descent as N
 
     x = np.random.default_rng(3).normal(size=(60, 8)).astype(np.float16)
     points = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "node long, half binary")
     s = x.astype(np.float32) @ x.T.astype(np.float32)
     graph = spark.createDataFrame([(i, [(i + 1) % 60], [float(s[i, (i + 1) % 60])]) for i in range(60)], "node long, ids array<long>, scores array<float>")
-    got = {r.node: r.ids for r in N.search(points, graph, spark.createDataFrame([(0,), (30,)], "node long"), 8).collect()}
+    got = {r.node: r.ids for r in N.search(points, graph, spark.createDataFrame([(0,), (30,)], "node long"), 8, target=2.0).collect()}
     for q, ids in got.items():
         assert set(ids) == set(range(60)) - {q}
