@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TYPED = ("tmdb", "kitsu", "anilist")
@@ -58,3 +58,21 @@ def vote_score(detail: Column, listed: Column, rating: Column) -> Column:
 def or_default(c: Column, default: str) -> Column:
     """c, or default where it is null or ''."""
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
+
+
+def light_meta(items: DataFrame, details: DataFrame) -> DataFrame:
+    """(item_id, title, release_info, rating): the listing's projection; a detail's title and vote come first where there is one."""
+    own = details.select("item_id", F.col("title").alias("_t"), F.col("vote_average").alias("_v"))
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    return items.join(own, "item_id", "left").select("item_id", or_default(F.coalesce(some("_t"), some("title"), some("name")), "Unknown").alias("title"), F.substring(F.col("release_date").cast("string"), 1, 4).alias("release_info"), F.round(F.coalesce("_v", "vote_average"), 1).alias("rating"))
+
+
+def is_anime(genres: Column, country: Column, language: Column, item_id: Column | None = None) -> Column:
+    """Animation from Japan or in Japanese, unless the id already is of the other name space."""
+    out = F.array_contains(genres, 16) & ((country == "JP") | (language == "ja"))
+    return out if item_id is None else out & ~item_id.startswith("kitsu:")
+
+
+def is_anime_by_keyword(genres: Column, words: Column) -> Column:
+    """Animation with a keyword that holds the word."""
+    return F.array_contains(genres, 16) & F.exists(words, lambda w: F.lower(w).contains("anime"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tastegrid.functions.ids import series_base_id
+
 
 def normalize_episodes(e: DataFrame, key: str = "series_id") -> DataFrame:
     """Season 1 by default; missing numbers get the running count of missing ones, in order of `ord`."""
@@ -39,6 +41,18 @@ def infer_season(starts: DataFrame, seasons: DataFrame, fallback: Column, days:
     return j.select("series_id", "start", F.when(F.col("m.gap") <= days, F.col("m.season_number")).otherwise(fallback).alias("season"))
 
 
+def episode_offset(starts: DataFrame, right: DataFrame) -> DataFrame:
+    """starts (series_id, season, start) with the offset of a part that begins inside a season, and whether it is safe to align.
+
+    The offset is the number before the episode aired on the start date; a season after the first that the other
+    side lacks is unsafe.
+    """
+    first = right.groupBy("series_id", "season", F.col("released").alias("start")).agg(F.min("episode").alias("_e"))
+    known = right.select("series_id", "season", F.lit(True).alias("_s")).distinct()
+    j = starts.join(first, ["series_id", "season", "start"], "left").join(known, ["series_id", "season"], "left")
+    return j.select("series_id", "season", F.greatest(F.coalesce("_e", F.lit(1)) - 1, F.lit(0)).alias("offset"), (F.col("_s").isNotNull() | (F.col("season") <= 1)).alias("safe"))
+
+
 def align_episodes(left: DataFrame, right: DataFrame) -> DataFrame:
     """left (series_id, season, ep, released, offset) to right (series_id, season, episode, released, absolute).
 
@@ -56,6 +70,11 @@ def align_episodes(left: DataFrame, right: DataFrame) -> DataFrame:
     return j.select("series_id", "season", "ep", how.alias("how"), best["season"].alias("to_season"), best["episode"].alias("to_episode"))
 
 
+def of_season(extra: DataFrame, targets: DataFrame) -> DataFrame:
+    """Leftovers (series_id, season, ...) that may be appended: of a season after the first only its own, else all."""
+    return extra.join(targets.select("series_id", F.col("season").alias("_t")), "series_id").filter((F.col("_t") <= 1) | (F.col("season") == F.col("_t"))).drop("_t")
+
+
 def append_unmatched(matched: DataFrame, extra: DataFrame) -> DataFrame:
     """extra (series_id, ord) without a match, numbered on from the largest number matched."""
     top = matched.groupBy("series_id").agg(F.max("episode").alias("top"))
@@ -101,3 +120,15 @@ def choose_source(alt: DataFrame, main: DataFrame) -> DataFrame:
     """The alternative provider's episodes where a series has any, else the main one's."""
     a = alt.withColumn("source", F.lit("alt"))
     return a.unionByName(main.join(alt.select("series_id").distinct(), "series_id", "left_anti").withColumn("source", F.lit("main")))
+
+
+def join_badges(items: DataFrame, flags: DataFrame) -> DataFrame:
+    """items (id, ...) with the audio flags of their episodes by base id: whether any has the language, its last such episode and the next without.
+
+    flags: (stream_id, has_lang), whose last part is the episode.
+    """
+    own = flags.select(series_base_id(F.col("stream_id")).alias("_b"), F.coalesce(F.element_at(F.split("stream_id", ":"), -1).try_cast("int"), F.lit(0)).alias("e"), "has_lang")
+    tagged = own.filter("has_lang").groupBy("_b").agg(F.max("e").alias("last_tagged"))
+    after = own.filter("NOT has_lang").join(tagged, "_b").filter("e > last_tagged").groupBy("_b").agg(F.min("e").alias("next_untagged"))
+    j = items.withColumn("_b", series_base_id(F.col("id"))).join(tagged, "_b", "left").join(after, "_b", "left").drop("_b")
+    return j.withColumn("badge", F.col("last_tagged").isNotNull())

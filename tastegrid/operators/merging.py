@@ -11,7 +11,10 @@ from tastegrid.operators.vectors import list_keys
 def suggest_dna(queries: DataFrame, manual: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     """(owner, prefix, id, n, pos): the ids that a profile's queries name most, without its manual ones."""
     limits = {"g": 8, "k": 8} if limits is None else limits
-    all_ = F.concat(list_keys("g", "with_genres"), list_keys("k", "with_keywords"), list_keys("a", "with_cast"), list_keys("d", "with_crew"), list_keys("o", "with_origin_country"))
+    none = F.expr("CAST(array() AS array<string>)")
+    alt = F.when(F.col("provider") == "kitsu", F.array(F.lit("g:16"), F.lit("k:210024"))).otherwise(none) if "provider" in queries.columns else none
+    lists = {"g": "with_genres", "k": "with_keywords", "n": "with_networks", "c": "with_companies", "a": "with_cast", "d": "with_crew", "o": "with_origin_country"}
+    all_ = F.concat(*(list_keys(p, c) for p, c in lists.items() if c in queries.columns), alt)
     n = queries.select("owner", F.explode(all_).alias("feature")).groupBy("owner", "feature").agg(F.count("*").alias("n"))
     n = n.select("owner", F.substring_index("feature", ":", 1).alias("prefix"), F.substring_index("feature", ":", -1).alias("id"), "n")
     w = Window.partitionBy("owner", "prefix").orderBy(F.desc("n"), "id")
@@ -25,9 +28,8 @@ def suggest_dna(queries: DataFrame, manual: DataFrame, limits: dict[str, int] |
 
 # The filters a definition may hold.
 FILTER_KEYS = (
-    "with_genres without_genres with_keywords without_keywords with_cast with_crew with_people with_companies with_networks with_origin_country with_original_language with_watch_providers watch_region "
-    "vote_average.gte vote_average.lte vote_count.gte vote_count.lte primary_release_date.gte primary_release_date.lte first_air_date.gte first_air_date.lte air_date.gte air_date.lte with_runtime.gte with_runtime.lte "
-    "certification.lte certification_country sort_by with_status"
+    "provider _keywordNames strategy presentation_strategy similar_to text_search sort_by with_genres with_keywords with_cast with_crew with_companies with_original_language vote_average.gte vote_average.lte vote_count.gte "
+    "primary_release_date.gte primary_release_date.lte first_air_date.gte first_air_date.lte air_date.gte air_date.lte without_genres without_keywords with_runtime.gte with_runtime.lte certification.lte queries items"
 ).split()
 
 
@@ -72,13 +74,17 @@ def dna_filters(manual: Column, suggested: Column) -> Column:
 
 
 def ratings_export(loved: DataFrame, liked: DataFrame) -> DataFrame:
-    """Loved items rate 10, liked ones 8 unless they are loved too."""
-    return loved.select("owner", "item_id", F.lit(10).alias("rating")).unionByName(liked.select("owner", "item_id").distinct().join(loved.select("owner", "item_id"), ["owner", "item_id"], "left_anti").withColumn("rating", F.lit(8)))
+    """Loved items (owner, media_type, id) rate 10, liked ones 8 unless they are there already; IMDb ids only."""
+    key = ["owner", "media_type", "id"]
+    own = lambda df: df.select(*key).filter(F.col("id").startswith("tt"))
+    return own(loved).withColumn("rating", F.lit(10)).unionByName(own(liked).distinct().join(own(loved), key, "left_anti").withColumn("rating", F.lit(8)))
 
 
 def upsert_history(history: DataFrame, events: DataFrame, *keys: str) -> DataFrame:
-    """History with new events: counts add up, the last time stays."""
-    return history.unionByName(events).groupBy(*keys).agg(F.sum("episodes_watched").alias("episodes_watched"), F.max("last_watched_at").alias("last_watched_at"))
+    """History with new events: counts add up, the last time stays, and with it its type and source."""
+    both = history.unionByName(events, allowMissingColumns=True)
+    last = [F.max_by(c, F.struct("last_watched_at", c)).alias(c) for c in ("media_type", "source") if c in both.columns]
+    return both.groupBy(*keys).agg(F.sum("episodes_watched").alias("episodes_watched"), F.max("last_watched_at").alias("last_watched_at"), *last)
 
 
 def describe_taste(vector: DataFrame, manual: DataFrame, names: DataFrame, n: int = 5) -> DataFrame:

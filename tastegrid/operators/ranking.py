@@ -141,3 +141,41 @@ def search_all(items: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     rank = F.when(F.col("name") == F.col("text"), 0).when(F.col("name").startswith(F.col("text")), 1).otherwise(2)
     w = Window.partitionBy("text").orderBy(rank, F.desc("popularity"), "item_id")
     return j.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n).select("text", "item_id", "pos")
+
+
+def hydrate_features(rows: DataFrame, features: DataFrame, order: list, *keys: str, most: int = 60) -> DataFrame:
+    """rows (keys, item_id, imdb_id, keyword_ids, cast_ids, ...): the first `most` of a list that lack keywords and cast get them, by number or IMDb id.
+
+    features: (item_id, imdb_id, keyword_ids, cast_ids). Two equal joins, never a join with OR.
+    """
+    placed = rows.withColumn("_p", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    lacks = (F.coalesce(F.size("keyword_ids"), F.lit(0)) <= 0) & (F.coalesce(F.size("cast_ids"), F.lit(0)) <= 0) & (F.col("_p") <= most)
+    placed = placed.withColumns({"_i": F.when(lacks, F.col("item_id")), "_t": F.when(lacks, F.col("imdb_id"))})
+    own = lambda p, c: features.filter(F.col(c).isNotNull()).select(F.col(c).alias(f"_{p}"), F.col("keyword_ids").alias(f"_k{p}"), F.col("cast_ids").alias(f"_c{p}"))
+    j = placed.join(own("i", "item_id"), "_i", "left").join(own("t", "imdb_id"), "_t", "left")
+    return j.withColumns({"keyword_ids": F.coalesce("_ki", "_kt", "keyword_ids"), "cast_ids": F.coalesce("_ci", "_ct", "cast_ids")}).select(*rows.columns)
+
+
+def join_impressions(rows: DataFrame, days: DataFrame) -> DataFrame:
+    """rows with the distinct days on which their item was shown, by owner, profile, catalog and item."""
+    key = ["owner", "profile_id", "catalog_id", "item_id"]
+    return rows.join(days.select(*key, "days"), key, "left").withColumn("days", F.coalesce("days", F.lit(0)))
+
+
+def attach_profile(rows: DataFrame, profiles: DataFrame) -> DataFrame:
+    """rows (owner, context) with the vector of that context, and the global one unless that is it."""
+    own = rows.join(profiles.select("owner", "context", F.col("vector").alias("active")), ["owner", "context"], "left")
+    over = profiles.filter("context = 'global'").select("owner", F.col("vector").alias("_g"))
+    return own.join(over, "owner", "left").withColumn("overall", F.when(F.col("context") != "global", F.col("_g"))).drop("_g")
+
+
+def blend_profile_scores(active: DataFrame, overall: DataFrame) -> DataFrame:
+    """(owner, item_id, score): 0.8 of the active profile's score and 0.2 of the global one's, or the active one's alone."""
+    j = active.join(overall.select("owner", "item_id", F.col("score").alias("_g")), ["owner", "item_id"], "left")
+    return j.withColumn("score", F.when(F.col("_g").isNull(), F.col("score")).otherwise(0.8 * F.col("score") + 0.2 * F.col("_g"))).drop("_g")
+
+
+def top_traits(vector: DataFrame, names: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The n heaviest features of each vector above zero, by name."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.round("weight", 9)), "feature")
+    return lookup_names(vector.filter("weight > 0").withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n), names)

@@ -25,8 +25,18 @@ def item_vector(features: DataFrame) -> DataFrame:
 
 
 def static_vector(queries: DataFrame, *keys: str) -> DataFrame:
-    """(keys, feature, weight): 100 for each id in a profile's catalog queries."""
+    """(keys, feature, weight): 100 for each id in a profile's catalog queries, and for each word of their keyword text.
+
+    Queries of the second provider (provider = "kitsu") are for animation from Japan, and for the categories they name.
+    """
     all_ = F.concat(list_keys("g", "with_genres"), list_keys("k", "with_keywords"), list_keys("a", "with_cast"), list_keys("d", "with_crew"), list_keys("o", "with_origin_country"))
+    none = F.expr("CAST(array() AS array<string>)")
+    lower = lambda a: F.transform(a, lambda x: F.lower(x))
+    if "keyword" in queries.columns:
+        all_ = F.concat(all_, lower(list_keys("k", "keyword")))
+    if "provider" in queries.columns:
+        words = lower(list_keys("k", "keyword_names")) if "keyword_names" in queries.columns else none
+        all_ = F.concat(all_, F.when(F.col("provider") == "kitsu", F.concat(F.array(F.lit("g:16"), F.lit("o:JP")), words)).otherwise(none))
     return queries.select(*keys, F.explode(all_).alias("feature")).groupBy(*keys, "feature").agg((F.count("*") * UNIT).alias("weight"))
 
 

@@ -128,9 +128,14 @@ def p14(spark, d):
     return D.item_features(spark, d).select("item_id", F.array_join(X.map_genres(F.col("genre_ids")), ",").alias("genres"))
 
 
-@query("p15_is_anime", "SELECT item_id, list_contains(genre_ids, 16) AND (origin_country = 'JP' OR original_language = 'ja') AS anime FROM item_features", ("item_features",))
+@query("p15_is_anime", "SELECT item_id, list_contains(genre_ids, 16) AND (origin_country = 'JP' OR original_language = 'ja') AND item_id % 3 > 0 AS anime, list_contains(genre_ids, 16) AND keyword_ids[1] % 4 = 0 AS by_word FROM item_features", ("item_features",))
 def p15(spark, d):
-    return D.item_features(spark, d).select("item_id", (F.array_contains("genre_ids", 16) & ((F.col("origin_country") == "JP") | (F.col("original_language") == "ja"))).alias("anime"))
+    from tastegrid.functions.ids import is_anime, is_anime_by_keyword
+
+    k = F.col("item_id")
+    named = F.concat(F.when(k % 3 == 0, "kitsu:").otherwise("tmdb:"), k.cast("string"))
+    words = F.transform("keyword_ids", lambda x: F.when(x % 4 == 0, "Old ANIME").otherwise("war"))
+    return D.item_features(spark, d).select("item_id", is_anime(F.col("genre_ids"), F.col("origin_country"), F.col("original_language"), named).alias("anime"), is_anime_by_keyword(F.col("genre_ids"), words).alias("by_word"))
 
 
 @query("a17_catalog_size_audit", "SELECT d.catalog_id, count(x.item_id) AS items, count(x.item_id) < 60 AS short FROM (SELECT DISTINCT catalog_id FROM definitions) d LEFT JOIN discovered x USING (catalog_id) GROUP BY d.catalog_id", ("definitions", "discovered"))

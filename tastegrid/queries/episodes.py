@@ -79,8 +79,13 @@ _LEFT = "SELECT series_id, season, episode AS ep, released + CAST(episode % 2 AS
 _RIGHT = "SELECT series_id, season, episode, released, CAST(row_number() OVER (PARTITION BY series_id ORDER BY season, episode) AS INTEGER) AS absolute FROM episodes WHERE season < 12"
 
 
+_STARTS = "SELECT series_id, CAST(series_id % 6 + 1 AS INTEGER) AS season, min(released) AS start FROM episodes WHERE series_id % 2 = 0 AND season = series_id % 6 + 1 AND episode = CASE WHEN series_id % 4 = 0 THEN 2 ELSE 1 END GROUP BY ALL"
+
+
 @query("j12_align_episodes", f"""
-WITH l AS ({_LEFT}), r AS ({_RIGHT}),
+WITH r AS ({_RIGHT}), s AS ({_STARTS}),
+o AS (SELECT s.series_id, s.season, greatest(coalesce((SELECT min(episode) FROM r WHERE r.series_id = s.series_id AND r.season = s.season AND r.released = s.start), 1) - 1, 0) AS shift, EXISTS (SELECT 1 FROM r WHERE r.series_id = s.series_id AND r.season = s.season) OR s.season <= 1 AS safe FROM s),
+l AS (SELECT l.series_id, l.season, ep, released, o.shift FROM ({_LEFT}) l JOIN o ON o.series_id = l.series_id AND o.season = l.season WHERE safe),
 a AS (SELECT series_id, season, released, min(season * 1000 + episode) AS x FROM r GROUP BY ALL), b AS (SELECT series_id, season, episode AS want, min(season * 1000 + episode) AS x FROM r GROUP BY ALL),
 c AS (SELECT series_id, absolute AS want, min(season * 1000 + episode) AS x FROM r GROUP BY ALL), e AS (SELECT series_id, episode AS ep, min(season * 1000 + episode) AS x FROM r WHERE season = 1 GROUP BY ALL)
 SELECT series_id, season, ep, CASE WHEN a.x IS NOT NULL THEN 'date' WHEN b.x IS NOT NULL THEN 'number' WHEN c.x IS NOT NULL THEN 'absolute' WHEN e.x IS NOT NULL THEN 'first' END AS how,
@@ -90,18 +95,24 @@ def j12(spark, d):
     from pyspark.sql import Window
 
     e = D.episodes(spark, d)
-    left = e.filter("series_id % 2 = 0").select("series_id", "season", F.col("episode").alias("ep"), F.date_add("released", F.col("episode") % 2).alias("released"), (F.col("series_id") % 3).cast("int").alias("offset"))
     w = Window.partitionBy("series_id").orderBy("season", "episode")
-    return E.align_episodes(left, e.filter("season < 12").select("series_id", "season", "episode", "released", F.row_number().over(w).alias("absolute")))
+    right = e.filter("season < 12").select("series_id", "season", "episode", "released", F.row_number().over(w).alias("absolute"))
+    starts = e.filter("series_id % 2 = 0 AND season = series_id % 6 + 1 AND episode = CASE WHEN series_id % 4 = 0 THEN 2 ELSE 1 END").groupBy("series_id", "season").agg(F.min("released").alias("start"))
+    offsets = E.episode_offset(starts, right).filter("safe").drop("safe")
+    left = e.filter("series_id % 2 = 0").select("series_id", "season", F.col("episode").alias("ep"), F.date_add("released", F.col("episode") % 2).alias("released"))
+    return E.align_episodes(left.join(offsets, ["series_id", "season"]), right)
 
 
 @query("j13_append_unmatched", """
-WITH m AS (SELECT DISTINCT series_id, episode FROM episodes WHERE season = 1), x AS (SELECT DISTINCT series_id, episode + season AS episode FROM episodes)
+WITH m AS (SELECT DISTINCT series_id, episode FROM episodes WHERE season = 1), t AS (SELECT DISTINCT series_id, CAST(series_id % 3 + 1 AS INTEGER) AS t FROM episodes),
+x AS (SELECT DISTINCT series_id, episode + season AS episode FROM episodes JOIN t USING (series_id) WHERE t <= 1 OR season = t)
 SELECT series_id, x.episode AS was, CAST(coalesce(top, 0) + row_number() OVER (PARTITION BY series_id ORDER BY x.episode) AS INTEGER) AS episode
 FROM (SELECT * FROM x ANTI JOIN m USING (series_id, episode)) x LEFT JOIN (SELECT series_id, max(episode) AS top FROM m GROUP BY ALL) USING (series_id)""", ("episodes",))
 def j13(spark, d):
     e = D.episodes(spark, d)
-    return E.append_unmatched(e.filter("season = 1").select("series_id", "episode").distinct(), e.select("series_id", (F.col("episode") + F.col("season")).alias("episode")).distinct())
+    targets = e.select("series_id").distinct().select("series_id", (F.col("series_id") % 3 + 1).cast("int").alias("season"))
+    extra = E.of_season(e.select("series_id", "season", "episode"), targets)
+    return E.append_unmatched(e.filter("season = 1").select("series_id", "episode").distinct(), extra.select("series_id", (F.col("episode") + F.col("season")).alias("episode")).distinct())
 
 
 @query("j23_localized_overview", """
@@ -125,11 +136,17 @@ def j28(spark, d):
     return E.choose_source(e.filter("season = 2"), e).groupBy("series_id", "source").agg(F.count("*").alias("n"))
 
 
-@query("j20_join_badges", "SELECT s.series_id, coalesce(tagged, 0) AS tagged, tagged IS NOT NULL AS badge FROM (SELECT DISTINCT series_id FROM episodes) s LEFT JOIN (SELECT series_id, count(*) AS tagged FROM episodes WHERE has_lang GROUP BY ALL) t USING (series_id)", ("episodes",))
+@query("j20_join_badges", """
+WITH i AS (SELECT series_id, CASE series_id % 3 WHEN 0 THEN 'kitsu:' || series_id WHEN 1 THEN 'tmdb:tv:' || series_id ELSE 'tt' || series_id END AS base FROM (SELECT DISTINCT series_id FROM episodes)),
+f AS (SELECT series_id, episode, has_lang FROM episodes WHERE season < 4), t AS (SELECT series_id, max(episode) AS last_tagged FROM f WHERE has_lang GROUP BY ALL), n AS (SELECT series_id, min(episode) AS next_untagged FROM f JOIN t USING (series_id) WHERE NOT has_lang AND episode > last_tagged GROUP BY ALL)
+SELECT base || CASE WHEN series_id % 3 = 0 THEN ':5' ELSE ':1:5' END AS id, last_tagged, next_untagged, last_tagged IS NOT NULL AS badge FROM i LEFT JOIN t USING (series_id) LEFT JOIN n USING (series_id)""", ("episodes",))
 def j20(spark, d):
     e = D.episodes(spark, d)
-    t = e.filter("has_lang").groupBy("series_id").agg(F.count("*").alias("tagged"))
-    return e.select("series_id").distinct().join(t, "series_id", "left").select("series_id", F.coalesce("tagged", F.lit(0)).alias("tagged"), F.col("tagged").isNotNull().alias("badge"))
+    k = F.col("series_id")
+    base = F.concat(F.when(k % 3 == 0, "kitsu:").when(k % 3 == 1, "tmdb:tv:").otherwise("tt"), k.cast("string"))
+    items = e.select("series_id").distinct().select(F.concat(base, F.when(k % 3 == 0, ":5").otherwise(":1:5")).alias("id"))
+    flags = e.filter("season < 4").select(F.concat_ws(":", base, F.when(k % 3 > 0, F.col("season").cast("string")), F.col("episode").cast("string")).alias("stream_id"), "has_lang")
+    return E.join_badges(items, flags)
 
 
 @query("r07_air_date_range", "SELECT DISTINCT series_id FROM episodes WHERE released BETWEEN DATE '1997-01-01' AND DATE '1997-03-31'", ("episodes",))

@@ -118,10 +118,26 @@ def j14(spark, d):
     return X.franchise_parent(nodes, s.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), F.col("position").alias("ord")), D.item_features(spark, d).filter("item_id % 7 = 0").select(F.col("item_id").alias("node")))
 
 
-@query("j24_verify_mapping_titles", """
-SELECT item_id, coalesce(list_bool_or([contains(x, lower(name)) OR contains(lower(name), x) FOR x IN titles]), false) AS ok FROM (SELECT item_id, name, item_id % 211 AS alt_id FROM item_features)
-LEFT JOIN (SELECT s_suppkey AS alt_id, list(DISTINCT CASE WHEN s_suppkey % 2 = 0 THEN 'red bolt two' ELSE 'bolt' END) AS titles FROM supplier GROUP BY s_suppkey) USING (alt_id)""", ("item_features",))
-def j24(spark, d):
-    pairs = D.item_features(spark, d).select("item_id", "name", (F.col("item_id") % 211).alias("alt_id"))
+BASE_SQL["mapped_titles"] = (("item_features",), """
+SELECT item_id, name, coalesce(list_bool_or([contains(x, lower(name)) OR contains(lower(name), x) FOR x IN titles]), false) AS ok FROM (SELECT item_id, name, item_id % 211 AS alt_id FROM item_features)
+LEFT JOIN (SELECT s_suppkey AS alt_id, list(DISTINCT CASE WHEN s_suppkey % 2 = 0 THEN 'red bolt two' ELSE 'bolt' END) AS titles FROM supplier GROUP BY s_suppkey) USING (alt_id)""")
+
+
+def verified(spark: SparkSession, d: str) -> DataFrame:
+    """Items, with dubbed twins for some, against the titles of their counterparts."""
+    k = F.col("item_id")
+    one = D.item_features(spark, d).select(k.cast("string").alias("id"), "name")
+    twins = one.filter("CAST(id AS INT) % 3 = 0").select(F.concat("id", F.lit("_ita_offset")).alias("id"), "name")
+    pairs = X.without_clones(one.unionByName(twins)).select(F.col("id").cast("long").alias("item_id"), "name", (F.col("id").cast("long") % 211).alias("alt_id"))
     titles = D.read(spark, d, "supplier").select(F.col("s_suppkey").alias("alt_id"), F.when(F.col("s_suppkey") % 2 == 0, "Red Bolt Two").otherwise("Bolt").alias("title"))
     return X.verify_mapping_titles(pairs, titles)
+
+
+@query("j24_verify_mapping_titles", "SELECT item_id, ok FROM mapped_titles", ("mapped_titles",))
+def j24(spark, d):
+    return verified(spark, d)
+
+
+@query("j24_mapping_report", "SELECT ok, count(*) AS n FROM mapped_titles GROUP BY ok", ("mapped_titles",))
+def j24_report(spark, d):
+    return X.mapping_report(verified(spark, d))

@@ -119,32 +119,32 @@ def j04(spark, d):
 
 
 @query("j01_hydrate_features", """
-WITH c AS (SELECT item_id AS key, CASE WHEN item_id % 2 = 0 THEN item_id END AS item_id, CASE WHEN item_id % 2 = 1 THEN 'tt' || item_id END AS imdb_id FROM item_features WHERE item_id % 5 > 0)
-SELECT key, coalesce(a.vote_count, b.vote_count) AS vote_count FROM c LEFT JOIN item_features a ON a.item_id = c.item_id LEFT JOIN item_features b ON 'tt' || b.item_id = c.imdb_id""", ("item_features",))
+WITH c AS (SELECT item_id AS key, media_type, CASE WHEN item_id % 2 = 0 THEN item_id END AS item_id, CASE WHEN item_id % 2 = 1 THEN 'tt' || item_id END AS imdb_id, item_id % 3 = 0 AS known, row_number() OVER (PARTITION BY media_type ORDER BY item_id) AS k FROM item_features)
+SELECT key, CASE WHEN known THEN '7' WHEN k <= 60 THEN array_to_string(coalesce(a.keyword_ids, b.keyword_ids), ',') END AS keywords FROM c LEFT JOIN item_features a ON a.item_id = c.item_id LEFT JOIN item_features b ON 'tt' || b.item_id = c.imdb_id""", ("item_features",))
 def j01(spark, d):
     f = D.item_features(spark, d)
     i = F.col("item_id")
-    c = f.filter("item_id % 5 > 0").select(i.alias("key"), F.when(i % 2 == 0, i).alias("item_id"), F.when(i % 2 == 1, F.concat(F.lit("tt"), i.cast("string"))).alias("imdb_id"))
-    a = f.select("item_id", F.col("vote_count").alias("a"))
-    b = f.select(F.concat(F.lit("tt"), i.cast("string")).alias("imdb_id"), F.col("vote_count").alias("b"))
-    return c.join(a, "item_id", "left").join(b, "imdb_id", "left").select("key", F.coalesce("a", "b").alias("vote_count"))
+    named = F.concat(F.lit("tt"), i.cast("string"))
+    c = f.select(i.alias("key"), "media_type", F.when(i % 2 == 0, i).alias("item_id"), F.when(i % 2 == 1, named).alias("imdb_id"), F.when(i % 3 == 0, F.array(F.lit(7).cast("long"))).alias("keyword_ids"), F.lit(None).cast("array<bigint>").alias("cast_ids"))
+    return R.hydrate_features(c, f.select("item_id", named.alias("imdb_id"), "keyword_ids", "cast_ids"), ["key"], "media_type").select("key", F.array_join("keyword_ids", ",").alias("keywords"))
 
 
-@query("j03_attach_profile", "SELECT a.owner, a.context, a.n, CASE WHEN a.context <> 'global' THEN g.n END AS overall FROM contexts a LEFT JOIN contexts g ON g.owner = a.owner AND g.context = 'global'", ("contexts",))
+@query("j03_attach_profile", "SELECT c.owner, c.context, (SELECT count(*) FROM fused f WHERE f.owner = c.owner AND f.context = c.context AND feature LIKE 'g:%') AS active, CASE WHEN c.context <> 'global' THEN (SELECT count(*) FROM fused f WHERE f.owner = c.owner AND f.context = 'global' AND feature LIKE 'g:%') END AS overall FROM contexts c", ("contexts", "fused"))
 def j03(spark, d):
-    from tastegrid.queries.vectors import counts
+    from tastegrid.operators.vectors import as_maps
+    from tastegrid.queries.vectors import counts, fused
 
-    c = counts(spark, d)
-    g = c.filter("context = 'global'").select("owner", F.col("n").alias("g"))
-    return c.join(g, "owner", "left").select("owner", "context", "n", F.when(F.col("context") != "global", F.col("g")).alias("overall"))
+    j = R.attach_profile(counts(spark, d).select("owner", "context"), as_maps(fused(spark, d), "owner", "context"))
+    return j.select("owner", "context", F.size("active.g").cast("long").alias("active"), F.when(F.col("overall").isNotNull(), F.size("overall.g")).cast("long").alias("overall"))
 
 
 @query("s07_upsert_history", """
-SELECT owner, item_id, CAST(sum(episodes_watched) AS BIGINT) AS episodes_watched, max(last_watched_at) AS last_watched_at FROM (SELECT owner, item_id, episodes_watched, last_watched_at FROM watch_history WHERE context = 'global'
-  UNION ALL SELECT CAST(user_id AS BIGINT), event_id % 50 + 1, 1, ts FROM events WHERE event_type = 'purchase') GROUP BY ALL""", ("watch_history",))
+SELECT owner, item_id, CAST(sum(episodes_watched) AS BIGINT) AS episodes_watched, max(last_watched_at) AS last_watched_at, arg_max(media_type, last_watched_at) AS media_type, arg_max(source, last_watched_at) AS source FROM (SELECT owner, item_id, episodes_watched, last_watched_at, 'movie' AS media_type, 'feed' AS source FROM watch_history WHERE context = 'global'
+  UNION ALL SELECT CAST(user_id AS BIGINT), event_id % 50 + 1, 1, ts, 'tv', 'event' || event_id % 3 FROM events WHERE event_type = 'purchase') GROUP BY ALL""", ("watch_history",))
 def s07(spark, d):
-    e = D.read(spark, d, "events").filter("event_type = 'purchase'").select(F.col("user_id").cast("long").alias("owner"), (F.col("event_id") % 50 + 1).alias("item_id"), F.lit(1).cast("long").alias("episodes_watched"), F.col("ts").alias("last_watched_at"))
-    return M.upsert_history(D.watch_history(spark, d).filter("context = 'global'").select(*e.columns), e, "owner", "item_id")
+    e = D.read(spark, d, "events").filter("event_type = 'purchase'").select(F.col("user_id").cast("long").alias("owner"), (F.col("event_id") % 50 + 1).alias("item_id"), F.lit(1).cast("long").alias("episodes_watched"), F.col("ts").alias("last_watched_at"), F.lit("tv").alias("media_type"), F.concat(F.lit("event"), (F.col("event_id") % 3).cast("string")).alias("source"))
+    h = D.watch_history(spark, d).filter("context = 'global'").withColumns({"media_type": F.lit("movie"), "source": F.lit("feed")})
+    return M.upsert_history(h.select(*e.columns), e, "owner", "item_id")
 
 
 @query("u01_dna_filters", """
@@ -156,9 +156,13 @@ def u01(spark, d):
     return m.select("owner", F.array_join(F.transform(f, lambda x: F.concat(x["type"], F.lit(":"), x["id"])), ",").alias("filters"))
 
 
-@query("u06_ratings_export", "SELECT owner, item_id, 10 AS rating FROM loved UNION ALL SELECT owner, item_id, 8 FROM liked ANTI JOIN loved USING (owner, item_id)", ("loved", "liked"))
+@query("u06_ratings_export", """
+WITH l AS (SELECT owner, media_type, CASE WHEN item_id % 5 > 0 THEN 'tt' || item_id ELSE 'tmdb:' || item_id END AS id FROM loved JOIN item_features USING (item_id)), k AS (SELECT owner, media_type, CASE WHEN item_id % 5 > 0 THEN 'tt' || item_id ELSE 'tmdb:' || item_id END AS id FROM liked JOIN item_features USING (item_id))
+SELECT owner, media_type, id, 10 AS rating FROM l WHERE starts_with(id, 'tt') UNION ALL SELECT owner, media_type, id, 8 FROM k ANTI JOIN l USING (owner, media_type, id) WHERE starts_with(id, 'tt')""", ("loved", "liked", "item_features"))
 def u06(spark, d):
-    return M.ratings_export(D.feed(spark, d, "R"), D.feed(spark, d, "A"))
+    i = F.col("item_id")
+    named = D.item_features(spark, d).select("item_id", "media_type", F.concat(F.when(i % 5 > 0, "tt").otherwise("tmdb:"), i.cast("string")).alias("id"))
+    return M.ratings_export(D.feed(spark, d, "R").join(named, "item_id"), D.feed(spark, d, "A").join(named, "item_id"))
 
 
 @query("u07_smart_merge", """

@@ -93,13 +93,28 @@ BASE_SQL["wt1"] = (("candidates", "item_features", "fused"), """
     JOIN fused f ON f.owner = c.owner AND f.context = 'p1' AND f.feature = c.feature GROUP BY ALL""")
 
 
-@query("x06_item_match", f"""
-WITH a AS (SELECT s.owner, s.item_id, greatest(0.0::DOUBLE, least(10.0::DOUBLE, (coalesce(taste, 0) + bayes) / 2)) AS active, {_BASE} AS overall
-  FROM scored_parts s LEFT JOIN wt1 USING (owner, item_id) WHERE s.owner IN (SELECT owner FROM fused WHERE context = 'p1'))
-SELECT owner, item_id, round(greatest(0.0::DOUBLE, least(10.0::DOUBLE, 0.8::DOUBLE * active + 0.2::DOUBLE * overall)), 6) AS score FROM a""", ("scored_parts", "wt1"))
+_BOTH = f"""
+WITH a AS (SELECT s.owner, s.item_id, genre_ids, keyword_ids, greatest(0.0::DOUBLE, least(10.0::DOUBLE, (coalesce(taste, 0) + bayes) / 2)) AS active, {_BASE} AS overall
+  FROM scored_parts s LEFT JOIN wt1 USING (owner, item_id) WHERE s.owner IN (SELECT owner FROM fused WHERE context = 'p1'))"""
+
+
+@query("x06_item_match", _BOTH + """
+SELECT owner, item_id, round(greatest(0.0::DOUBLE, least(10.0::DOUBLE, (0.8::DOUBLE * active + 0.2::DOUBLE * overall) * CASE WHEN owner % 3 = 2 OR list_contains(genre_ids, CASE WHEN owner % 3 = 0 THEN 28 ELSE -1 END) OR list_contains(keyword_ids, CASE WHEN owner % 3 = 1 THEN 1010 ELSE -1 END) THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END)), 6) AS score FROM a""", ("scored_parts", "wt1"))
 def x06(spark, d):
     p = pool(spark, d).withColumnRenamed("vector", "overall").join(profiles(spark, d, "p1"), "owner")
-    return cut(p, score=S.item_match(S.base_match(F.col("vector")), S.base_match(F.col("overall")), F.lit(1.0)))
+    none = F.expr("CAST(array() AS array<bigint>)")
+    genres, words = F.when(F.col("owner") % 3 == 0, S.ids([28])).otherwise(none), F.when(F.col("owner") % 3 == 1, S.ids([1010])).otherwise(none)
+    return cut(p, score=S.item_match(S.base_match(F.col("vector")), S.base_match(F.col("overall")), S.dna_multiplier(genres, words)))
+
+
+@query("j26_blend_profile_scores", _BOTH + " SELECT owner, item_id, round(CASE WHEN owner % 2 = 0 THEN 0.8::DOUBLE * active + 0.2::DOUBLE * overall ELSE active END, 6) AS score FROM a", ("scored_parts", "wt1"))
+def j26(spark, d):
+    from tastegrid.operators.ranking import blend_profile_scores
+
+    c = candidates(spark, d).join(D.item_features(spark, d), "item_id")
+    active = c.join(profiles(spark, d, "p1"), "owner").select("owner", "item_id", S.base_match(F.col("vector")).alias("score"))
+    overall = c.filter("owner % 2 = 0").join(profiles(spark, d), "owner").select("owner", "item_id", S.base_match(F.col("vector")).alias("score"))
+    return blend_profile_scores(active, overall).withColumn("score", F.round("score", 6))
 
 
 @query("x07_niche_bonus", f"SELECT item_id, round({_BONUS}, 6) AS score FROM item_features", ("item_features",))
@@ -147,9 +162,15 @@ def x11(spark, d):
     return a16(spark, d).select("owner", "catalog_id", "item_id", F.round(S.impression_penalty(F.col("days")), 6).alias("penalty"))
 
 
-@query("j02_join_impressions", f"SELECT c.owner, c.item_id, coalesce(days, 0) AS days FROM candidates c LEFT JOIN ({_DAYS}) i ON i.owner = c.owner AND i.item_id = c.item_id AND i.catalog_id = 'c1'", ("candidates", "impressions"))
+@query("j02_join_impressions", """
+SELECT c.owner, c.profile_id, c.catalog_id, c.item_id, coalesce(days, 0) AS days FROM (SELECT owner, CASE WHEN n > 1 THEN 'other' ELSE 'global' END AS profile_id, 'c' || item_id % 2 AS catalog_id, item_id FROM candidates) c
+LEFT JOIN (SELECT owner, profile_id, catalog_id, item_id, count(DISTINCT seen_date) AS days FROM impressions GROUP BY ALL) i ON i.owner = c.owner AND i.item_id = c.item_id AND i.catalog_id = c.catalog_id AND i.profile_id = c.profile_id""", ("candidates", "impressions"))
 def j02(spark, d):
-    return candidates(spark, d).join(a16(spark, d).filter("catalog_id = 'c1'"), ["owner", "item_id"], "left").select("owner", "item_id", F.coalesce("days", F.lit(0)).alias("days"))
+    from tastegrid.operators.ranking import join_impressions
+
+    c = candidates(spark, d).select("owner", F.when(F.col("n") > 1, "other").otherwise("global").alias("profile_id"), F.concat(F.lit("c"), (F.col("item_id") % 2).cast("string")).alias("catalog_id"), "item_id")
+    days = D.impressions(spark, d).groupBy("owner", "profile_id", "catalog_id", "item_id").agg(F.countDistinct("seen_date").alias("days"))
+    return join_impressions(c, days)
 
 
 @query("x13_genre_saturation", f"""

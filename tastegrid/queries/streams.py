@@ -17,7 +17,7 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def watched(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).filter(F.col("event_type").isin("click", "purchase")).select("event_id", F.col("user_id").cast("long").alias("owner"), (F.col("event_id") % 50 + 1).alias("item_id"), "ts")
+    return events(spark, d).filter(F.col("event_type").isin("click", "purchase")).select("event_id", F.col("user_id").cast("long").alias("owner"), (F.col("event_id") % 50 + 1).alias("item_id"), "ts", F.col("event_type").alias("source"))
 
 
 def finished(spark: SparkSession, name: str, start) -> str:
@@ -27,16 +27,10 @@ def finished(spark: SparkSession, name: str, start) -> str:
     return f"{path}/data"
 
 
-def last_version(spark: SparkSession, path: str) -> DataFrame:
-    all_ = spark.read.parquet(path)
-    newest = all_.agg(F.max("version")).first()[0]
-    return all_.filter(F.col("version") == newest).drop("version")
-
-
-@query("t01_stream_history", "SELECT CAST(user_id AS BIGINT) AS owner, event_id % 50 + 1 AS item_id, count(*) AS episodes_watched, epoch(max(ts)) AS last_watched FROM events WHERE event_type IN ('click', 'purchase') GROUP BY ALL")
+@query("t01_stream_history", "SELECT CAST(user_id AS BIGINT) AS owner, event_id % 50 + 1 AS item_id, count(*) AS episodes_watched, epoch(max(ts)) AS last_watched, arg_max(event_type, ts) AS source FROM events WHERE event_type IN ('click', 'purchase') GROUP BY ALL")
 def t01(spark, d):
     path = finished(spark, "history", lambda p, c: T.stream_history(watched(spark, d), p, c))
-    return last_version(spark, path).select("owner", "item_id", "episodes_watched", F.unix_micros("last_watched_at").cast("double").alias("u")).select("owner", "item_id", "episodes_watched", (F.col("u") / 1e6).alias("last_watched"))
+    return T.current(spark, path).select("owner", "item_id", "episodes_watched", (F.unix_micros("last_watched_at").cast("double") / 1e6).alias("last_watched"), "source")
 
 
 @query("t02_stream_impressions", "SELECT owner, profile_id, catalog_id, item_id, CAST(seen_date AS VARCHAR) AS seen_date FROM (SELECT DISTINCT * FROM impressions)", ("impressions",))
@@ -47,20 +41,30 @@ def t02(spark, d):
     return spark.read.parquet(path).withColumn("seen_date", F.col("seen_date").cast("string"))
 
 
-@query("t03_stream_vectors", """SELECT owner, feature, sum(weight) AS weight FROM (SELECT DISTINCT CAST(user_id AS BIGINT) AS owner, event_id % 50 + 1 AS item_id FROM events WHERE event_type IN ('click', 'purchase')) JOIN item_vector USING (item_id) GROUP BY ALL""", ("item_vector",))
+@query("t03_stream_vectors", """
+WITH p AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS owner, event_id % 50 + 1 AS item_id FROM events WHERE event_type IN ('click', 'purchase')), v AS (SELECT owner, feature, sum(weight) AS weight FROM p JOIN item_vector USING (item_id) GROUP BY ALL), n AS (SELECT owner, count(*) AS n FROM p GROUP BY ALL),
+j AS (SELECT owner, feature, v, s FROM (SELECT owner, feature, weight / sum(weight) OVER (PARTITION BY owner) AS v FROM v) FULL JOIN (SELECT owner, feature, weight / sum(weight) OVER (PARTITION BY owner) AS s FROM static_raw WHERE owner IN (SELECT owner FROM n)) USING (owner, feature))
+SELECT owner, feature, round(100.0::DOUBLE * (a * coalesce(v, 0) + (1 - a) * coalesce(s, 0)), 6) AS weight FROM j JOIN (SELECT owner, least(n / 50.0::DOUBLE, 1.0::DOUBLE) * 0.85::DOUBLE AS a FROM n) USING (owner)""", ("item_vector", "static_raw"))
 def t03(spark, d):
     from tastegrid.operators.vectors import item_vector
+    from tastegrid.queries.vectors import a01
 
     own = item_vector(D.item_features(spark, d))
-    path = finished(spark, "vectors", lambda p, c: T.stream_vectors(watched(spark, d), own, p, c))
-    return T.vectors_of(last_version(spark, path), own)
+    path = finished(spark, "vectors", lambda p, c: T.stream_vectors(watched(spark, d), own, a01(spark, d), p, c))
+    return T.current(spark, f"{path}/final").withColumn("weight", F.round("weight", 6))
 
 
-@query("t04_stream_audio_flags", "SELECT 'e:' || event_id % 97 AS key, arg_max(event_type IN ('view', 'click'), ts) AS has_lang FROM events GROUP BY 1")
+@query("t04_stream_audio_flags", """
+WITH f AS (SELECT event_id % 97 AS k, arg_max(event_type IN ('view', 'click'), ts) AS has_lang FROM events GROUP BY 1)
+SELECT 'e:' || k AS key, has_lang FROM f UNION ALL SELECT 'alt:' || k, has_lang FROM f WHERE k % 2 = 0 UNION ALL SELECT 'tt' || k, has_lang FROM f WHERE k % 4 = 0""")
 def t04(spark, d):
     title = F.when(F.col("event_type").isin("view", "click"), "Film ITA ENG").otherwise("Film SUB ITA")
-    t = events(spark, d).select(F.concat(F.lit("e:"), (F.col("event_id") % 97).cast("string")).alias("key"), title.alias("title"), F.lit("").alias("name"), F.lit(None).cast("string").alias("description"), "ts")
-    return last_version(spark, finished(spark, "flags", lambda p, c: T.stream_audio_flags(t, p, c))).select("key", "has_lang")
+    k = (F.col("event_id") % 97).cast("string")
+    t = events(spark, d).select(F.concat(F.lit("e:"), k).alias("key"), title.alias("title"), F.lit("").alias("name"), F.lit(None).cast("string").alias("description"), "ts")
+    names = D.read(spark, d, "events").select((F.col("event_id") % 97).alias("k")).distinct().filter("k % 2 = 0")
+    one = lambda p, n: names.filter(f"k % {n} = 0").select(F.concat(F.lit("e:"), F.col("k").cast("string")).alias("key"), F.concat(F.lit(p), F.col("k").cast("string")).alias("alias"))
+    path = finished(spark, "flags", lambda p, c: T.stream_audio_flags(t, one("alt:", 2).unionByName(one("tt", 4)), p, c))
+    return T.current(spark, path).select("key", "has_lang")
 
 
 @query("s01_read_items", "SELECT item_id, page, pos FROM (SELECT l_partkey + 1 AS item_id, l_linenumber AS page, l_orderkey AS pos FROM lineitem) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY page, pos) = 1")
@@ -89,11 +93,13 @@ def s05(spark, d):
     return S.read_history_feed(o.filter("owner % 2 = 0"), o.filter("owner % 2 = 1").drop("watched_at"), F.lit("2024-01-31").cast("timestamp_ntz")).groupBy("owner", "item_id", "media_type").agg(F.count("*").alias("n"))
 
 
-@query("s15_write_catalogs", "SELECT catalog_id, count(*) AS items, CAST(sum(item_id) AS BIGINT) AS total FROM discovered WHERE pos <= 20 GROUP BY ALL", ("discovered",))
+@query("s15_write_catalogs", "SELECT catalog_id, owner % 2 = 0 AS kids, count(DISTINCT owner) AS owners, count(*) AS items, CAST(sum(item_id) AS BIGINT) AS total FROM profile_catalogs JOIN discovered USING (catalog_id) WHERE pos <= 20 GROUP BY ALL", ("discovered", "profile_catalogs"))
 def s15(spark, d):
     path = S.shared_dir(spark, "catalogs")
-    S.write_catalogs(discovered(spark, d).filter("pos <= 20").select("catalog_id", "item_id", "pos"), path)
-    return spark.read.parquet(path).groupBy("catalog_id").agg(F.count("*").alias("items"), F.sum("item_id").alias("total"))
+    c = discovered(spark, d).filter("pos <= 20").select("catalog_id", "item_id", "pos")
+    own = D.profile_catalogs(spark, d).join(c, "catalog_id").withColumns({"profile_id": F.lit("global"), "kids": F.col("owner") % 2 == 0})
+    S.write_catalogs(own, path)
+    return spark.read.parquet(path).withColumn("kids", F.col("kids").cast("boolean")).groupBy("catalog_id", "kids").agg(F.countDistinct("owner").alias("owners"), F.count("*").alias("items"), F.sum("item_id").alias("total"))
 
 
 @query("s16_write_impressions", "SELECT owner, profile_id, catalog_id, item_id, '2024-01-31' AS seen_date FROM (SELECT DISTINCT owner, profile_id, catalog_id, item_id FROM impressions)", ("impressions",))

@@ -62,6 +62,23 @@ def a01(spark, d):
     return V.static_vector(D.profile_catalogs(spark, d).join(F.broadcast(D.definitions(spark)), "catalog_id"), "owner")
 
 
+BASE_SQL["alt_queries"] = (("profile_catalogs", "definitions"), "SELECT *, CASE WHEN owner % 3 = 0 THEN 'kitsu' ELSE 'tmdb' END AS provider, CASE WHEN owner % 2 = 0 THEN 'Isekai, Slice Of Life|' END AS keyword_names, CASE WHEN query_idx = 1 THEN 'Space|war' END AS keyword, CASE WHEN owner % 5 = 0 THEN '49|213' END AS with_networks, CASE WHEN owner % 7 = 0 THEN '41077' END AS with_companies FROM profile_catalogs JOIN definitions USING (catalog_id)")
+
+
+def alt_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The profiles' queries with what the second provider's ones may have."""
+    q = D.profile_catalogs(spark, d).join(F.broadcast(D.definitions(spark)), "catalog_id")
+    k = F.col("owner")
+    return q.withColumns({"provider": F.when(k % 3 == 0, "kitsu").otherwise("tmdb"), "keyword_names": F.when(k % 2 == 0, "Isekai, Slice Of Life|"), "keyword": F.when(F.col("query_idx") == 1, "Space|war"), "with_networks": F.when(k % 5 == 0, "49|213"), "with_companies": F.when(k % 7 == 0, "41077")})
+
+
+@query("a01_static_vector_words", f"""
+SELECT owner, feature, count(*) * 100.0::DOUBLE AS weight FROM (SELECT owner, unnest({_LISTS} || ['k:' || lower(trim(x)) FOR x IN string_split_regex(coalesce(keyword, ''), '[,|]') IF trim(x) <> '']
+  || CASE WHEN provider = 'kitsu' THEN ['g:16', 'o:JP'] || ['k:' || lower(trim(x)) FOR x IN string_split_regex(coalesce(keyword_names, ''), '[,|]') IF trim(x) <> ''] ELSE [] END) AS feature FROM alt_queries) GROUP BY ALL""", ("alt_queries",))
+def a01_words(spark, d):
+    return V.static_vector(alt_queries(spark, d), "owner")
+
+
 def manual_dna(spark: SparkSession, d: str) -> DataFrame:
     c = D.read(spark, d, "customer")
     kind = F.element_at(F.array(F.lit("genre"), F.lit("keyword"), F.lit("country")), (F.col("c_custkey") % 3 + 1).cast("int"))
@@ -109,14 +126,15 @@ def a08(spark, d):
 
 
 @query("a09_suggest_dna", """
-WITH c AS (SELECT owner, feature, count(*) AS n FROM (SELECT owner, unnest(""" + _LISTS + """) AS feature FROM profile_catalogs JOIN definitions USING (catalog_id)) GROUP BY ALL),
+WITH c AS (SELECT owner, feature, count(*) AS n FROM (SELECT owner, unnest(""" + _LISTS + """ || ['n:' || trim(x) FOR x IN string_split_regex(coalesce(with_networks, ''), '[,|]') IF trim(x) <> ''] || ['c:' || trim(x) FOR x IN string_split_regex(coalesce(with_companies, ''), '[,|]') IF trim(x) <> '']
+    || CASE WHEN provider = 'kitsu' THEN ['g:16', 'k:210024'] ELSE [] END) AS feature FROM alt_queries) GROUP BY ALL),
 r AS (SELECT owner, split_part(feature, ':', 1) AS prefix, split_part(feature, ':', 2) AS id, n, row_number() OVER (PARTITION BY owner, split_part(feature, ':', 1) ORDER BY n DESC, split_part(feature, ':', 2)) AS pos FROM c)
 SELECT owner, prefix, id, n, CAST(pos AS INTEGER) AS pos FROM r WHERE pos <= CASE WHEN prefix IN ('g', 'k') THEN 8 ELSE 3 END
-  AND NOT EXISTS (SELECT 1 FROM manual_dna m WHERE m.owner = r.owner AND CASE m.type WHEN 'genre' THEN 'g' WHEN 'keyword' THEN 'k' ELSE 'o' END = r.prefix AND m.id = r.id)""", ("profile_catalogs", "definitions", "manual_dna"))
+  AND NOT EXISTS (SELECT 1 FROM manual_dna m WHERE m.owner = r.owner AND CASE m.type WHEN 'genre' THEN 'g' WHEN 'keyword' THEN 'k' ELSE 'o' END = r.prefix AND m.id = r.id)""", ("alt_queries", "manual_dna"))
 def a09(spark, d):
     from tastegrid.operators.merging import suggest_dna
 
-    return suggest_dna(D.profile_catalogs(spark, d).join(F.broadcast(D.definitions(spark)), "catalog_id"), manual_dna(spark, d))
+    return suggest_dna(alt_queries(spark, d), manual_dna(spark, d))
 
 
 @query("w01_top_features", """
@@ -140,20 +158,6 @@ def a20(spark, d):
     return rounded(V.taste_drift(static(spark, d), fused(spark, d), "owner", "context"), "static", "final")
 
 
-@query("a22_top_traits", """
-WITH n AS (SELECT 'd:' || s AS feature, 'Brand#' || s AS label FROM (SELECT DISTINCT regexp_extract(p_brand, '(\\d+)', 1) AS s FROM part)),
-t AS (SELECT *, row_number() OVER (PARTITION BY owner, context ORDER BY round(weight, 9) DESC, feature) AS pos FROM fused WHERE weight > 0)
-SELECT owner, context, t.feature, round(weight, 6) AS weight, CAST(pos AS INTEGER) AS pos, coalesce(label, t.feature) AS label FROM t LEFT JOIN n ON t.feature = n.feature WHERE pos <= 20""", ("fused",))
-def a22(spark, d):
-    from pyspark.sql import Window
-
-    number = F.regexp_extract("p_brand", r"(\d+)", 1)
-    names = D.read(spark, d, "part").select(F.concat(F.lit("d:"), number).alias("feature"), F.concat(F.lit("Brand#"), number).alias("label")).distinct()
-    w = Window.partitionBy("owner", "context").orderBy(F.desc(F.round("weight", 9)), "feature")
-    top = fused(spark, d).filter("weight > 0").withColumn("pos", F.row_number().over(w)).filter("pos <= 20")
-    return rounded(top.join(names, "feature", "left").withColumn("label", F.coalesce("label", "feature")), "weight")
-
-
 @query("p22_validate_vectors", "SELECT owner, context, CAST(count(*) AS INTEGER) AS features, count(*) <= 500 AND bool_and(regexp_full_match(feature, '[gkda]:\\d+')) AS valid FROM fused GROUP BY ALL", ("fused",))
 def p22(spark, d):
     return V.invalid_vectors(V.as_map(fused(spark, d), "owner", "context")).select("owner", "context", F.size("vector").alias("features"), "valid")

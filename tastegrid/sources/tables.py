@@ -55,9 +55,13 @@ def read_history_feed(history: DataFrame, ratings: DataFrame, as_of: Column) ->
     return both.select("owner", F.coalesce("movie_id", "show_id").alias("item_id"), F.when(F.col("movie_id").isNotNull(), "movie").otherwise("tv").alias("media_type"), F.coalesce("watched_at", as_of).alias("watched_at")).filter("item_id IS NOT NULL")
 
 
-def read_library_feed(loved: DataFrame, liked: DataFrame, library: DataFrame) -> DataFrame:
-    """Three lists of (owner, id, type) with their source; ids that are numbers, series as tv, all else as movie."""
-    all_ = loved.withColumn("source", F.lit("loved")).unionByName(liked.withColumn("source", F.lit("liked"))).unionByName(library.withColumn("source", F.lit("library")))
+def read_library_feed(loved: DataFrame | None = None, liked: DataFrame | None = None, library: DataFrame | None = None, bare: DataFrame | None = None) -> DataFrame:
+    """Lists of (owner, id, type) with their source, a bare list's being manual; ids that are numbers, series as tv, all else as movie."""
+    all_ = None
+    for source, rows in (("loved", loved), ("liked", liked), ("library", library), ("manual", bare)):
+        if rows is not None:
+            rows = rows.withColumn("source", F.lit(source))
+            all_ = rows if all_ is None else all_.unionByName(rows)
     return all_.filter(F.col("id").rlike("^[0-9]+$")).select("owner", F.col("id").cast("long").alias("item_id"), F.when(F.col("type") == "series", "tv").otherwise("movie").alias("media_type"), "source")
 
 
@@ -72,9 +76,15 @@ def alt_catalog(df: DataFrame) -> DataFrame:
     return df.select("id", F.coalesce("title_it", "title_en", "title_en_jp", "canonical").alias("name"), F.year("start_date").alias("year"), F.format_number(F.col("rating") / 10, 1).alias("rating"), "subtype")
 
 
+def unwrap_list_item(df: DataFrame) -> DataFrame:
+    """Rows with the item in movie, in show or in themselves, as (owner, imdb, tmdb, title, description, rating)."""
+    of = lambda c: F.coalesce(F.col(f"movie.{c}"), F.col(f"show.{c}"), F.col(c))
+    return df.select("owner", *(of(c).alias(c) for c in ("imdb", "tmdb", "title", "description", "rating")))
+
+
 def normalize_list_item(df: DataFrame) -> DataFrame:
-    """User lists: the IMDb id, else "tmdb:<id>"; rows with neither go; ratings to one decimal."""
-    out = df.select("owner", F.coalesce("imdb", F.concat(F.lit("tmdb:"), F.col("tmdb").cast("string"))).alias("id"), or_default(F.col("title"), "Unknown").alias("name"), F.round("rating", 1).alias("rating"))
+    """User lists: the IMDb id, else "tmdb:<id>"; rows with neither go; ratings to one decimal; titles and descriptions by default."""
+    out = df.select("owner", F.coalesce("imdb", F.concat(F.lit("tmdb:"), F.col("tmdb").cast("string"))).alias("id"), or_default(F.col("title"), "Unknown").alias("name"), or_default(F.col("description"), "No description").alias("description"), F.round("rating", 1).alias("rating"))
     return out.filter("id IS NOT NULL")
 
 
@@ -86,7 +96,8 @@ def read_user_lists(lists: DataFrame, page: int = 1, size: int = 20) -> DataFram
 
 
 def write_catalogs(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("catalog_id").parquet(path)
+    """Ranked ids (owner, profile_id, catalog_id, kids, item_id, pos), a folder for each catalog, with the kids' ones apart."""
+    df.write.mode("overwrite").partitionBy("catalog_id", "kids").parquet(path)
 
 
 def write_impressions(df: DataFrame, path: str, as_of: Column) -> None:
