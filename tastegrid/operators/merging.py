@@ -102,3 +102,16 @@ def describe_taste(vector: DataFrame, manual: DataFrame, names: DataFrame, n: in
     head = F.element_at(F.array(*map(F.lit, ("Manual genres: ", "Manual keywords: ", "Genres: ", "Keywords: "))), F.col("k"))
     p = m.unionByName(t).groupBy("owner", "k").agg(part.alias("s")).select("owner", F.struct("k", F.concat(head, "s").alias("s")).alias("p"))
     return p.groupBy("owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["s"]), ". ").alias("summary"))
+
+
+def inject_preferences(query: Column, genres: Column, keywords: Column) -> Column:
+    """A query map with a profile's two top genres and three top keywords added to its own, each once."""
+    one = lambda k, more, n: F.nullif(F.array_join(F.array_union(parts(F.try_element_at(query, F.lit(k))), F.coalesce(F.slice(more.cast("array<string>"), 1, n), F.expr("CAST(array() AS array<string>)"))), "|"), F.lit(""))
+    new = F.map_filter(F.create_map(F.lit("with_genres"), one("with_genres", genres, 2), F.lit("with_keywords"), one("with_keywords", keywords, 3)), lambda _, v: v.isNotNull())
+    return F.map_concat(F.map_filter(query, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
+
+
+def dna_params(genres: Column, keywords: Column, countries: Column) -> Column:
+    """A profile's DNA filters as a query map: the ids of each kind joined by a pipe."""
+    m = F.create_map(F.lit("with_genres"), F.array_join(genres.cast("array<string>"), "|"), F.lit("with_keywords"), F.array_join(keywords.cast("array<string>"), "|"), F.lit("with_origin_country"), F.array_join(countries, "|"))
+    return F.map_filter(m, lambda _, v: F.coalesce(v, F.lit("")) != "")

@@ -179,3 +179,10 @@ def top_traits(vector: DataFrame, names: DataFrame, n: int, *keys: str) -> DataF
     """The n heaviest features of each vector above zero, by name."""
     w = Window.partitionBy(*keys).orderBy(F.desc(F.round("weight", 9)), "feature")
     return lookup_names(vector.filter("weight > 0").withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n), names)
+
+
+def blend_lists(lists: DataFrame, owners: DataFrame, watched: DataFrame, n: int = 40) -> DataFrame:
+    """Lists (list_idx, pos, item_id), some dozens of rows by their limits, as one for every profile, without what it has watched."""
+    one = first_seen(lists, "item_id", ["list_idx", "pos"]).withColumn("_lane", F.lit(0))
+    all_ = owners.withColumn("_lane", F.lit(0)).join(F.broadcast(one), "_lane").drop("_lane").join(watched, ["owner", "item_id"], "left_anti")
+    return paginate(all_, ["list_idx", "pos"], "owner", size=n)

@@ -10,8 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tastegrid.functions.details import episode_badge
+from tastegrid.functions.titles import clean_title
 from tastegrid.operators import ranking as R
 from tastegrid.operators import scoring as S
+from tastegrid.operators.discovery import Discovery, discover
+from tastegrid.operators.episodes import join_badges
 
 SIZE = 100
 
@@ -23,8 +27,14 @@ def preset_catalog(discovered: DataFrame, pages: int = 3, size: int = 20) -> Dat
     return R.paginate(once, ["query_idx", "pos"], "catalog_id", size=SIZE).select("catalog_id", "item_id", F.col("place").alias("pos"))
 
 
-def multi_query_catalog(discovered: DataFrame, queries: int = 10) -> DataFrame:
-    """Round robin over a catalog's queries."""
+def multi_query_catalog(discovered: DataFrame, queries: int = 10, presentation: str = "interleave") -> DataFrame:
+    """A page of a catalog's first queries: round robin, or by consensus and popularity."""
+    if presentation not in ("interleave", "popularity"):
+        raise ValueError(f"no presentation {presentation}")
+    if presentation == "popularity":
+        rows = discovered.filter((F.col("query_idx") < queries) & (F.col("pos") <= 60)).select("catalog_id", F.col("query_idx").alias("list_idx"), "pos", "item_id", "popularity")
+        c = R.consensus(rows, "catalog_id").join(rows.groupBy("catalog_id", "item_id").agg(F.max("popularity").alias("popularity")), ["catalog_id", "item_id"])
+        return R.paginate(c, [F.desc("bonus"), F.desc("popularity"), "item_id"], "catalog_id").select("catalog_id", "item_id", F.col("place").alias("pos"))
     lists = discovered.filter((F.col("query_idx") < queries) & (F.col("pos") <= 60)).select("catalog_id", F.col("query_idx").alias("list_idx"), "pos", "item_id")
     return R.interleave(lists, "catalog_id", limit=20).select("catalog_id", "item_id", F.col("place").alias("pos"))
 
@@ -109,3 +119,50 @@ def combined_search(lists: DataFrame, items: DataFrame, score: Callable[[DataFra
     s = s.withColumn("score", F.col("_v") + F.col("bonus") + F.col("full"))
     w = Window.partitionBy("owner").orderBy(F.desc(F.round("score", 9)), F.desc("_p"), F.desc("n"), "item_id")
     return s.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n).select("owner", "item_id", "score", "pos")
+
+
+def user_lists(items: DataFrame, watched: DataFrame, size: int = 20) -> DataFrame:
+    """List items (owner, list_type, item_id, id, pos) of a user, each id once over all lists in order, without watched ones."""
+    once = R.first_seen(items, "id", ["list_type", "pos"], "owner").join(watched, ["owner", "item_id"], "left_anti")
+    return R.paginate(once, ["list_type", "pos"], "owner", size=size).select("owner", "list_type", "id", F.col("place").alias("pos"))
+
+
+def global_discover(items: DataFrame, settings: DataFrame, blocks: list[tuple[str, Discovery]], size: int = 20) -> DataFrame:
+    """settings (owner, setting) to each profile's first items by its floors and order; a list is made once a setting, not a profile."""
+    lists = discover(items, [({"setting": name}, b) for name, b in blocks]).filter(F.col("pos") <= size).select("setting", "item_id", "pos")
+    return settings.join(lists, "setting").select("owner", "item_id", "pos")
+
+
+def post_process(rows: DataFrame, kids: DataFrame, watched: DataFrame, alt: DataFrame, dates: DataFrame, flags: DataFrame, latest: DataFrame, by_date: Column, size: int = 20) -> DataFrame:
+    """Catalog rows (owner, catalog_id, wanted, media_type, item_id, name, genre_ids, keyword_ids, pos) as the page that is shown.
+
+    Rows of another media type go, those unfit where the profile is for kids (kids: owner), and watched ones; items get
+    their alternative id (alt: item_id, alt_id) where there is one; where by_date holds, the newest episode comes first
+    (dates: item_id, air_date); an id is shown once; titles lose their season; series show their latest episode
+    (latest: item_id, season, episode), and one that is dubbed up to an earlier episode comes twice (flags: stream_id, has_lang).
+    """
+    r = rows.filter(F.col("media_type").isNull() | (F.col("media_type") == F.col("wanted")) | (F.col("media_type") == "person"))
+    r = r.join(kids.withColumn("_kids", F.lit(True)), "owner", "left").filter(F.col("_kids").isNull() | ~S.unfit_for_kids()).drop("_kids")
+    r = r.join(watched, ["owner", "item_id"], "left_anti")
+    known = join_badges(r.select("item_id").distinct().select("item_id", F.concat(F.lit("tmdb:"), F.col("item_id").cast("string")).alias("id")), flags).drop("id")
+    r = r.join(alt.select("item_id", "alt_id"), "item_id", "left").join(dates.select("item_id", "air_date"), "item_id", "left").join(latest, "item_id", "left").join(known, "item_id", "left")
+    named = F.when(F.col("alt_id").isNotNull(), F.concat(F.lit("kitsu:"), F.col("alt_id").cast("string"))).otherwise(F.concat(F.lit("tmdb:"), F.col("item_id").cast("string")))
+    order = [F.when(by_date, F.col("air_date")).desc_nulls_last(), "pos"]
+    once = R.first_seen(r.withColumn("id", named), "id", order, "owner", "catalog_id")
+    page = R.paginate(once, order, "owner", "catalog_id", size=size)
+    none = F.lit(None).cast("int")
+    own = episode_badge(none, none, none, none, none, none, F.lit(None).cast("string"), F.col("season"), F.col("episode"), F.col("alt_id").isNotNull())
+    offset = (F.col("wanted") == "tv") & F.col("next_untagged").isNotNull()
+    row = lambda id_, form, badge, tagged: F.struct(id_.alias("id"), F.lit(form).alias("form"), badge.alias("badge"), tagged.alias("audio"))
+    text = F.when(F.col("wanted") == "tv", own)
+    dubbed = F.concat(F.lit("Ep "), F.col("last_tagged").cast("string"))
+    forms = F.when(offset, F.array(row(F.col("id"), "original", text, F.lit(False)), row(F.concat("id", F.lit("_ita_offset")), "dubbed", dubbed, F.lit(True)))).otherwise(F.array(row(F.col("id"), "single", text, F.col("badge"))))
+    return page.withColumn("x", F.explode(forms)).select("owner", "catalog_id", F.col("place").alias("pos"), "x.id", "x.form", clean_title(F.col("name")).alias("title"), "x.badge", "x.audio")
+
+
+def materialise(presets: DataFrame, heroes: dict[str, DataFrame], n: int = SIZE) -> DataFrame:
+    """(owner, catalog_id, item_id, pos) of all profiles' catalogs: the presets' (with those columns) and the personal ones."""
+    out = presets.select("owner", "catalog_id", "item_id", "pos")
+    for name, rows in heroes.items():
+        out = out.unionByName(rows.select("owner", F.lit(name).alias("catalog_id"), "item_id", "pos"))
+    return out.filter(F.col("pos") <= n)

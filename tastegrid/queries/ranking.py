@@ -196,11 +196,20 @@ def u04(spark, d):
 @query("u05_blend_popular", """
 WITH l AS (SELECT item_id, 0 AS list_idx, row_number() OVER (ORDER BY popularity DESC, item_id) AS pos FROM item_features WHERE media_type = 'movie' QUALIFY pos <= 30),
 r AS (SELECT item_id, 1 AS list_idx, row_number() OVER (ORDER BY vote_count DESC, item_id) AS pos FROM item_features WHERE media_type = 'movie' QUALIFY pos <= 30),
-u AS (SELECT * FROM (SELECT * FROM l UNION ALL SELECT * FROM r) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY list_idx, pos) = 1)
-SELECT item_id, CAST(row_number() OVER (ORDER BY list_idx, pos) AS INTEGER) AS place FROM u WHERE item_id NOT IN (SELECT item_id FROM watch_history WHERE owner = 7) QUALIFY place <= 40""", ("item_features", "watch_history"))
+u AS (SELECT * FROM (SELECT * FROM l UNION ALL SELECT * FROM r) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY list_idx, pos) = 1),
+o AS (SELECT CAST(c_custkey AS BIGINT) AS owner, u.* FROM customer, u)
+SELECT owner, item_id, CAST(row_number() OVER (PARTITION BY owner ORDER BY list_idx, pos) AS INTEGER) AS place FROM o ANTI JOIN (SELECT owner, item_id FROM watch_history WHERE context = 'global') h USING (owner, item_id) QUALIFY place <= 40""", ("item_features", "watch_history"))
 def u05(spark, d):
     m = D.item_features(spark, d).filter("media_type = 'movie'")
     top = lambda c, i: m.orderBy(F.desc(c), "item_id").limit(30).select("item_id", F.lit(i).alias("list_idx"), F.row_number().over(Window.orderBy(F.desc(c), "item_id")).alias("pos"))
-    u = R.first_seen(top("popularity", 0).unionByName(top("vote_count", 1)), "item_id", ["list_idx", "pos"])
-    u = u.join(D.watch_history(spark, d).filter("owner = 7").select("item_id").distinct(), "item_id", "left_anti")
-    return u.select("item_id", F.row_number().over(Window.orderBy("list_idx", "pos")).alias("place")).filter("place <= 40")
+    owners = D.read(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("owner"))
+    seen = D.watch_history(spark, d).filter("context = 'global'").select("owner", "item_id")
+    return R.blend_lists(top("popularity", 0).unionByName(top("vote_count", 1)), owners, seen).select("owner", "item_id", "place")
+
+
+@query("p25_dna_params", "SELECT owner, array_to_string(genres, '|') AS with_genres, array_to_string(keywords, '|') AS with_keywords, array_to_string(countries, '|') AS with_origin_country FROM dna", ("dna",))
+def p25(spark, d):
+    from tastegrid.queries.tastes import dna
+
+    p = dna(spark, d).select("owner", M.dna_params(F.col("genres"), F.col("keywords"), F.col("countries")).alias("m"))
+    return p.select("owner", *(F.try_element_at("m", F.lit(k)).alias(k) for k in ("with_genres", "with_keywords", "with_origin_country")))
