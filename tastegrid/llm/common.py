@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,9 +20,12 @@ _OWN: dict[str, str] = {}
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder the cluster names in spark.checkpoint.dir.
 
-    Where that setting is empty (tests, a laptop) a temporary folder of this process is used.
+    Where that setting is empty (tests, a laptop) a temporary folder of this process is used, which only a
+    local master can share with its tasks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
     if not base:
         base = _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tastegrid-"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -101,25 +105,33 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: (node, root), root the smallest node reachable.
 
     edges has the columns a and b of one orderable type; nodes without an edge have no row.
-    Every round gives a node the smallest root among its neighbours' roots and its own, then
-    follows that root's own root (pointer jumping), so that chains shrink by halves. Each round is
-    two joins and two aggregations with map-side minima; its labels are a table in the shared folder.
+    Every round sends a node to the smallest of its neighbours and itself, and on from there once more, and
+    contracts the edges to those nodes; what is left shrinks from round to round, by half the nodes or better.
+    A chain that is longer than that keeps an edge to its next node. Each round's labels and edges are tables
+    in the shared folder.
     """
-    both = written(
-        edges.filter(F.col("a") != F.col("b")).select("a", "b").union(edges.filter(F.col("a") != F.col("b")).select(F.col("b"), F.col("a"))).distinct(),
-        f"{name}-edges",
-    )
-    labels = written(
-        both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"), F.lit(True).alias("moved")),
-        f"{name}-labels",
-    )
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    left = written(edges.select(*ordered("a", "b")).filter("a <> b").distinct(), f"{name}-edges")
+    labels = None
     for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
-        step = labels.select("node", F.col("root").alias("was")).join(near, "node", "left").select("node", "was", F.least("was", F.coalesce("m", "was")).alias("r"))
-        jump = step.join(labels.select(F.col("node").alias("r"), F.col("root").alias("rr")), "r", "left").select("node", F.least("r", F.coalesce("rr", "r")).alias("root"), "was")
-        before, labels = labels, written(jump.select("node", "root", (F.col("root") != F.col("was")).alias("moved")), f"{name}-labels")
-        drop(before)
-        if labels.filter("moved").isEmpty():
-            drop(both)
-            return labels.select("node", "root")
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
+        first = written(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("to")), f"{name}-first")
+        # node, where its smallest neighbour goes, and where that one goes
+        hop = first.join(first.select(F.col("node").alias("to"), F.col("to").alias("root")), "to").select("node", "root")
+        hop = hop.join(first.select(F.col("node").alias("root"), F.col("to").alias("next")), "root").select("node", "root", "next")
+        hop = written(hop, f"{name}-hop")
+        chains = hop.filter("root <> next").select(*ordered("root", "next"))
+        moved = left.join(hop.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(hop.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+        rest = written(moved.select(*ordered("x", "y")).union(chains).filter("a <> b").distinct(), f"{name}-edges")
+        step = hop.select("node", "root")
+        if labels is None:
+            labels = written(step, f"{name}-labels")
+        else:
+            far = step.select(F.col("node").alias("root"), F.col("root").alias("_r"))
+            before, labels = labels, written(labels.join(far, "root", "left").select("node", F.coalesce("_r", "root").alias("root")), f"{name}-labels")
+            drop(before)
+        drop(left, first, hop)
+        left = rest
+        if left.isEmpty():
+            return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -101,10 +101,10 @@ def _similar(rows: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Record
 
 
 def _joined(rows: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (cluster, i, j, chunk, key, part, bands, own), those of a cluster's chunk pair (i, j) together: links that join parts."""
+    """Rows (cluster, i, j, chunk, key, part, bands, own), those of a cluster's chunk pair (i, j) together: the parts that links join."""
 
     def links(held):
-        chunk, key, part = (np.array([x[k] for x in held]) for k in (3, 4, 5))
+        chunk, part = (np.array([x[k] for x in held]) for k in (3, 5))
         bands = np.array([x[6] for x in held], np.int64)
         sets = [np.frombuffer(x[7], np.uint64) for x in held]
         size = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -133,7 +133,7 @@ def _joined(rows: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordB
                 p, q = find(part[a]), find(part[x])
                 if p != q:
                     root[p] = q
-                    yield key[a], key[x]
+                    yield part[a], part[x]
 
     def out(held):
         got = list(links(held))
@@ -150,8 +150,11 @@ def _joined(rows: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordB
         yield out(held)
 
 
-def verified_links(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(a, b): links of nodes (key, first, fp, n, bands) whose components are those of all candidates with the similarity."""
+def verified_parts(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of nodes (key, first, fp, n, bands) by the links to heads, and (a, b) of roots that other links join.
+
+    Together their components are those of all candidates with the similarity.
+    """
 
     def sets_of(keys: DataFrame, name: str) -> DataFrame:
         texts = docs.join(nodes.select("key", F.col("first").alias("doc_id")).join(keys, "key"), "doc_id").select("key", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
@@ -176,16 +179,18 @@ def verified_links(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY)
     drop(pairs, by_print, sets)
 
     part = components(links, "near-part")
+    none = links.limit(0)
     own = written(met.filter("m > 2").join(part.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "head", F.coalesce("root", "key").alias("part")), "near-own")
     drop(met)
     open_ = own.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("band")
     rest = written(own.join(open_, "band").select("key", "head", "part"), "near-rest")
     drop(own)
     if rest.isEmpty():
-        return links
-    # clusters of open buckets: every node is in one, whatever the number of its buckets
-    cluster = components(rest.select(F.col("key").alias("a"), F.col("head").alias("b")), "near-clusters")
-    inside = rest.select("key", "part").distinct().join(cluster.withColumnRenamed("node", "key"), "key").join(nodes.select("key", "n", "bands"), "key")
+        return part, none
+    # clusters of open buckets: every part is in one, whatever the number of its nodes and buckets
+    at_head = rest.filter("key = head").select("head", F.col("part").alias("head_part")).distinct()
+    cluster = components(rest.select("head", "part").distinct().join(at_head, "head").select(F.col("part").alias("a"), F.col("head_part").alias("b")), "near-clusters")
+    inside = rest.select("key", "part").distinct().join(cluster.withColumnRenamed("node", "part"), "part").join(nodes.select("key", "n", "bands"), "key")
     inside = written(inside, "near-inside")
     chunks = inside.groupBy("root").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
     dealt = inside.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")).join(sets_of(inside.select("key"), "near-inside-sets"), "key")
@@ -194,7 +199,7 @@ def verified_links(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY)
     dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "key")
     more = written(dealt.mapInArrow(lambda rows: _joined(rows, least), "a long, b long"), "near-second")
     drop(rest, inside)
-    return links.union(more)
+    return part, more
 
 
 def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -205,9 +210,11 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     repeated = not sketches.groupBy("doc_id").count().filter("count > 1").isEmpty()  # an id given to several rows
     nodes = written(sketches.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bands").alias("bands")), "near-nodes")
     drop(sketches)
-    labels = components(verified_links(d.select("doc_id", "text"), nodes, least), "near")
-    rooted = nodes.select("key", "first").join(labels.withColumnRenamed("node", "key"), "key", "left")
-    kept = written(rooted.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("doc_id")).select("doc_id").distinct(), "near-kept")
+    part, more = verified_parts(d.select("doc_id", "text"), nodes, least)
+    joined = components(more, "near") if not more.isEmpty() else more.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    rooted = nodes.select("key", "first").join(part.withColumnRenamed("node", "key"), "key", "left").select("first", F.coalesce("root", "key").alias("node"))
+    rooted = rooted.groupBy("node").agg(F.min("first").alias("first")).join(joined, "node", "left")
+    kept = written(rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("doc_id")).select("doc_id").distinct(), "near-kept")
     drop(nodes)
     out = docs.join(kept, "doc_id", "left_semi")
     out = out.dropDuplicates(["doc_id"]) if repeated else out
