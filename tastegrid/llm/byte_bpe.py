@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm.common import batches, let, table, written
+from tastegrid.llm.common import batches, drop, let, table, written
 from tastegrid.llm.pieces import chunks, cut
 
 NONE, LONG, CHUNK = 2**31 - 1, 512, 12 << 20
@@ -162,18 +162,41 @@ def _distinct(rows: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array([x for w in words if len(x := w.encode()) <= LONG], pa.binary())], names=["word"])
 
 
-def common_words(docs: DataFrame, bpe: BytePairs, pattern: str, most: int) -> dict[str, list[int]]:
-    """The words of the most chunks, at most so many, with their ids from the fold."""
+def common_words(docs: DataFrame, bpe: BytePairs, pattern: str, most: int) -> bytes:
+    """The words of the most chunks, at most so many, with their ids from the fold: an Arrow stream of a few MB.
+
+    Of the last number of chunks that no longer fits, a share is taken by hash; words of one chunk gain nothing.
+    """
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     counts = written(texts.mapInArrow(lambda rows: _distinct(rows, pattern), "word binary").groupBy("word").agg(F.count("*").alias("n")), "bpe-words")
-    sizes = {r["n"]: r["k"] for r in counts.groupBy(F.least("n", F.lit(1024)).alias("n")).agg(F.count("*").alias("k")).collect()}
-    least, total = 1025, 0
+    level = F.least("n", F.lit(1024))
+    sizes = {r["level"]: r["k"] for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect()}
+    left, wanted = most, F.lit(False)
     for n in sorted(sizes, reverse=True):
-        if total + sizes[n] > most or n < 2 and len(sizes) > 1:
+        if left <= 0 or n < 2 and len(sizes) > 1:
             break
-        least, total = n, total + sizes[n]
-    rows = counts.filter(F.col("n") >= least).select("word").repartition(F.col("word")).select("word", bpe.ids(F.col("word")).alias("ids")).collect() if total else []
-    return {bytes(r["word"]).decode(): r["ids"] for r in rows}
+        share = min(1.0, left / sizes[n])
+        wanted = wanted | (level == n) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20)))
+        left -= sizes[n]
+    top = counts.filter(wanted)
+    top = written(top.select("word"), "bpe-common")
+    drop(counts)
+    spark, key = docs.sparkSession, "spark.sql.maxPlanStringLength"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "20000")  # the literal map makes megabytes of each description of this plan
+    try:
+        found = top.repartition(F.col("word")).select("word", bpe.ids(F.col("word")).alias("ids")).toArrow()
+    finally:
+        spark.conf.set(key, was)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, found.schema) as w:
+        w.write_table(found)
+    return out.getvalue().to_pybytes()
+
+
+def _words(stream: bytes) -> dict[str, list[int]]:
+    t = pa.ipc.open_stream(stream).read_all()
+    return dict(zip((x.decode() for x in t.column("word").to_pylist()), t.column("ids").to_pylist(), strict=True))
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -196,7 +219,7 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def _texts(rows: Iterator[pa.RecordBatch], pattern: str, shared, ranked) -> Iterator[pa.RecordBatch]:
     """Encodes chunks of texts by their distinct words, and decodes every text from its ids."""
-    find, known, ranks = regex.compile(pattern).findall, shared.value, ranked.value
+    find, known, ranks = regex.compile(pattern).findall, _words(shared.value), ranked.value
     binary = [b""] * (max(ranks.values()) + 1)
     for p, r in ranks.items():
         binary[r] = p
