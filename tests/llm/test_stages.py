@@ -88,3 +88,112 @@ def test_mixing_stage(spark):
     docs = odd_docs(spark, [(10_000 + i, *r) for i, *r in rows]).filter("doc_id >= 10000")
     got = [r.doc_id for r in pipeline.mixing_stage(spark, docs, "").collect()]
     assert set(got) == {10_000 + i for i, *_ in rows} and max(got.count(i) for i in set(got)) <= 2 and len(got) > len(rows)
+
+
+def plain_passages(rows, size=51):
+    """Texts without the words of passages of `size` words that stand earlier; rows in order of (doc_id, ...)."""
+    import re
+
+    seen, out = set(), []
+    for i, t in rows:
+        raw = (t or "").encode()
+        at = [m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", raw)]
+        words = [raw[a:b] for a, b in at]
+        gone = np.zeros(len(words), bool)
+        for k in range(len(words) - size + 1):
+            w = tuple(words[k : k + size])
+            if w in seen:
+                gone[k : k + size] = True
+            seen.add(w)
+        left, last = b"", 0
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]])))
+        for a, b in zip(edge[::2], edge[1::2], strict=True):
+            left, last = left + raw[last : at[a][0]], at[b - 1][1]
+        out.append((i, None if t is None else (left + raw[last:]).decode()))
+    return out
+
+
+def test_run(spark):
+    """The whole pipeline against plain versions of its stages, one after another."""
+    import base64
+    import hashlib
+
+    import public_tokenizers as P
+    import tiktoken
+    from test_llm import plain_toxicity
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from tastegrid.llm import mixing as M
+    from tastegrid.llm import toxicity as T
+    from tastegrid.llm.common import scratch_dir
+
+    rng = np.random.default_rng(12)
+    words = lambda n: [f"{''.join(rng.choice(list('abcdeimnorstu'), 3))}{x:x}" for x in rng.integers(0, 1 << 12, n)]
+    passage = words(60)
+    rows, labels = [], []
+    for i in range(150):
+        w = words(int(rng.integers(5, 160)))
+        if i % 5 == 0:
+            w[len(w) // 2] = "grubzak" + "aeiou"[i % 3]
+        if i % 7 == 1:
+            w = w[:20] + passage + w[20:]
+        rows.append((i, " ".join(w), "en", "hot" if i % 3 == 0 else f"s{i % 8}"))
+        labels.append((i, int(i % 5 == 0)))
+    for i in range(1, 40, 4):  # near copies, exact ones, and rows without text or id
+        w = rows[i][1].split()
+        w[len(w) // 2 :: 90] = ["changed"] * len(w[len(w) // 2 :: 90])
+        rows += [(200 + i, " ".join(w), "en", "s1"), (300 + i, rows[i][1], "de", "s2")]
+    rows += [(400, None, None, None), (401, "", "en", "s1"), (None, "no id here", "en", "s1"), (402, " \t ", "en", None)]
+    path = scratch_dir(spark, "run")
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(*r, len(r[1]) if r[1] else None) for r in rows], kind).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, t) for i, t in labels], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    docs, lab = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    got = sorted((tuple(r) for r in pipeline.run(spark, path).collect()), key=str)
+
+    model = T.fit(docs, lab)
+    clean = [r for r in rows if plain_toxicity(r[1], model) < 0.5]
+    own = [r for r in clean if r[0] is not None]
+    parent = list(range(len(own)))
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    def alike(a, b):
+        a, b = (a or "").split(), (b or "").split()
+        return jaccard(" ".join(a), " ".join(b)) >= 0.8 if min(len(a), len(b)) > 4 else a == b
+
+    own.sort()
+    for i in range(len(own)):
+        for j in range(i):
+            if alike(own[i][1], own[j][1]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    kept = [r for r in clean if r[0] is None] + [r for i, r in enumerate(own) if root(i) == i]
+    assert 10 < len(clean) - len(kept) < 40 and len(clean) < len(rows)
+    cut = plain_passages([r[:2] for r in kept])
+    assert sum(a[1] != b[1] for a, b in zip(kept, cut, strict=True)) > 8
+    left = [(i, t, g, s, None) for (i, t), (_, _, g, s) in zip(cut, kept, strict=True)]
+    copies = {(r.doc_id, r.source): r.copies for r in M.mix(spark.createDataFrame(left, kind), budget_share=None, entropy_share=None, max_repeat=2.0).collect()}
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for i, t, _, s, _ in left:
+        ids = e.encode_ordinary(t or "")
+        want += [(i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())] * copies[i, s]
+    assert got == sorted(want, key=str) and len(want) > len(left)
+
+
+def test_stages_on_odd_tables(spark):
+    """Every stage takes empty tables, nulls, repeated rows and clashing columns, and hands on the columns it was given."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from tastegrid.llm.common import scratch_dir
+
+    path = scratch_dir(spark, "odd")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    for docs in (odd_docs(spark), odd_docs(spark).limit(0)):
+        for _, stage in pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, path)
+            assert docs.columns == odd_docs(spark).columns
+        n = docs.count()
+        assert pipeline.STAGES[-1][1](spark, docs, path).count() == n
