@@ -9,6 +9,10 @@ the next one. All but the last keep the columns of documents:
 3. suffix_dedup: cuts passages of over 50 words that stand earlier in the corpus out of the texts;
 4. mixing: takes sources at tempered weights: every document once, those of small sources up to twice;
 5. byte_bpe: encodes what is left and decodes it again, as counts and digests.
+
+Defined cases: null texts pass as empty ones and stay null; without labels of both kinds nothing is toxic;
+rows without doc_id are never copies of others; repeated rows of one id are one document after near_dedup;
+other columns are kept up to the last stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,7 +57,7 @@ STAGES = [
     ("byte_bpe", byte_bpe_stage),
 ]
 
-#: No SQL: the classifier and the fingerprints have none. tests/llm holds the stages against brute force.
+#: No SQL: the classifier and the shingle sets have none. tests/llm/test_stages.py holds run() against plain versions of all stages.
 ORACLE_SQL = None
 
 

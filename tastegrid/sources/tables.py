@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,8 +13,11 @@ from tastegrid.functions.ids import or_default
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder named in spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tastegrid-")
+    """A new path in the shared folder named in spark.checkpoint.dir, or a temporary one where that is unset and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="tastegrid-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
