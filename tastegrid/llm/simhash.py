@@ -8,8 +8,8 @@ Every fingerprint is therefore replicated to all anchors within radius plus thre
 a codeword, else its home and the 15 at distance two), and is compared at each anchor with those
 at home there. No link between different fingerprints is lost. Copies share a fingerprint and are
 folded into one row first. At an anchor only a spanning forest of the links leaves the task. An
-anchor with more than HOT_HOMES homes is split: its homes are dealt into chunks and the others are
-sent to every chunk.
+anchor with more than HOT_HOMES homes, or OTHERS times as many rows, is split both ways: its homes are
+dealt into chunks and so are all its rows, and each chunk of homes meets each chunk of rows.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links like
 any other; one or two words form one shingle. A null doc_id keeps its row; component_id is the
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tastegrid.llm.common import batches, components, drop, table, written
 
-HOT_HOMES = 8192
+HOT_HOMES, OTHERS = 8192, 8
 _PIECE = 1 << 15
 
 
@@ -140,15 +140,20 @@ def near_links(distinct: DataFrame, threshold: int = 3, hot_homes: int = HOT_HOM
     if not 0 <= threshold <= 3:
         raise ValueError("two halves and radius 1 cover thresholds up to 3")
     rows = anchors(distinct)
-    homes = rows.filter("home").groupBy("anchor").count()
-    hot = written(homes.filter(F.col("count") > hot_homes).select("anchor", F.ceil(F.col("count") / hot_homes).cast("int").alias("chunks")), "simhash-hot")
-    rows = rows.withColumn("key", F.col("anchor"))
-    if not hot.isEmpty():
+    size = rows.groupBy("anchor").agg(F.count(F.when(F.col("home"), 1)).alias("homes"), F.count("*").alias("all"))
+    parts = lambda c, most: F.greatest(F.ceil(F.col(c) / most), F.lit(1)).cast("int")
+    hot = size.filter((F.col("homes") > hot_homes) | (F.col("all") > OTHERS * hot_homes) & (F.col("homes") > 0))
+    hot = written(hot.select("anchor", parts("homes", hot_homes).alias("hs"), parts("all", OTHERS * hot_homes).alias("os")), "simhash-hot")
+    if hot.isEmpty():
+        rows = rows.withColumn("key", F.col("anchor"))
+    else:
         r = rows.join(hot, "anchor", "left")
-        own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-        r = r.withColumn("salt", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
-        home = F.col("home") & (F.col("chunks").isNull() | (F.col("salt") == own))
-        rows = r.select((F.col("anchor") + F.shiftleft(F.col("salt").cast("long"), 33)).alias("key"), "fp", home.alias("home"))
+        cold = r.filter("hs IS NULL").select(F.col("anchor").alias("key"), "fp", "home")
+        r = r.filter("hs IS NOT NULL").withColumns({"h": F.pmod(F.xxhash64("fp"), F.col("hs")).cast("int"), "o": F.pmod(F.xxhash64("fp", F.lit(1)), F.col("os")).cast("int")})
+        as_home = r.filter("home").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("os") - 1)))
+        as_other = r.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("hs") - 1))).filter("NOT home OR g <> h").withColumn("h", F.col("g")).withColumn("home", F.lit(False)).drop("g")
+        at = F.col("anchor") + F.shiftleft((F.col("h") * F.col("os") + F.col("o") + 1).cast("long"), 33)
+        rows = cold.unionByName(as_home.unionByName(as_other).select(at.alias("key"), "fp", "home"))
     return rows.select("key", "fp", "home").repartition("key").sortWithinPartitions("key").mapInArrow(lambda r: _links(r, threshold), "a long, b long").distinct()
 
 
