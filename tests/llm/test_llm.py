@@ -212,22 +212,23 @@ def test_licenses(spark):
 
     filler = " ".join(f"filler{i}" for i in range(300))
     text = {1: filler + " " + L.TEMPLATES["MIT-grant"].lower() + " " + filler, 2: "x " + L.TEMPLATES["GPL-3.0"].replace("This", "That"), 3: L.TEMPLATES["Apache-2.0-header"][:60], 4: "license license license", 5: None, 6: "", 7: "(c) 2020 A. All rights reserved.", 8: filler + " " + L.TEMPLATES["MIT-text"] + " " + filler, 9: L.TEMPLATES["BSD-2-Clause-text"].replace("SOFTWARE", "PROGRAM", 1), 10: filler + L.TEMPLATES["Zlib"]}
-    got = {(r.doc_id, r.template) for r in L.license_matches(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()}
+    best = {(r.doc_id, r.template): (r.containment, r.word) for r in L.license_matches(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()}
+    got = set(best)
 
     def plain(t):
         w = L.words_of(t or "")
-        out = set()
+        out = {}
         for name, template in L.TEMPLATES.items():
             own, s = set(L.shingles_of(template)), L.size_of(template)
             n = 3 if s == 4 else 5
             for lo in range(0, len(w), s // 2):
                 part = w[lo : lo + s + s // 2]
-                held = {" ".join(part[i : i + n]) for i in range(len(part) - n + 1)}
-                if len(own & held) >= 0.8 * len(own):
-                    out.add(name)
-        return out
+                share = len(own & {" ".join(part[i : i + n]) for i in range(len(part) - n + 1)}) / len(own)
+                if share >= 0.8 and share > out.get(name, (0, 0))[0]:
+                    out[name] = (share, lo)
+        return {n: (round(x, 6), lo) for n, (x, lo) in out.items()}
 
-    assert got == {(i, n) for i, t in text.items() for n in plain(t)} and {(1, "MIT-grant"), (2, "GPL-3.0"), (7, "all-rights-reserved"), (8, "MIT-text"), (9, "BSD-2-Clause-text")} <= got
+    assert best == {(i, n): x for i, t in text.items() for n, x in plain(t).items()} and {(1, "MIT-grant"), (2, "GPL-3.0"), (7, "all-rights-reserved"), (8, "MIT-text"), (9, "BSD-2-Clause-text")} <= got
     again = spark.createDataFrame([(1, text[7]), (1, text[7]), (2, text[7]), (None, text[7])], "doc_id long, text string")
     found = [(r.doc_id, r.template, r.containment, r.word) for r in L.license_matches(again).collect()]
     assert sorted(found, key=str) == [(1, "all-rights-reserved", 1.0, 0), (2, "all-rights-reserved", 1.0, 0), (None, "all-rights-reserved", 1.0, 0)]
