@@ -37,11 +37,13 @@ def p13(spark, d):
 
 
 @query("p11_part_and_season", r"""
-SELECT p_partkey, season, CASE WHEN part > 1 THEN part END AS part FROM (SELECT p_partkey, coalesce(TRY_CAST(regexp_extract(title, '(?i)Season\s*(\d+)', 1) AS INTEGER), TRY_CAST(regexp_extract(title, '(?i)(\d+)(?:st|nd|rd|th)\s*Season', 1) AS INTEGER)) AS season,
+SELECT p_partkey, season, CASE WHEN part > 1 THEN part END AS part, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 > 0 THEN title WHEN p_partkey % 3 = 0 THEN '東京 ' || title ELSE title END AS shown FROM (SELECT p_partkey, title, coalesce(TRY_CAST(regexp_extract(title, '(?i)Season\s*(\d+)', 1) AS INTEGER), TRY_CAST(regexp_extract(title, '(?i)(\d+)(?:st|nd|rd|th)\s*Season', 1) AS INTEGER)) AS season,
   coalesce(TRY_CAST(regexp_extract(title, '(?i)(?:Part|Cour|Parte)\s*(\d+)', 1) AS INTEGER), CASE WHEN NOT regexp_matches(title, '(?i)(?:Season\s*\d+|\d+(?:st|nd|rd|th)\s*Season)\s*$') AND TRY_CAST(regexp_extract(title, '\s(\d+)$', 1) AS INTEGER) <> p_size % 8 THEN TRY_CAST(regexp_extract(title, '\s(\d+)$', 1) AS INTEGER) END) AS part FROM titles)""", ("titles",))
 def p11(spark, d):
-    t = F.col("title")
-    return titles(spark, d).select("p_partkey", T.season_number(t).alias("season"), T.part_number(t, F.col("p_size") % 8).alias("part"))
+    t, k = F.col("title"), F.col("p_partkey")
+    new = F.when(k % 3 == 0, F.concat(F.lit("東京 "), t)).otherwise(t)
+    old = F.when(k % 2 == 0, F.lit("古い")).otherwise(t)
+    return titles(spark, d).select("p_partkey", T.season_number(t).alias("season"), T.part_number(t, F.col("p_size") % 8).alias("part"), T.readable_title(new, old).alias("shown"))
 
 
 @query("p08_clean_title", r"""
