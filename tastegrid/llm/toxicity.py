@@ -212,7 +212,7 @@ def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows scored 0.5 or more."""
+    """docs without the rows scored 0.5 or more; all of them where labels of both classes are missing, as every score is 0 then."""
     model = fit(docs, labels)
     if model is None:
         return docs
