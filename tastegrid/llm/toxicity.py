@@ -99,11 +99,11 @@ def train(texts: list[bytes], toxic: np.ndarray, dim: int = 4, steps: int = 120,
         apart[:] = False
     own, label = [t for t, x in zip(texts, apart, strict=True) if not x], toxic[~apart]
     buf, doc_at = _buffer(own)
-    _, _, first = grams(buf)
+    space = buf == 32
+    first, stops = np.flatnonzero(~space[1:] & space[:-1]) + 1, np.flatnonzero(space[1:] & ~space[:-1]) + 1
     if not len(first):
         return None
-    stops, raw = np.flatnonzero(buf == 32), buf.tobytes()
-    stops = stops[np.searchsorted(stops, first)]
+    raw = buf.tobytes()
     place: dict[bytes, int] = {}
     occ = np.fromiter((place.setdefault(raw[a:b], len(place)) for a, b in zip(first.tolist(), stops.tolist(), strict=True)), np.int64, len(first))
     v = len(place)
@@ -136,7 +136,7 @@ def train(texts: list[bytes], toxic: np.ndarray, dim: int = 4, steps: int = 120,
     logits = np.zeros(1 << BITS, np.float32)
     logits[often] = p["e"] @ (p["w"][:, 1] - p["w"][:, 0])
     bias = float(p["b"][1] - p["b"][0])
-    x, y = (raw_scores([t for t, a in zip(texts, apart, strict=True) if a], logits, bias), toxic[apart]) if apart.any() else (raw_scores(own, logits, bias), label)
+    x, y = (_each([t for t, a in zip(texts, apart, strict=True) if a], logits, bias), toxic[apart]) if apart.any() else (_each(own, logits, bias), label)
     cuts = np.unique(x)
     cuts = np.concatenate([[cuts[0] - 1], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 1]])
     ordered, total = np.argsort(x), y.sum()
@@ -157,6 +157,11 @@ def raw_scores(texts: list[bytes], logits: np.ndarray, bias: float) -> np.ndarra
     return _most(first, doc_at, z, bias)
 
 
+def _each(texts: list[bytes], logits: np.ndarray, bias: float) -> np.ndarray:
+    """raw_scores of some texts at a time: a text takes some hundred times its length."""
+    return np.concatenate([raw_scores(texts[at : at + 64], logits, bias) for at in range(0, len(texts), 64)])
+
+
 def scores(texts: list[bytes], model: Model) -> np.ndarray:
     logits, bias, mid = model
     return 1 / (1 + np.exp(-np.clip(raw_scores(texts, logits, bias) - mid, -500, 500)))
@@ -165,7 +170,7 @@ def scores(texts: list[bytes], model: Model) -> np.ndarray:
 def _score(rows: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     own = model.value
     for b in batches(rows):
-        for c in chunks(b, 1, 2 << 20):
+        for c in chunks(b, 1, 1 << 19):
             s = scores([x or b"" for x in c.column(1).to_pylist()], own)
             yield pa.RecordBatch.from_arrays([*(c.column(k) for k in range(c.num_columns) if k != 1), pa.array(s)], names=[*(n for k, n in enumerate(c.schema.names) if k != 1), "score"])
 
