@@ -110,6 +110,24 @@ def test_nearest(spark):
     assert nearest(df.limit(0), lambda c: F.col(c) % 20 == 0, 20).count() == 0
 
 
+def test_nearest_beyond_a_block(spark, monkeypatch):
+    """2,000 vectors in ranges of some hundred: the rounds and hops have to find what the first blocks can't hold."""
+    from pyspark.sql import functions as F
+
+    from tastegrid.llm import nn_descent as N
+
+    monkeypatch.setattr(N, "BLOCK", 100)
+    x = np.random.default_rng(8).normal(size=(2000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = N.nearest(df, lambda c: F.col(c) % 20 == 0, 20).toPandas()
+    hit, s = 0, x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(s, -np.inf)
+    for q, g in got.groupby("query_id"):
+        assert sorted(g["rank"]) == list(range(1, 21)) and np.allclose(g.score, s[q, g.vec_id], atol=1e-9)
+        hit += len(set(np.argsort(-s[q])[:20]) & set(g.vec_id))
+    assert got.query_id.nunique() == 100 and hit >= 0.9 * 2000
+
+
 def test_exhaustive(spark):
     from pyspark.sql import functions as F
 
