@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tastegrid.llm.common import batches, drop, let, table, written
 from tastegrid.llm.pieces import chunks, cut
 
-NONE, LONG, CHUNK = 2**31 - 1, 512, 12 << 20
+NONE, LONG, CHUNK = 2**31 - 1, 512, 10 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import shutil
 import tempfile
@@ -97,8 +98,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on from task to task, beside an executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def batches(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in rows if b.num_rows)
+    """A task's batches that have rows; memory is given back before the first and after the last."""
+    give_back()
+    for b in rows:
+        if b.num_rows:
+            yield b
+    give_back()
 
 
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:

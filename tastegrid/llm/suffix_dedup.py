@@ -47,7 +47,7 @@ from tastegrid.llm.common import batches, drop, table, written
 
 LENGTH, GRAM, HOT, SUB = 400, 100, 2000, 16
 CODE, PASSAGE, UNBROKEN = 4, 51, 100
-_SEGMENT = 1 << 21
+_SEGMENT = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
 SPANS = "array<struct<lo:int,hi:int>>"
@@ -217,7 +217,7 @@ def _spans(flags: np.ndarray) -> list[dict]:
     return [{"lo": int(a), "hi": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def _suffix_order(rows: Iterator[pa.RecordBatch], length: int = LENGTH, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def _suffix_order(rows: Iterator[pa.RecordBatch], length: int = LENGTH, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Rows (m, s, n, body), those of one m together and in order of their first place."""
 
     def out(held):
