@@ -186,3 +186,21 @@ def blend_lists(lists: DataFrame, owners: DataFrame, watched: DataFrame, n: int
     one = first_seen(lists, "item_id", ["list_idx", "pos"]).withColumn("_lane", F.lit(0))
     all_ = owners.withColumn("_lane", F.lit(0)).join(F.broadcast(one), "_lane").drop("_lane").join(watched, ["owner", "item_id"], "left_anti")
     return paginate(all_, ["list_idx", "pos"], "owner", size=n)
+
+
+def large_ranks(df: DataFrame, groups: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """df with its places in groups of any size, of which a few may hold all rows.
+
+    Rows are dealt into ranges of (groups, order), which no group fills alone; a row's place is the number of its
+    group's rows in the ranges before, and its place in its range. order must tell any two rows of a group apart.
+    """
+    from tastegrid.sources.tables import written
+
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(ranges, *groups, *order).withColumn("_range", F.spark_partition_id())
+    dealt = written(dealt, "ranks")  # ranges come from a sample: they are drawn once
+    sizes = dealt.groupBy(*groups, "_range").agg(F.count("*").alias("_k"))  # a row a group and range
+    w = Window.partitionBy(*groups).orderBy("_range")
+    before = sizes.select(*groups, "_range", (F.sum("_k").over(w) - F.col("_k")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*groups, "_range").orderBy(*order))
+    return dealt.withColumn("_n", inside).join(before, [*groups, "_range"]).withColumn(name, F.col("_before") + F.col("_n")).drop("_range", "_n", "_before")

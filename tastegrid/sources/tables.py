@@ -21,6 +21,22 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df, computed once, in the shared folder; what goes on from it survives lost executors. discard() deletes it."""
+    path = shared_dir(df.sparkSession, name)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() when all that reads them is written itself."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def read_items(pages: DataFrame) -> DataFrame:
     """Listing pages (page, pos, item_id, ...) as one list, the first row of an item."""
     w = Window.partitionBy("item_id").orderBy("page", "pos")
