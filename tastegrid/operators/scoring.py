@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tastegrid.operators.vectors import SCALE
+
 # Fixed values of the scoring rules.
 MIN_VOTES, MEAN_VOTE = 300.0, 6.5
 NICHE_REAL, NICHE_TARGET, NICHE_FADE, NICHE_MAX, NICHE_MIN = 20, 500, 2000, 2.5, 1.0
@@ -33,16 +35,16 @@ UNROLLED = 5
 def affinity(vector: Column, prefix: str, values: Column) -> Column:
     """Sum of a profile's weights over an item's ids; ids that come twice count twice.
 
-    vector is a profile's struct of maps (vectors.as_maps). The first ids are looked up one by one, in
+    vector is a profile's struct of maps (vectors.as_maps), in whole units that are converted once, when they are summed. The first ids are looked up one by one, in
     compiled code; only longer lists go on with aggregate(), which is interpreted.
     """
-    weight = lambda i: F.coalesce(F.try_element_at(vector[prefix], i), F.lit(0.0))
+    weight = lambda i: F.coalesce(F.try_element_at(vector[prefix], i), F.lit(0).cast("long"))
     total = weight(F.get(values, F.lit(0)))
     for k in range(1, UNROLLED):
         total = total + weight(F.get(values, F.lit(k)))
     n = F.coalesce(F.size(values), F.lit(0))
-    rest = F.aggregate(F.slice(values, UNROLLED + 1, n), F.lit(0.0), lambda s, i: s + weight(i))
-    return total + F.when(n > UNROLLED, rest).otherwise(0.0)
+    rest = F.aggregate(F.slice(values, UNROLLED + 1, n), F.lit(0).cast("long"), lambda s, i: s + weight(i))
+    return (total + F.when(n > UNROLLED, rest).otherwise(0)).cast("double") / float(SCALE)
 
 
 def thematic(vector: Column) -> Column:

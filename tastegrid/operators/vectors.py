@@ -6,6 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNIT = 100.0
+SCALE = 1 << 30  # weights of maps are whole numbers of this part of one: their sums don't depend on order
+
+
+def fixed(value: Column) -> Column:
+    """A weight in whole units."""
+    return F.floor(value * float(SCALE) + 0.5)
+
+
+def rounded(value: Column, places: int) -> Column:
+    """A number to some places, by way of nine, so that noise in its last bits decides no half."""
+    step = 10 ** (9 - places)
+    return F.floor((F.floor(value * 1e9 + 0.5) + step // 2) / step) / float(10**places)
 
 
 def prefixed(prefix: str, ids: str) -> Column:
@@ -83,9 +95,9 @@ def as_map(vector: DataFrame, *keys: str) -> DataFrame:
 
 
 def as_maps(vector: DataFrame, *keys: str) -> DataFrame:
-    """(keys, vector STRUCT): one row a profile, with a map from id to weight for each prefix; ids that are no numbers can't be looked up."""
+    """(keys, vector STRUCT): one row a profile, with a map from id to weight in whole units for each prefix; ids that are no numbers can't be looked up."""
     kind, number = F.substring_index("feature", ":", 1), F.substring_index("feature", ":", -1).try_cast("long")
-    one = vector.select(*keys, kind.alias("_p"), F.struct(number.alias("id"), "weight").alias("_e"))
+    one = vector.select(*keys, kind.alias("_p"), F.struct(number.alias("id"), fixed(F.col("weight")).alias("weight")).alias("_e"))
     own = lambda p: F.map_from_entries(F.collect_list(F.when((F.col("_p") == p) & F.col("_e.id").isNotNull(), F.col("_e"))))
     return one.groupBy(*keys).agg(*(own(p).alias(p) for p in ("g", "k", "d", "a"))).select(*keys, F.struct("g", "k", "d", "a").alias("vector"))
 

@@ -12,12 +12,13 @@ from tastegrid.sources.domain import BASE_SQL
 
 BASE_SQL["candidates"] = (("loved", "similar_items"), "SELECT owner, dst_id AS item_id, count(*) AS n, min(position) AS place FROM loved JOIN similar_items ON item_id = src_id WHERE pos <= 5 GROUP BY ALL")
 _SUM = lambda p, c: f"(SELECT coalesce(sum(f.weight), 0) FROM (SELECT unnest(i.{c}) AS x) t JOIN fused f ON f.owner = c.owner AND f.context = 'global' AND f.feature = '{p}:' || x)"
-_WEIGHTS = "\n".join(f", w{p} AS (SELECT c.owner, c.item_id, sum(f.weight) AS w FROM (SELECT c.owner, c.item_id, unnest(i.{col}) AS x FROM candidates c JOIN item_features i USING (item_id)) c JOIN fused f ON f.owner = c.owner AND f.context = 'global' AND f.feature = '{p}:' || c.x GROUP BY ALL)" for p, col in (("g", "genre_ids"), ("k", "keyword_ids"), ("d", "director_ids"), ("a", "cast_ids[1:5]")))
+_WEIGHTS = "\n".join(f", w{p} AS (SELECT c.owner, c.item_id, CAST(sum(CAST(floor(f.weight * 1073741824.0::DOUBLE + 0.5) AS BIGINT)) AS DOUBLE) / 1073741824.0::DOUBLE AS w FROM (SELECT c.owner, c.item_id, unnest(i.{col}) AS x FROM candidates c JOIN item_features i USING (item_id)) c JOIN fused f ON f.owner = c.owner AND f.context = 'global' AND f.feature = '{p}:' || c.x GROUP BY ALL)" for p, col in (("g", "genre_ids"), ("k", "keyword_ids"), ("d", "director_ids"), ("a", "cast_ids[1:5]")))
 BASE_SQL["scored_parts"] = (("candidates", "item_features", "fused"), "SELECT * FROM (WITH c0 AS (SELECT 1)" + _WEIGHTS + """
   SELECT c.owner, c.item_id, c.n, c.place, coalesce(wg.w, 0) AS genre, coalesce(wk.w, 0) AS keyword, coalesce(wd.w, 0) AS director, coalesce(wa.w, 0) AS actor,
     i.genre_ids, i.keyword_ids, i.vote_count, i.vote_average, i.popularity, i.media_type,
     vote_count / (vote_count + 300.0::DOUBLE) * vote_average + 300.0::DOUBLE / (vote_count + 300.0::DOUBLE) * 6.5::DOUBLE AS bayes
   FROM candidates c JOIN item_features i USING (item_id) LEFT JOIN wg USING (owner, item_id) LEFT JOIN wk USING (owner, item_id) LEFT JOIN wd USING (owner, item_id) LEFT JOIN wa USING (owner, item_id))""")
+by_units = lambda x: f"floor((floor(({x}) * 1e9 + 0.5) + 500) / 1000) / 1e6"  # noqa: E731  as vectors.rounded
 _BASE = "greatest(0.0::DOUBLE, least(10.0::DOUBLE, ((0.98::DOUBLE * (genre + keyword) + 0.02::DOUBLE * (director + actor)) + bayes) / 2))"
 _LIGHT = "greatest(0.0::DOUBLE, least(10.0::DOUBLE, 0.7::DOUBLE * genre + 0.3::DOUBLE * bayes))"
 _BONUS = "CASE WHEN vote_count < 20 THEN 0.0::DOUBLE WHEN vote_count <= 500 THEN 1.0::DOUBLE + (500 - vote_count) / 480.0::DOUBLE * 1.5::DOUBLE WHEN vote_count <= 2000 THEN greatest(0.0::DOUBLE, 1.0::DOUBLE - (vote_count - 500) / 1500.0::DOUBLE) ELSE 0.0::DOUBLE END"
@@ -55,6 +56,10 @@ def with_match(spark: SparkSession, d: str, kept: DataFrame) -> DataFrame:
     return kept.join(own, "item_id").join(profiles(spark, d), "owner").withColumn("full", S.base_match(F.col("vector"))).drop("vector")
 
 
+def by_nine(df: DataFrame, **scores) -> DataFrame:
+    return df.select("owner", "item_id", *(V.rounded(c, 6).alias(k) for k, c in scores.items()))
+
+
 def cut(df: DataFrame, **scores) -> DataFrame:
     return df.select("owner", "item_id", *(F.round(c, 6).alias(k) for k, c in scores.items()))
 
@@ -88,7 +93,7 @@ def x05(spark, d):
 
 
 BASE_SQL["wt1"] = (("candidates", "item_features", "fused"), """
-  SELECT c.owner, c.item_id, sum(CASE WHEN f.feature[1] IN ('g', 'k') THEN 0.98::DOUBLE ELSE 0.02::DOUBLE END * f.weight) AS taste FROM (
+  SELECT c.owner, c.item_id, 0.98::DOUBLE * (CAST(coalesce(sum(CAST(floor(f.weight * 1073741824.0::DOUBLE + 0.5) AS BIGINT)) FILTER (f.feature[1] = 'g'), 0) AS DOUBLE) / 1073741824.0::DOUBLE + CAST(coalesce(sum(CAST(floor(f.weight * 1073741824.0::DOUBLE + 0.5) AS BIGINT)) FILTER (f.feature[1] = 'k'), 0) AS DOUBLE) / 1073741824.0::DOUBLE) + 0.02::DOUBLE * (CAST(coalesce(sum(CAST(floor(f.weight * 1073741824.0::DOUBLE + 0.5) AS BIGINT)) FILTER (f.feature[1] = 'd'), 0) AS DOUBLE) / 1073741824.0::DOUBLE + CAST(coalesce(sum(CAST(floor(f.weight * 1073741824.0::DOUBLE + 0.5) AS BIGINT)) FILTER (f.feature[1] = 'a'), 0) AS DOUBLE) / 1073741824.0::DOUBLE) AS taste FROM (
     SELECT c.owner, c.item_id, unnest(['g:' || x FOR x IN genre_ids] || ['k:' || x FOR x IN keyword_ids] || ['d:' || x FOR x IN director_ids] || ['a:' || x FOR x IN cast_ids[1:5]]) AS feature FROM candidates c JOIN item_features USING (item_id)) c
     JOIN fused f ON f.owner = c.owner AND f.context = 'p1' AND f.feature = c.feature GROUP BY ALL""")
 
@@ -99,13 +104,13 @@ WITH a AS (SELECT s.owner, s.item_id, genre_ids, keyword_ids, greatest(0.0::DOUB
 
 
 @query("x06_item_match", _BOTH + """
-SELECT owner, item_id, round(greatest(0.0::DOUBLE, least(10.0::DOUBLE, (0.8::DOUBLE * active + 0.2::DOUBLE * overall) * CASE WHEN owner % 3 = 2 OR list_contains(genre_ids, CASE WHEN owner % 3 = 0 THEN 28 ELSE -1 END) OR list_contains(keyword_ids, CASE WHEN owner % 3 = 1 THEN 1010 ELSE -1 END) THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END)), 4) AS score FROM a""", ("scored_parts", "wt1"))
+SELECT owner, item_id, {round} AS score FROM (SELECT owner, item_id, greatest(0.0::DOUBLE, least(10.0::DOUBLE, (0.8::DOUBLE * active + 0.2::DOUBLE * overall) * CASE WHEN owner % 3 = 2 OR list_contains(genre_ids, CASE WHEN owner % 3 = 0 THEN 28 ELSE -1 END) OR list_contains(keyword_ids, CASE WHEN owner % 3 = 1 THEN 1010 ELSE -1 END) THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END)) AS x FROM a)""".replace("{round}", by_units("x")), ("scored_parts", "wt1"))
 def x06(spark, d):
     p = pool(spark, d).withColumnRenamed("vector", "overall").join(profiles(spark, d, "p1"), "owner")
     none = F.expr("CAST(array() AS array<bigint>)")
     genres, words = F.when(F.col("owner") % 3 == 0, S.ids([28])).otherwise(none), F.when(F.col("owner") % 3 == 1, S.ids([1010])).otherwise(none)
     score = S.item_match(S.base_match(F.col("vector")), S.base_match(F.col("overall")), S.dna_multiplier(genres, words))
-    return p.select("owner", "item_id", F.round(score, 4).alias("score"))  # to four places: at six, some lie on the edge
+    return p.select("owner", "item_id", V.rounded(score, 6).alias("score"))
 
 
 @query("j26_blend_profile_scores", _BOTH + " SELECT owner, item_id, round(CASE WHEN owner % 2 = 0 THEN 0.8::DOUBLE * active + 0.2::DOUBLE * overall ELSE active END, 6) AS score FROM a", ("scored_parts", "wt1"))
@@ -123,14 +128,14 @@ def x07(spark, d):
     return D.item_features(spark, d).select("item_id", F.round(S.niche_bonus(F.col("vote_count")), 6).alias("score"))
 
 
-@query("x08_light_score", f"SELECT owner, item_id, round({_LIGHT}, 6) AS score FROM scored_parts", ("scored_parts",))
+@query("x08_light_score", f"SELECT owner, item_id, {by_units(_LIGHT)} AS score FROM scored_parts", ("scored_parts",))
 def x08(spark, d):
-    return cut(pool(spark, d), score=S.light_score(F.col("vector")))
+    return by_nine(pool(spark, d), score=S.light_score(F.col("vector")))
 
 
-@query("x09_niche_light_score", f"SELECT owner, item_id, round({_NICHE}, 6) AS score FROM scored_parts", ("scored_parts",))
+@query("x09_niche_light_score", f"SELECT owner, item_id, {by_units(_NICHE)} AS score FROM scored_parts", ("scored_parts",))
 def x09(spark, d):
-    return cut(pool(spark, d), score=S.niche_light_score(F.col("vector")))
+    return by_nine(pool(spark, d), score=S.niche_light_score(F.col("vector")))
 
 
 BASE_SQL["top_genres"] = (("fused",), "SELECT owner, list(CAST(id AS BIGINT) ORDER BY pos) AS top FROM (SELECT owner, split_part(feature, ':', 2) AS id, row_number() OVER (PARTITION BY owner ORDER BY round(weight, 9) DESC, CAST(split_part(feature, ':', 2) AS BIGINT)) AS pos FROM fused WHERE context = 'global' AND feature LIKE 'g:%') WHERE pos <= 3 GROUP BY owner")

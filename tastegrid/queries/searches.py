@@ -11,7 +11,8 @@ from tastegrid.operators import scoring as S
 from tastegrid.queries import query
 from tastegrid.queries import tastes as T
 from tastegrid.queries.discovery import discovered
-from tastegrid.queries.scoring import _BASE, _LIGHT
+from tastegrid.operators.vectors import rounded
+from tastegrid.queries.scoring import _BASE, _LIGHT, by_units
 from tastegrid.queries.tastes import _DNA, scored_sql
 from tastegrid.sources import domain as D
 from tastegrid.sources.domain import BASE_SQL
@@ -144,11 +145,11 @@ BASE_SQL["affinity_parts"] = (("affinity_pool", "item_features", "fused"), score
 
 @query("a21_affinity_report", f"""
 WITH c AS (SELECT owner, catalog_id, item_id, pos FROM profile_catalogs JOIN discovered USING (catalog_id) WHERE query_idx = 0 AND pos <= 20)
-SELECT owner, catalog_id, item_id, CAST(pos AS INTEGER) AS pos, round({_LIGHT}, 6) AS light, round(greatest(0.0::DOUBLE, least(10.0::DOUBLE, {_BASE} * {_DNA})), 6) AS match FROM c JOIN affinity_parts USING (owner, item_id) LEFT JOIN dna USING (owner) WHERE owner IN (SELECT owner FROM fused WHERE context = 'global')""", ("profile_catalogs", "discovered", "affinity_parts", "dna", "fused"))
+SELECT owner, catalog_id, item_id, CAST(pos AS INTEGER) AS pos, {by_units(_LIGHT)} AS light, {by_units(f'greatest(0.0::DOUBLE, least(10.0::DOUBLE, {_BASE} * {_DNA}))')} AS match FROM c JOIN affinity_parts USING (owner, item_id) LEFT JOIN dna USING (owner) WHERE owner IN (SELECT owner FROM fused WHERE context = 'global')""", ("profile_catalogs", "discovered", "affinity_parts", "dna", "fused"))
 def a21(spark, d):
     c = D.profile_catalogs(spark, d).join(discovered(spark, d).filter("query_idx = 0 AND pos <= 20").select("catalog_id", "item_id", "pos"), "catalog_id")
     light = T.light(spark, d, c.select("owner", "item_id").distinct(), S.light_score)
-    return A.affinity_report(c, T.item_match(spark, d)(light)).select("owner", "catalog_id", "item_id", "pos", F.round("light", 6).alias("light"), F.round("full", 6).alias("match"))
+    return A.affinity_report(c, T.item_match(spark, d)(light)).select("owner", "catalog_id", "item_id", "pos", rounded(F.col("light"), 6).alias("light"), rounded(F.col("full"), 6).alias("match"))
 
 
 

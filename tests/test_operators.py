@@ -116,3 +116,13 @@ def test_discovery(spark):
 def test_saturation(spark):
     df = spark.createDataFrame([(1, i, i, [28]) for i in range(1, 10)], "p int, item_id int, rank int, genre_ids array<long>")
     assert [round(r.penalty, 6) for r in S.genre_saturation(df, "p").orderBy("rank").collect()] == [0, 0, 0, 0, 0, 0, 0.15, 0.3, 0.45]
+
+
+def test_sums_in_any_order(spark):
+    """Weights are summed in whole units: neither the order of ids nor the number of partitions shows."""
+    w = spark.createDataFrame([(1, f"g:{i}", 100 / (3 + i)) for i in range(40)], "p int, feature string, weight double")
+    ids = list(range(40))
+    rows = spark.createDataFrame([(k, ids[k:] + ids[:k], []) for k in range(40)], "k int, genre_ids array<long>, keyword_ids array<long>")
+    got = [rows.repartition(n).crossJoin(V.as_maps(w.repartition(n), "p")).select(S.thematic(F.col("vector")).alias("w")).distinct().collect() for n in (1, 7)]
+    assert len(got[0]) == 1 and got[0] == got[1]
+    assert [r.v for r in spark.createDataFrame([(0.5000005,), (0.50000049999999999,), (-1.0,)], "v double").select(V.rounded(F.col("v"), 6).alias("v")).collect()] == [0.500001, 0.500001, -1.0]
