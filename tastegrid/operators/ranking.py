@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,22 +60,21 @@ def paginate(df: DataFrame, order: list, *keys: str, skip: int = 0, size: int =
 
 
 def diversity_caps(ranked_rows: DataFrame, *keys: str, genre: int = 10, director: int = 3) -> DataFrame:
-    """Walk each list (at most some hundred rows) by pos and skip an item of which a genre or director is full."""
-    kind = ranked_rows.schema
+    """Walk each list (at most some hundred rows) by pos and skip an item of which a genre or director is full.
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        seen: dict[tuple, int] = {}
-        keep = []
-        for r in rows.sort_values("pos").itertuples():
-            own = [("g", g) for g in r.genre_ids] + [("d", x) for x in r.director_ids]
-            full = any(seen.get(k, 0) >= (genre if k[0] == "g" else director) for k in own)
-            keep.append((r.Index, not full))
-            if not full:
-                for k in own:
-                    seen[k] = seen.get(k, 0) + 1
-        return rows.loc[[i for i, ok in keep if ok]]
+    The walk is a fold over the sorted list, with the ids of the items taken so far.
+    """
+    row = F.struct("pos", F.coalesce("genre_ids", F.array()).alias("g"), F.coalesce("director_ids", F.array()).alias("d"))
+    lists = ranked_rows.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    times = lambda ids, x: F.size(F.filter(ids, lambda y: y == x))
+    none = F.expr("named_struct('g', CAST(array() AS array<bigint>), 'd', CAST(array() AS array<bigint>), 'kept', CAST(array() AS array<int>))")
+
+    def step(acc: Column, r: Column) -> Column:
+        full = F.exists(r["g"], lambda x: times(acc["g"], x) >= genre) | F.exists(r["d"], lambda x: times(acc["d"], x) >= director)
+        return F.when(full, acc).otherwise(F.struct(F.concat(acc["g"], r["g"]).alias("g"), F.concat(acc["d"], r["d"]).alias("d"), F.concat(acc["kept"], F.array(r["pos"])).alias("kept")))
 
-    return ranked_rows.groupBy(*keys).applyInPandas(walk, kind)
+    kept = lists.select(*keys, F.explode(F.aggregate("rows", none, step)["kept"]).alias("pos"))
+    return ranked_rows.join(kept, [*keys, "pos"], "left_semi")
 
 
 def search_text(items: DataFrame, text: str, n: int) -> DataFrame:
@@ -129,20 +127,6 @@ def attach_details(rows: DataFrame, details: DataFrame, order: list, *keys: str,
     return asked.join(details.withColumnRenamed("item_id", "_id"), "_id", "left").drop("_id")
 
 
-def search_all(items: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """(text, item_id, pos): for each text the first n items whose names hold all its words; equal names first, then beginnings, then by popularity.
-
-    Texts and names meet on words, so no text is held against every name.
-    """
-    words = texts.select("text", F.array_distinct(F.split("text", " ")).alias("words"))
-    names = items.select("item_id", "popularity", F.lower("name").alias("name")).withColumn("own", F.array_distinct(F.split("name", " ")))
-    j = words.withColumn("word", F.element_at("words", 1)).join(names.select("*", F.explode("own").alias("word")), "word")
-    j = j.filter(F.size(F.array_except("words", "own")) == 0)
-    rank = F.when(F.col("name") == F.col("text"), 0).when(F.col("name").startswith(F.col("text")), 1).otherwise(2)
-    w = Window.partitionBy("text").orderBy(rank, F.desc("popularity"), "item_id")
-    return j.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n).select("text", "item_id", "pos")
-
-
 def hydrate_features(rows: DataFrame, features: DataFrame, order: list, *keys: str, most: int = 60) -> DataFrame:
     """rows (keys, item_id, imdb_id, keyword_ids, cast_ids, ...): the first `most` of a list that lack keywords and cast get them, by number or IMDb id.
 

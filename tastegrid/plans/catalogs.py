@@ -16,6 +16,9 @@ from tastegrid.operators import ranking as R
 from tastegrid.operators import scoring as S
 from tastegrid.operators.discovery import Discovery, discover
 from tastegrid.operators.episodes import join_badges
+from tastegrid.operators.matching import match, search_texts
+from tastegrid.operators.requests import TARGETS
+from tastegrid.operators.xref import resolve_names
 
 SIZE = 100
 
@@ -112,13 +115,48 @@ def with_fallback(personal: DataFrame, owners: DataFrame, fallback: DataFrame |
     return own.unionByName(lane.select("owner", "item_id", "pos"))
 
 
-def combined_search(lists: DataFrame, items: DataFrame, score: Callable[[DataFrame], DataFrame], n: int = 20) -> DataFrame:
-    """(owner, item_id, score, pos): the lists of a search's queries by vote, consensus and match, then popularity and consensus."""
-    c = R.consensus(lists, "owner").select("owner", "item_id", "n", "bonus")
-    s = score(c).join(items.select("item_id", F.col("vote_average").alias("_v"), F.col("popularity").alias("_p")), "item_id")
-    s = s.withColumn("score", F.col("_v") + F.col("bonus") + F.col("full"))
+def planned_lists(plan: DataFrame, prompts: DataFrame, items: DataFrame, similar: DataFrame, tastes: DataFrame, n: int = 20) -> DataFrame:
+    """(owner, list_idx, pos, item_id): the first n items of each planned query that is for the first provider.
+
+    plan: (owner, pos, strategy, target, text_search, genre_ids, similar_to); prompts: (owner, prompt), the search of those
+    whose plan has no such query; tastes: (owner, genres, keywords), of which a discovery takes two and three more.
+    """
+    own = plan.filter(F.col("target").isNull() | (F.col("target") == TARGETS[0])).select("owner", F.col("pos").alias("list_idx"), "strategy", F.lower("text_search").alias("text"), "genre_ids", "similar_to")
+    rest = prompts.join(own.select("owner").distinct(), "owner", "left_anti").select("owner", F.lit(0).alias("list_idx"), F.lit("multi_search").alias("strategy"), F.lower("prompt").alias("text"), F.lit(None).cast("array<bigint>").alias("genre_ids"), F.lit(None).cast("string").alias("similar_to"))
+    own = own.unionByName(rest)
+    text = own.filter("strategy = 'multi_search'").select("owner", "list_idx", "text")
+    lists = text.join(search_texts(items, text, n), "text").select("owner", "list_idx", "pos", "item_id")
+    like = own.filter("strategy = 'similar' AND similar_to IS NOT NULL").select("owner", "list_idx", F.col("similar_to").alias("asked"))
+    known = resolve_names(like.select("asked").distinct(), items.select(F.col("item_id").alias("id"), F.col("name").alias("label"))).filter("id IS NOT NULL")
+    edges = similar.filter(F.col("position") <= n).select(F.col("src_id").alias("id"), F.col("position").alias("pos"), F.col("dst_id").alias("item_id"))
+    lists = lists.unionByName(like.join(known, "asked").join(edges, "id").select("owner", "list_idx", "pos", "item_id"))
+    none = F.expr("CAST(array() AS array<bigint>)")
+    more = lambda c, k: F.slice(F.coalesce(c, none), 1, k)
+    ids = lambda a: F.nullif(F.concat(F.array_join(a.cast("array<string>"), "|"), F.lit("|")), F.lit("|"))  # noqa: E731  with a pipe: any of them
+    found = own.filter("strategy = 'discovery'").join(tastes, "owner", "left").select("owner", "list_idx", ids(F.array_union(F.coalesce("genre_ids", none), more("genres", 2))).alias("with_genres"), ids(more("keywords", 3)).alias("with_keywords"))
+    return lists.unionByName(match(items, found, n).select("owner", "list_idx", "pos", "item_id"))
+
+
+def named_lists(plan: DataFrame, items: DataFrame) -> DataFrame:
+    """(owner, item_id, pos): the items of plans that are lists of titles, in their order; unknown titles go."""
+    asked = plan.filter("strategy = 'static_list'").select("owner", F.posexplode("static_items").alias("at", "asked"))
+    known = resolve_names(asked.select("asked").distinct(), items.select(F.col("item_id").alias("id"), F.col("name").alias("label"))).filter("id IS NOT NULL")
+    w = Window.partitionBy("owner").orderBy("at")
+    return asked.join(known, "asked").select("owner", F.col("id").alias("item_id"), F.row_number().over(w).alias("pos"))
+
+
+def combined_search(lists: DataFrame, named: DataFrame, items: DataFrame, score: Callable[[DataFrame], DataFrame], n: int = 20) -> DataFrame:
+    """(owner, item_id, score, pos): the lists of a search's queries by vote, consensus and match, then popularity and consensus.
+
+    Those without a profile have no match, and go by the rest. Owners of a list of titles (named) get that list, without scores.
+    """
+    c = R.consensus(lists.join(named.select("owner").distinct(), "owner", "left_anti"), "owner").select("owner", "item_id", "n", "bonus")
+    own = score(c).select("owner", "item_id", "full")
+    s = c.join(own, ["owner", "item_id"], "left").join(items.select("item_id", F.col("vote_average").alias("_v"), F.col("popularity").alias("_p")), "item_id")
+    s = s.withColumn("score", F.col("_v") + F.col("bonus") + F.coalesce("full", F.lit(0.0)))
     w = Window.partitionBy("owner").orderBy(F.desc(F.round("score", 9)), F.desc("_p"), F.desc("n"), "item_id")
-    return s.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n).select("owner", "item_id", "score", "pos")
+    s = s.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n).select("owner", "item_id", "score", "pos")
+    return s.unionByName(named.select("owner", "item_id", F.lit(None).cast("double").alias("score"), "pos"))
 
 
 def user_lists(items: DataFrame, watched: DataFrame, size: int = 20) -> DataFrame:

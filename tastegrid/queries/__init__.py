@@ -29,6 +29,8 @@ def with_tables(sql: str, tables: tuple[str, ...]) -> str:
         need(t)
     own = sql.strip()
     heads = [f"{t} AS ({BASE_SQL[t][1].strip()})" for t in order]
+    if own[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join([*heads, own[15:]])
     if own[:5].upper() == "WITH ":
         return "WITH " + ",\n".join([*heads, own[5:]])
     return ("WITH " + ",\n".join(heads) + "\n" if heads else "") + own

@@ -75,11 +75,13 @@ def r16(spark, d):
 @query("r17_sort_orders", """
 SELECT item_id, CAST(row_number() OVER (PARTITION BY media_type ORDER BY release_date DESC NULLS LAST, item_id) AS INTEGER) AS newest, CAST(row_number() OVER (PARTITION BY media_type ORDER BY vote_average DESC NULLS LAST, item_id) AS INTEGER) AS best FROM item_features""", ("item_features",))
 def r17(spark, d):
-    from pyspark.sql import Window
+    from tastegrid.operators.ranking import large_ranks
 
-    w = Window.partitionBy("media_type")
-    place = lambda s: F.row_number().over(w.orderBy(B(sort_by=s).sort_key().desc_nulls_last(), "item_id"))
-    return D.item_features(spark, d).select("item_id", place("first_air_date.desc").alias("newest"), place("vote_average.desc").alias("best"))
+    keys = [F.struct(F.lit(n).alias("kind"), B(sort_by=o).sort_key().alias("v")) for n, o in (("newest", "first_air_date.desc"), ("best", "vote_average.desc"))]
+    listed = D.item_features(spark, d).select("item_id", "media_type", F.explode(F.array(*keys)).alias("k")).select("item_id", "media_type", "k.*")
+    places = large_ranks(listed, ["media_type", "kind"], [F.col("v").desc_nulls_last(), F.col("item_id")], "place")
+    at = lambda n: F.max(F.when(F.col("kind") == n, F.col("place"))).cast("int").alias(n)
+    return places.groupBy("item_id").agg(at("newest"), at("best"))
 
 
 @query("r19_filter_kids", "SELECT item_id FROM item_features WHERE NOT list_has_any(genre_ids, [27, 53, 80])", ("item_features",))

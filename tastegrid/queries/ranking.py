@@ -57,7 +57,15 @@ def w08(spark, d):
     return R.paginate(lists(spark, d), ["list_idx", "pos"], "catalog_id", skip=25).select("catalog_id", "item_id", "place")
 
 
-@query("w09_diversity_caps")
+_FULL = lambda own, taken, most: f"len([x FOR x IN {own} IF len([y FOR y IN {taken} IF y = x]) >= {most}]) > 0"
+
+
+@query("w09_diversity_caps", f"""
+WITH RECURSIVE l AS (SELECT catalog_id, CAST(pos AS INTEGER) AS pos, item_id, genre_ids AS g, director_ids AS d FROM discovered WHERE query_idx = 0 AND pos <= 100),
+walk AS (SELECT catalog_id, 0 AS pos, CAST([] AS BIGINT[]) AS gs, CAST([] AS BIGINT[]) AS ds, CAST(NULL AS BIGINT) AS item_id, false AS kept FROM l WHERE pos = 1
+  UNION ALL SELECT catalog_id, pos, CASE WHEN full_ THEN gs ELSE gs || g END, CASE WHEN full_ THEN ds ELSE ds || d END, item_id, NOT full_ FROM (
+    SELECT w.catalog_id, l.pos, gs, ds, g, d, l.item_id, {_FULL('g', 'gs', 10)} OR {_FULL('d', 'ds', 3)} AS full_ FROM walk w JOIN l ON l.catalog_id = w.catalog_id AND l.pos = w.pos + 1))
+SELECT catalog_id, item_id, pos FROM walk WHERE kept""", ("discovered",))
 def w09(spark, d):
     rows = discovered(spark, d).filter("query_idx = 0 AND pos <= 100").select("catalog_id", "item_id", F.col("pos").cast("int").alias("pos"), "genre_ids", "director_ids")
     return R.diversity_caps(rows, "catalog_id").select("catalog_id", "item_id", "pos")

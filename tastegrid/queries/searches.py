@@ -73,24 +73,26 @@ def p19(spark, d):
     return Q.parse_model_queries(answers(spark, d), "event_id").select("event_id", "pos", "vibe", F.array_join("genre_ids", ",").alias("genres"), "keyword")
 
 
-_PROMPTS = ["red", "blue bolt", "ring", "nothing like it"]
+_PROMPTS = ["red", "lue bol", "ring", "nothing like it"]
+VISITOR = 1_000_000  # owners beyond have no profile
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
     """owner, prompt, content: a search of each customer and a model's plan for it."""
     k = F.col("owner")
-    c = D.read(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("owner")).withColumn("prompt", F.element_at(F.array(*map(F.lit, _PROMPTS)), (k % 4 + 1).cast("int")))
+    c = D.read(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("owner"))
+    c = c.union(c.filter("owner % 6 = 1").select(F.col("owner") + VISITOR)).withColumn("prompt", F.element_at(F.array(*map(F.lit, _PROMPTS)), (k % 4 + 1).cast("int")))
     plan = F.array(
         F.concat(F.lit('Plan: {"queries":[{"strategy":"discovery","genre_ids":[28,'), (k % 20 + 10).cast("string"), F.lit('],"target":"tmdb"},{"strategy":"multi_search","target":"elsewhere"},{"strategy":"odd","text_search":"widget","genre_ids":["a"],"people_list":["X"]}]}')),
-        F.lit("[]"), F.lit("sorry, no"), F.concat(F.lit('[{"strategy":"similar","target":"trakt"},{"strategy":"discovery","genre_ids":['), (k % 20 + 10).cast("string"), F.lit(']}]')), F.lit('{"strategy":"static_list","static_items":["red bolt","Blue Widget"]}'))
+        F.lit("[]"), F.lit("sorry, no"), F.concat(F.lit('[{"strategy":"similar","target":"trakt","similar_to":"hot ring"},{"strategy":"similar","similar_to":"Red Plate"},{"strategy":"discovery","genre_ids":['), (k % 20 + 10).cast("string"), F.lit(']}]')), F.lit('{"strategy":"static_list","static_items":["red bolt","Blue Widget","Zzz"]}'))
     return c.withColumn("content", F.element_at(plan, (k % 5 + 1).cast("int")))
 
 
-BASE_SQL["prompts"] = ((), f"SELECT CAST(c_custkey AS BIGINT) AS owner, {_PROMPTS!r}[c_custkey % 4 + 1] AS prompt FROM customer")
+BASE_SQL["prompts"] = ((), f"SELECT owner, {_PROMPTS!r}[owner % 4 + 1] AS prompt FROM (SELECT CAST(c_custkey AS BIGINT) AS owner FROM customer UNION ALL SELECT CAST(c_custkey AS BIGINT) + {VISITOR} FROM customer WHERE c_custkey % 6 = 1)")
 BASE_SQL["plans"] = (("prompts",), """
-  SELECT owner, 0 AS pos, 'discovery' AS strategy, 'tmdb' AS target, NULL AS text_search, [28, owner % 20 + 10] AS genres, NULL AS people, NULL AS titles FROM prompts WHERE owner % 5 = 0 UNION ALL SELECT owner, 1, 'multi_search', 'tmdb', prompt, NULL, NULL, NULL FROM prompts WHERE owner % 5 = 0
-  UNION ALL SELECT owner, 2, 'multi_search', 'tmdb', 'widget', NULL, 'X', NULL FROM prompts WHERE owner % 5 = 0 UNION ALL SELECT owner, 0, 'multi_search', 'tmdb', prompt, NULL, NULL, NULL FROM prompts WHERE owner % 5 IN (1, 2)
-  UNION ALL SELECT owner, 0, 'similar', 'trakt', NULL, NULL, NULL, NULL FROM prompts WHERE owner % 5 = 3 UNION ALL SELECT owner, 1, 'discovery', 'tmdb', NULL, [owner % 20 + 10], NULL, NULL FROM prompts WHERE owner % 5 = 3 UNION ALL SELECT owner, 0, 'static_list', NULL, NULL, NULL, NULL, 'red bolt,Blue Widget' FROM prompts WHERE owner % 5 = 4""")
+  SELECT owner, 0 AS pos, 'discovery' AS strategy, 'tmdb' AS target, NULL AS text_search, [28, owner % 20 + 10] AS genres, NULL AS people, NULL AS titles, NULL AS like_ FROM prompts WHERE owner % 5 = 0 UNION ALL SELECT owner, 1, 'multi_search', 'tmdb', prompt, NULL, NULL, NULL, NULL FROM prompts WHERE owner % 5 = 0
+  UNION ALL SELECT owner, 2, 'multi_search', 'tmdb', 'widget', NULL, 'X', NULL, NULL FROM prompts WHERE owner % 5 = 0 UNION ALL SELECT owner, 0, 'multi_search', 'tmdb', prompt, NULL, NULL, NULL, NULL FROM prompts WHERE owner % 5 IN (1, 2)
+  UNION ALL SELECT owner, 0, 'similar', 'trakt', NULL, NULL, NULL, NULL, 'hot ring' FROM prompts WHERE owner % 5 = 3 UNION ALL SELECT owner, 1, 'similar', 'tmdb', NULL, NULL, NULL, NULL, 'Red Plate' FROM prompts WHERE owner % 5 = 3 UNION ALL SELECT owner, 2, 'discovery', 'tmdb', NULL, [owner % 20 + 10], NULL, NULL, NULL FROM prompts WHERE owner % 5 = 3 UNION ALL SELECT owner, 0, 'static_list', NULL, NULL, NULL, NULL, 'red bolt,Blue Widget,Zzz', NULL FROM prompts WHERE owner % 5 = 4""")
 
 
 @query("p20_sanitize_query_rows", "SELECT owner, pos, strategy, target, text_search, array_to_string(genres, ',') AS genres, people, titles FROM plans", ("plans",))
@@ -99,44 +101,44 @@ def p20(spark, d):
     return q.select("owner", "pos", "strategy", "target", "text_search", F.array_join("genre_ids", ",").alias("genres"), F.array_join("people", ",").alias("people"), F.array_join("static_items", ",").alias("titles"))
 
 
-BASE_SQL["search_lists"] = (("plans", "boosted", "item_features"), """
+_TOPS = lambda p, n: f"(SELECT owner, list(CAST(split_part(feature, ':', 2) AS BIGINT)) AS top FROM (SELECT * FROM fused WHERE context = 'global' AND feature LIKE '{p}:%' QUALIFY row_number() OVER (PARTITION BY owner ORDER BY round(weight, 9) DESC, CAST(split_part(feature, ':', 2) AS BIGINT)) <= {n}) GROUP BY owner)"
+BASE_SQL["names"] = (("item_features",), "SELECT asked, coalesce((SELECT min(item_id) FROM item_features WHERE lower(name) = lower(asked)), (SELECT min(item_id) FROM item_features WHERE list_contains(string_split(lower(name), ' '), lower(asked)))) AS id FROM (SELECT unnest(['red bolt', 'Blue Widget', 'Zzz', 'Red Plate']) AS asked)")
+BASE_SQL["search_lists"] = (("plans", "prompts", "fused", "names", "similar_items", "item_features"), f"""
   SELECT owner, list_idx, pos, item_id FROM (
-    SELECT owner, p.pos AS list_idx, item_id, row_number() OVER (PARTITION BY owner, p.pos ORDER BY CASE WHEN lower(name) = lower(text_search) THEN 0 WHEN starts_with(lower(name), lower(text_search)) THEN 1 ELSE 2 END, popularity DESC, item_id) AS pos
-      FROM plans p JOIN item_features ON list_has_all(string_split(lower(name), ' '), string_split(lower(text_search), ' ')) WHERE strategy = 'multi_search'
+    SELECT owner, list_idx, item_id, row_number() OVER (PARTITION BY owner, list_idx ORDER BY CASE WHEN lower(name) = lower(text) THEN 0 WHEN starts_with(lower(name), lower(text)) THEN 1 ELSE 2 END, popularity DESC, item_id) AS pos
+      FROM (SELECT owner, pos AS list_idx, text_search AS text FROM plans WHERE strategy = 'multi_search' AND target = 'tmdb' UNION ALL SELECT owner, 0, prompt FROM prompts WHERE owner NOT IN (SELECT owner FROM plans WHERE coalesce(target, 'tmdb') = 'tmdb')) p JOIN item_features ON contains(lower(name), lower(text))
+    UNION ALL SELECT owner, p.pos, dst_id, s.position FROM plans p JOIN names ON asked = like_ JOIN similar_items s ON src_id = id WHERE strategy = 'similar' AND target = 'tmdb'
     UNION ALL SELECT owner, list_idx, item_id, row_number() OVER (PARTITION BY owner, list_idx ORDER BY popularity DESC, item_id) FROM (
-      SELECT p.owner, p.pos AS list_idx, p.genres || coalesce(g.top, []) AS want, coalesce(k.top, []) AS words FROM plans p LEFT JOIN (SELECT owner, list(CAST(split_part(feature, ':', 2) AS BIGINT)) AS top FROM (SELECT * FROM fused WHERE context = 'global' AND feature LIKE 'g:%' QUALIFY row_number() OVER (PARTITION BY owner ORDER BY round(weight, 9) DESC, CAST(split_part(feature, ':', 2) AS BIGINT)) <= 2) GROUP BY owner) g USING (owner)
-        LEFT JOIN (SELECT owner, list(CAST(split_part(feature, ':', 2) AS BIGINT)) AS top FROM (SELECT * FROM fused WHERE context = 'global' AND feature LIKE 'k:%' QUALIFY row_number() OVER (PARTITION BY owner ORDER BY round(weight, 9) DESC, CAST(split_part(feature, ':', 2) AS BIGINT)) <= 3) GROUP BY owner) k USING (owner) WHERE strategy = 'discovery' AND target = 'tmdb') q
+      SELECT p.owner, p.pos AS list_idx, p.genres || coalesce(g.top, []) AS want, coalesce(k.top, []) AS words FROM plans p LEFT JOIN {_TOPS('g', 2)} g USING (owner) LEFT JOIN {_TOPS('k', 3)} k USING (owner) WHERE strategy = 'discovery' AND target = 'tmdb') q
       JOIN item_features ON list_has_any(genre_ids, want) AND (len(words) = 0 OR list_has_any(keyword_ids, words))) WHERE pos <= 20""")
-BASE_SQL["search_pool"] = (("search_lists",), "SELECT owner, item_id, count(*) AS n FROM search_lists GROUP BY ALL")
+BASE_SQL["search_pool"] = (("search_lists",), "SELECT owner, item_id, count(*) AS n FROM search_lists WHERE owner NOT IN (SELECT owner FROM plans WHERE strategy = 'static_list') GROUP BY ALL")
 BASE_SQL["search_parts"] = (("search_pool", "item_features", "fused"), scored_sql("search_pool"))
 
 
-def search_lists(spark: SparkSession, d: str) -> DataFrame:
-    """owner, list_idx, pos, item_id: the first 20 items of each planned query, enriched by the profile's two top genres and three top keywords."""
+def tastes(spark: SparkSession, d: str) -> DataFrame:
+    """owner, genres, keywords: a profile's best two and three, in order."""
     from tastegrid.operators.vectors import top_features
     from tastegrid.queries.vectors import fused
 
-    q = Q.sanitize_query_rows(prompts(spark, d), "owner")
-    items = D.item_features(spark, d)
-    text = q.filter("strategy = 'multi_search'").select("owner", F.col("pos").alias("list_idx"), F.lower("text_search").alias("text"))
-    found = R.search_all(items, text.select("text").distinct(), 20).select("text", "pos", "item_id")
     v = fused(spark, d).filter("context = 'global'").drop("context")
-    top = lambda p, n, name: top_features(v, p, n, "owner").groupBy("owner").agg(F.collect_list(F.substring_index("feature", ":", -1)).alias(name))
-    want = q.filter("strategy = 'discovery' AND target = 'tmdb'").join(top("g", 2, "g"), "owner", "left").join(top("k", 3, "k"), "owner", "left")
-    none = F.expr("CAST(array() AS array<string>)")
-    want = want.select(F.concat_ws(":", "owner", "pos").alias("key"), F.array_distinct(F.concat(F.coalesce(F.col("genre_ids").cast("array<string>"), none), F.coalesce("g", none))).alias("genres"), F.coalesce("k", none).alias("keywords"), none.alias("countries"))
-    own = X.discover_for(items, want.withColumnRenamed("key", "owner"), 20)
-    own = own.select(F.substring_index("owner", ":", 1).cast("long").alias("owner"), F.substring_index("owner", ":", -1).cast("int").alias("list_idx"), "pos", "item_id")
-    return text.join(found, "text").select("owner", "list_idx", "pos", "item_id").unionByName(own)
+    top = lambda p, n, name: top_features(v, p, n, "owner").groupBy("owner").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "feature"))), lambda x: F.substring_index(x["feature"], ":", -1).cast("long")).alias(name))
+    return top("g", 2, "genres").join(top("k", 3, "keywords"), "owner", "full")
 
 
 @query("c10_combined_search", f"""
-WITH s AS (SELECT owner, item_id, vote_average + CASE WHEN n > 1 THEN n * n - 1 ELSE 0 END + greatest(0.0::DOUBLE, least(10.0::DOUBLE, {_BASE} * {_DNA})) AS score, popularity, n FROM search_parts LEFT JOIN dna USING (owner) WHERE owner IN (SELECT owner FROM fused WHERE context = 'global'))
-SELECT owner, item_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY owner ORDER BY round(score, 9) DESC, popularity DESC, n DESC, item_id) AS INTEGER) AS pos FROM s QUALIFY pos <= 20""", ("search_parts", "dna", "fused"))
+WITH s AS (SELECT owner, item_id, vote_average + CASE WHEN n > 1 THEN n * n - 1 ELSE 0 END + CASE WHEN owner IN (SELECT owner FROM fused WHERE context = 'global') THEN greatest(0.0::DOUBLE, least(10.0::DOUBLE, {_BASE} * {_DNA})) ELSE 0 END AS score, popularity, n FROM search_parts LEFT JOIN dna USING (owner))
+SELECT owner, item_id, {by_units('score')} AS score, CAST(row_number() OVER (PARTITION BY owner ORDER BY round(score, 9) DESC, popularity DESC, n DESC, item_id) AS INTEGER) AS pos FROM s QUALIFY pos <= 20
+UNION ALL SELECT owner, id, NULL, CAST(row_number() OVER (PARTITION BY owner ORDER BY at_) AS INTEGER) FROM (SELECT owner, unnest(string_split(titles, ',')) AS asked, generate_subscripts(string_split(titles, ','), 1) AS at_ FROM plans WHERE strategy = 'static_list') JOIN names USING (asked) WHERE id IS NOT NULL""", ("search_parts", "dna", "fused", "plans", "names"))
 def c10(spark, d):
-    from tastegrid.plans.catalogs import combined_search
-
-    return combined_search(search_lists(spark, d), D.item_features(spark, d), T.item_match(spark, d)).withColumn("score", F.round("score", 6))
+    """Searches as their plans have them: texts, similar titles, discoveries and lists of titles, with or without a profile."""
+    from tastegrid.plans.catalogs import combined_search, named_lists, planned_lists
+    from tastegrid.sources.tables import written
+
+    items, asked = D.item_features(spark, d), prompts(spark, d)
+    plan = written(Q.sanitize_query_rows(asked, "owner"), "plans")
+    named = named_lists(plan, items)
+    lists = planned_lists(plan.join(named.select("owner").distinct(), "owner", "left_anti"), asked.select("owner", "prompt").join(plan.filter("strategy = 'static_list'").select("owner"), "owner", "left_anti"), items, D.similar(spark, d), tastes(spark, d))
+    return combined_search(lists, named, items, T.item_match(spark, d)).withColumn("score", rounded(F.col("score"), 6))
 
 
 BASE_SQL["affinity_pool"] = (("profile_catalogs", "discovered"), "SELECT DISTINCT owner, item_id FROM profile_catalogs JOIN discovered USING (catalog_id) WHERE query_idx = 0 AND pos <= 20")
