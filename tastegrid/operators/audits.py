@@ -12,13 +12,27 @@ FILM_ONLY = tuple(str(g) for g in (28, 12, 14, 36, 27, 10402, 10749, 878, 10770,
 
 
 def catalog_overlap(members: DataFrame, share: float = 0.1) -> DataFrame:
-    """Pairs of catalogs that share more than `share` of the smaller one; joined on items, not on pairs of catalogs."""
-    size = members.groupBy("catalog_id").agg(F.count("*").alias("size"))
-    a, b = members.withColumnRenamed("catalog_id", "left_id"), members.withColumnRenamed("catalog_id", "right_id")
-    pair = a.join(b, ["media_type", "item_id"]).filter("left_id < right_id").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
-    pair = pair.join(size.select(F.col("catalog_id").alias("left_id"), F.col("size").alias("left_size")), "left_id")
-    pair = pair.join(size.select(F.col("catalog_id").alias("right_id"), F.col("size").alias("right_size")), "right_id")
-    return pair.filter(F.col("shared") > share * F.least("left_size", "right_size")).select("left_id", "right_id", "shared", "left_size", "right_size")
+    """Pairs of catalogs (catalog_id, media_type, item_id) that share more than `share` of the smaller one, without pairs on any item.
+
+    With items in order of the number of catalogs that hold them, the first item that two such catalogs share is among
+    the first size - floor(share * size) of the smaller one, and has as many after it in the larger one. So pairs come
+    from rare items; what most catalogs hold is last in all of them and makes none. Shared items are counted for
+    those pairs only.
+    """
+    k = members.select("catalog_id", F.concat_ws(":", "media_type", "item_id").alias("item")).distinct()
+    held = k.groupBy("item").agg(F.count("*").alias("held"))
+    size = k.groupBy("catalog_id").agg(F.count("*").alias("size"))
+    w = Window.partitionBy("catalog_id").orderBy("held", "item")
+    ranked = k.join(held, "item").join(size, "catalog_id").withColumn("at", F.row_number().over(w))
+    least = lambda c: F.floor(F.col(c) * share)  # noqa: E731  fewer than these items after the first shared one are too few
+    a = ranked.filter(F.col("at") <= F.col("size") - least("size")).select(F.col("catalog_id").alias("small"), "item", F.col("size").alias("s"))
+    b = ranked.select(F.col("catalog_id").alias("large"), "item", F.col("size").alias("l"), F.col("at").alias("place"))
+    larger = (F.col("s") < F.col("l")) | ((F.col("s") == F.col("l")) & (F.col("small") < F.col("large")))
+    pairs = a.join(b, "item").filter(larger & (F.col("place") <= F.col("l") - least("s"))).select("small", "large", "s", "l").distinct()
+    both = pairs.join(k.select(F.col("catalog_id").alias("small"), "item"), "small").join(k.select(F.col("catalog_id").alias("large"), "item"), ["large", "item"])
+    both = both.groupBy("small", "large", "s", "l").agg(F.count("*").alias("shared")).filter(F.col("shared") > F.lit(share) * F.col("s"))
+    turn = F.col("small") < F.col("large")
+    return both.select(F.least("small", "large").alias("left_id"), F.greatest("small", "large").alias("right_id"), "shared", F.when(turn, F.col("s")).otherwise(F.col("l")).alias("left_size"), F.when(turn, F.col("l")).otherwise(F.col("s")).alias("right_size"))
 
 
 def relevance_audit(top: DataFrame, details: DataFrame, rules: DataFrame) -> DataFrame:

@@ -139,23 +139,18 @@ def j22(spark, d):
 
 
 @query("c17_merged_catalog", """
-WITH k AS (SELECT genres, item_id, row_number() OVER (PARTITION BY genres ORDER BY popularity DESC, item_id) AS pos FROM (SELECT DISTINCT genres FROM merged_rows) JOIN item_features ON list_has_any(genre_ids, [CAST(x AS BIGINT) FOR x IN string_split_regex(genres, '[,|]')]) QUALIFY pos <= 60),
-l AS (SELECT owner, query_pos AS list_idx, pos, item_id FROM merged_rows JOIN k USING (genres)),
+WITH k AS (SELECT genres, item_id, row_number() OVER (PARTITION BY genres ORDER BY popularity DESC, item_id) AS pos FROM (SELECT unnest(['16', '28', '99']) AS genres) JOIN item_features ON media_type = 'movie' AND list_contains(genre_ids, CAST(genres AS BIGINT)) QUALIFY pos <= 60),
+l AS (SELECT owner, query_pos AS list_idx, pos, item_id FROM merged_rows JOIN discovered ON catalog_id = 'action' AND query_idx = query_pos WHERE query_pos < 2 AND pos <= 60 UNION ALL SELECT owner, query_pos, pos, item_id FROM merged_rows JOIN k USING (genres) WHERE query_pos >= 2),
 o AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY owner, item_id ORDER BY pos, list_idx) = 1)
-SELECT owner, item_id, CAST(row_number() OVER (PARTITION BY owner ORDER BY pos, list_idx) AS INTEGER) AS pos FROM o QUALIFY row_number() OVER (PARTITION BY owner ORDER BY pos, list_idx) <= 20""", ("merged_rows", "item_features"))
+SELECT owner, item_id, CAST(row_number() OVER (PARTITION BY owner ORDER BY pos, list_idx) AS INTEGER) AS pos FROM o QUALIFY row_number() OVER (PARTITION BY owner ORDER BY pos, list_idx) <= 20""", ("merged_rows", "discovered", "item_features"))
 def c17(spark, d):
-    from tastegrid.operators.merging import parts
+    """A page of each merged catalog: all queries of its sources, with all their filters, in turn."""
+    from tastegrid.operators.matching import from_maps, match
     from tastegrid.operators.ranking import interleave
 
-    q = j22(spark, d)
-    lists = D.item_features(spark, d).select("item_id", "popularity", F.explode("genre_ids").alias("g"))
-    w = Window.partitionBy("g").orderBy(F.desc("popularity"), "item_id")
-    lists = lists.distinct().withColumn("p", F.row_number().over(w)).filter("p <= 60")
-    kinds = q.select("genres").distinct().select("genres", F.explode(parts(F.col("genres")).cast("array<bigint>")).alias("g")).join(lists, "g").select("genres", "item_id", "popularity").distinct()
-    w = Window.partitionBy("genres").orderBy(F.desc("popularity"), "item_id")
-    kinds = kinds.withColumn("pos", F.row_number().over(w)).filter("pos <= 60").select("genres", "pos", "item_id")
-    rows = q.join(kinds, "genres").select("owner", F.col("query_pos").alias("list_idx"), "pos", "item_id")
-    return interleave(rows, "owner", limit=20).select("owner", "item_id", F.col("place").alias("pos"))
+    q = merged_queries(spark, d).select("owner", F.posexplode("queries").alias("list_idx", "q"))
+    rows = match(D.item_features(spark, d), from_maps(q, "q", F.lit("movie")), 60)
+    return interleave(rows.select("owner", "list_idx", "pos", "item_id"), "owner", limit=20).select("owner", "item_id", F.col("place").alias("pos"))
 
 
 @query("u02_confirm_dna", "SELECT owner, type, id FROM manual_dna UNION SELECT owner, 'genre', '28' FROM manual_dna", ("manual_dna",))

@@ -108,3 +108,26 @@ def test_alt_filters(spark):
 def test_static_vector_words(spark):
     q = spark.createDataFrame([(1, "28", "kitsu", "Isekai, Slice Of Life", "War|")], "p int, with_genres string, provider string, keyword_names string, keyword string").withColumns({c: F.lit(None).cast("string") for c in ("with_keywords", "with_cast", "with_crew", "with_origin_country")})
     assert sorted(r.feature for r in V.static_vector(q, "p").collect()) == ["g:16", "g:28", "k:isekai", "k:slice of life", "k:war", "o:JP"]
+
+
+def test_overlap_by_rare_items(spark):
+    """Equal to counting all pairs, with an item in all catalogs, and no pair made by it alone."""
+    import random
+
+    from tastegrid.operators.audits import catalog_overlap
+
+    rnd = random.Random(1)
+    sets = {f"c{i:02}": {0} | {rnd.randrange(1, 120) for _ in range(rnd.choice([3, 12, 30]))} for i in range(40)} | {"only": {0}, "twin": {0}}
+    rows = [(c, "movie", i) for c, s in sets.items() for i in s]
+    for share in (0.1, 0.34):
+        got = {(r.left_id, r.right_id): (r.shared, r.left_size, r.right_size) for r in catalog_overlap(spark.createDataFrame(rows, "catalog_id string, media_type string, item_id long"), share).collect()}
+        want = {(a, b): (len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) > share * min(len(sets[a]), len(sets[b]))}
+        assert got == want and want
+
+
+def test_stored_queries(spark):
+    from tastegrid.operators.matching import from_maps
+
+    q = spark.createDataFrame([(1, {"with_genres": "28", "vote_count.gte": "50", "primary_release_date.lte": "1999-12-31", "sort_by": "", "with_runtime.gte": "odd", "unknown": "x"})], "owner long, q map<string,string>")
+    r = from_maps(q, "q", F.lit("movie")).first()
+    assert (r.owner, r.media_type, r.with_genres, r.vote_count_gte, r.year_to, r.sort_by, r.runtime_gte) == (1, "movie", "28", 50.0, 1999, None, None)
