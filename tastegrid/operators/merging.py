@@ -115,3 +115,20 @@ def dna_params(genres: Column, keywords: Column, countries: Column) -> Column:
     """A profile's DNA filters as a query map: the ids of each kind joined by a pipe."""
     m = F.create_map(F.lit("with_genres"), F.array_join(genres.cast("array<string>"), "|"), F.lit("with_keywords"), F.array_join(keywords.cast("array<string>"), "|"), F.lit("with_origin_country"), F.array_join(countries, "|"))
     return F.map_filter(m, lambda _, v: F.coalesce(v, F.lit("")) != "")
+
+
+def day_masks(shown: DataFrame, day: str, *keys: str) -> DataFrame:
+    """(keys, word, mask): the distinct days of each key, 64 to a word, a bit each. Masks of the same key and word merge by OR."""
+    n = F.unix_date(F.col(day))
+    one = shown.filter(F.col(day).isNotNull()).select(*keys, F.floor(n / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, int(pmod(unix_date({day}), 64)))").alias("mask"))
+    return merge_days(one, *keys)
+
+
+def merge_days(masks: DataFrame, *keys: str) -> DataFrame:
+    """Masks from several sources as one of each key and word."""
+    return masks.groupBy(*keys, "word").agg(F.bit_or("mask").alias("mask"))
+
+
+def count_days(masks: DataFrame, *keys: str) -> DataFrame:
+    """(keys, days) of merged masks."""
+    return masks.groupBy(*keys).agg(F.sum(F.bit_count("mask")).alias("days"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tastegrid.operators import scoring as S
 from tastegrid.operators import vectors as V
+from tastegrid.operators.merging import count_days, day_masks
 from tastegrid.queries import query
 from tastegrid.queries.vectors import fused
 from tastegrid.sources import domain as D
@@ -160,7 +161,8 @@ _DAYS = "SELECT owner, catalog_id, item_id, count(DISTINCT seen_date) AS days FR
 
 @query("a16_impression_days", _DAYS, ("impressions",))
 def a16(spark, d):
-    return D.impressions(spark, d).groupBy("owner", "catalog_id", "item_id").agg(F.countDistinct("seen_date").alias("days"))
+    keys = ("owner", "catalog_id", "item_id")
+    return count_days(day_masks(D.impressions(spark, d), "seen_date", *keys), *keys)
 
 
 @query("x11_impression_penalty", f"SELECT owner, catalog_id, item_id, round(CASE WHEN days >= 3 THEN greatest(0.2::DOUBLE, 1 - 0.2::DOUBLE * (days - 2)) ELSE 1 END, 6) AS penalty FROM ({_DAYS})", ("impressions",))

@@ -41,6 +41,16 @@ def t02(spark, d):
     return spark.read.parquet(path).withColumn("seen_date", F.col("seen_date").cast("string"))
 
 
+@query("t02_stream_days", "SELECT owner, catalog_id, item_id, count(DISTINCT seen_date) AS days FROM impressions GROUP BY ALL", ("impressions",))
+def t02_days(spark, d):
+    from tastegrid.operators.merging import count_days
+
+    k = F.get_json_object("props", "$.k").cast("long")
+    shown = events(spark, d).select(F.col("user_id").cast("long").alias("owner"), F.concat(F.lit("c"), (k % 2).cast("string")).alias("catalog_id"), (k % 10 + 1).alias("item_id"), "ts")
+    path = finished(spark, "days", lambda p, c: T.stream_days(shown, p, c))
+    return count_days(T.current(spark, path), "owner", "catalog_id", "item_id")
+
+
 @query("t03_stream_vectors", """
 WITH p AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS owner, event_id % 50 + 1 AS item_id FROM events WHERE event_type IN ('click', 'purchase')), v AS (SELECT owner, feature, sum(weight) AS weight FROM p JOIN item_vector USING (item_id) GROUP BY ALL), n AS (SELECT owner, count(*) AS n FROM p GROUP BY ALL),
 j AS (SELECT owner, feature, v, s FROM (SELECT owner, feature, weight / sum(weight) OVER (PARTITION BY owner) AS v FROM v) FULL JOIN (SELECT owner, feature, weight / sum(weight) OVER (PARTITION BY owner) AS s FROM static_raw WHERE owner IN (SELECT owner FROM n)) USING (owner, feature))

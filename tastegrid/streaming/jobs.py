@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tastegrid.functions.titles import has_audio
-from tastegrid.operators.merging import upsert_history
+from tastegrid.operators.merging import day_masks, merge_days, upsert_history
 from tastegrid.operators.vectors import fuse
 
 BUCKETS = 32
@@ -96,6 +96,20 @@ def stream_impressions(shown: DataFrame, path: str, checkpoint: str) -> Streamin
     return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def stream_days(shown: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Shown items (owner, catalog_id, item_id, ts) to the days they were seen on, as masks that a batch is merged into.
+
+    Days are counted from the masks (merging.count_days), not from events, and late or repeated events change nothing.
+    """
+    keys = ("owner", "catalog_id", "item_id")
+    dated = shown.select(*keys, F.to_date("ts").alias("day"))
+
+    def run(batch: DataFrame, n: int) -> None:
+        upsert(path, day_masks(batch, "day", *keys), n, ["owner"], lambda old, b: b if old is None else merge_days(old.unionByName(b), *keys))
+
+    return start(dated, run, path, checkpoint)
+
+
 def stream_vectors(events: DataFrame, item_vectors: DataFrame, static: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Watch events to active vectors (path/active) and fused ones (path/final), for the profiles of a batch only.
 

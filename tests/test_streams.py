@@ -55,3 +55,20 @@ def test_lost_table(spark):
     batches(spark, path, [events(10)], KIND, lambda s: T.stream_history(s, f"{path}/out", f"{path}/cp"))
     with pytest.raises(Exception, match="found no table"):
         batches(spark, path, [events(10, 20)], KIND, lambda s: T.stream_history(s, f"{path}/elsewhere", f"{path}/cp"))
+
+
+def test_days(spark):
+    """Days over batches with late and repeated events, before and after 1970, equal those of all events at once."""
+    import datetime
+
+    from tastegrid.operators.merging import count_days
+
+    path = shared_dir(spark, "t")
+    at = lambda n: datetime.datetime(1969, 11, 1) + datetime.timedelta(hours=7 * n)
+    rows = [(k % 3, "c", k % 2, at(k * 5 % 97)) for k in range(200)]
+    batches(spark, path, [rows[:90], rows[60:150], rows[150:]], "owner long, catalog_id string, item_id long, ts timestamp", lambda s: T.stream_days(s, f"{path}/out", f"{path}/cp"))
+    got = {(r.owner, r.item_id): r.days for r in count_days(T.current(spark, f"{path}/out"), "owner", "catalog_id", "item_id").collect()}
+    want = {}
+    for o, _, i, t in rows:
+        want.setdefault((o, i), set()).add(t.date())
+    assert got == {k: len(v) for k, v in want.items()}
