@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tastegrid.operators.discovery import offers
+
 # Genres that only films, or only series, have, and the keyword of anime.
 ANIME = "210024"
 SERIES_ONLY = ("10759", "10762", "10763", "10764", "10765", "10766", "10767", "10768")
@@ -38,13 +40,28 @@ def catalog_overlap(members: DataFrame, share: float = 0.1) -> DataFrame:
 def relevance_audit(top: DataFrame, details: DataFrame, rules: DataFrame) -> DataFrame:
     """(catalog_id, message, n, success): how often the items of a catalog (at most its first 20) break its filters.
 
-    rules: (catalog_id, with_genres, with_keywords, with_cast, with_crew) as lists of ids; an item without details is
-    one finding of its own. success is the share of items without any.
+    rules: (catalog_id, filters as lists of ids or codes), of which any may be missing: with_genres, with_keywords,
+    without_keywords, with_cast, with_crew, with_companies, with_original_language, without_original_language, and
+    with_watch_providers in watch_region. An item without details is one finding of its own. success is the share of
+    items without any.
     """
+    known = ("with_genres", "with_keywords", "without_keywords", "with_cast", "with_crew", "with_companies", "with_original_language", "without_original_language", "with_watch_providers", "watch_region")
+    lists = {"company_ids": "array<bigint>", "original_language": "string", "providers": "map<string,struct<flatrate:array<bigint>,rent:array<bigint>,buy:array<bigint>,ads:array<bigint>>>"}
+    rules = rules.withColumns({c: F.lit(None).cast("string") for c in known if c not in rules.columns})
+    details = details.withColumns({c: F.lit(None).cast(k) for c, k in lists.items() if c not in details.columns})
     j = top.join(rules, "catalog_id").join(details.withColumn("_known", F.lit(True)), "item_id", "left")
-    ids = lambda c: F.transform(F.split(F.col(c), "[,|]"), lambda x: F.trim(x).cast("long"))
-    lacks = lambda c, own, word: F.when(F.col("_known").isNotNull() & F.col(c).isNotNull() & ~F.arrays_overlap(ids(c), own), f"missing {word}")
-    found = F.array(F.when(F.col("_known").isNull(), "missing details"), *(lacks(c, own, word) for c, own, word in (("with_genres", "genre_ids", "genres"), ("with_keywords", "keyword_ids", "keywords"), ("with_cast", "cast_ids", "cast"), ("with_crew", "director_ids", "crew"))))
+    text = lambda c: F.transform(F.split(F.col(c), "[,|]"), lambda x: F.trim(x))
+    ids = lambda c: text(c).cast("array<bigint>")
+    none = F.expr("CAST(array() AS array<bigint>)")
+    asked = lambda c: F.col("_known").isNotNull() & F.col(c).isNotNull()
+    lacks = lambda c, own, word: F.when(asked(c) & ~F.arrays_overlap(ids(c), F.coalesce(own, none)), f"missing {word}")
+    pairs = (("with_genres", "genre_ids", "genres"), ("with_keywords", "keyword_ids", "keywords"), ("with_cast", "cast_ids", "cast"), ("with_crew", "director_ids", "crew"), ("with_companies", "company_ids", "companies"))
+    found = F.array(
+        F.when(F.col("_known").isNull(), "missing details"), *(lacks(c, F.col(own), word) for c, own, word in pairs), lacks("with_watch_providers", offers(F.col("providers"), F.col("watch_region")), "provider"),
+        F.when(asked("without_keywords") & F.arrays_overlap(ids("without_keywords"), F.coalesce("keyword_ids", none)), "excluded keywords"),
+        F.when(asked("with_original_language") & ~F.coalesce(F.array_contains(text("with_original_language"), F.col("original_language")), F.lit(False)), "other language"),
+        F.when(asked("without_original_language") & F.coalesce(F.array_contains(text("without_original_language"), F.col("original_language")), F.lit(False)), "excluded language"),
+    )
     j = j.select("catalog_id", "item_id", F.array_compact(found).alias("found"))
     rate = j.groupBy("catalog_id").agg((F.count(F.when(F.size("found") == 0, 1)) / F.count("*")).alias("success"))
     return j.select("catalog_id", F.explode("found").alias("message")).groupBy("catalog_id", "message").agg(F.count("*").alias("n")).join(rate, "catalog_id")

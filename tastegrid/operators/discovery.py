@@ -121,9 +121,9 @@ def certificate_rank(certificate: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in CERTIFICATES.items() for x in kv)), certificate)
 
 
-def offers(providers: Column, region: str) -> Column:
+def offers(providers: Column, region: str | Column) -> Column:
     """All providers of a region, whether by subscription, rent, sale or with adverts."""
-    own = F.try_element_at(providers, F.lit(region))
+    own = F.try_element_at(providers, F.lit(region) if isinstance(region, str) else region)
     none = F.expr("CAST(array() AS array<bigint>)")
     return F.concat(*(F.coalesce(own[k], none) for k in ("flatrate", "rent", "buy", "ads")))
 
