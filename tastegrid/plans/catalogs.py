@@ -204,3 +204,13 @@ def materialise(presets: DataFrame, heroes: dict[str, DataFrame], n: int = SIZE)
     for name, rows in heroes.items():
         out = out.unionByName(rows.select("owner", F.lit(name).alias("catalog_id"), "item_id", "pos"))
     return out.filter(F.col("pos") <= n)
+
+
+def sync_profiles(catalogs: DataFrame, pages: DataFrame, items: DataFrame, size: int = 20) -> DataFrame:
+    """(owner, item_id, media_type, source, episodes_watched): the first page of each of a profile's catalogs as liked items, counted once a catalog.
+
+    catalogs: (owner, catalog_id), pages: (catalog_id, item_id, pos).
+    """
+    first = pages.filter(F.col("pos") <= size).join(items.select("item_id", "media_type"), "item_id")
+    rows = catalogs.join(first.select("catalog_id", "item_id", "media_type"), "catalog_id").withColumn("source", F.lit("liked"))
+    return rows.groupBy("owner", "item_id", "media_type", "source").agg(F.count("*").alias("episodes_watched"))

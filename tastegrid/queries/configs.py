@@ -165,12 +165,10 @@ def u11(spark, d):
     return own.select("owner", F.array_join(G.merge_template(F.col("own"), F.array(*map(F.lit, ["gems", "stars", "family"]))), ",").alias("presets"))
 
 
-@query("c19_profile_sync", """
-WITH c AS (SELECT * FROM discovered WHERE query_idx = 0 AND pos <= 20)
-SELECT owner, item_id, media_type, 'liked' AS source, count(*) AS episodes_watched FROM profile_catalogs JOIN c USING (catalog_id) GROUP BY ALL""", ("profile_catalogs", "discovered"))
+@query("c19_profile_sync", "SELECT owner, item_id, media_type, 'liked' AS source, count(*) AS episodes_watched FROM profile_catalogs JOIN merged_page USING (catalog_id) JOIN item_features USING (item_id) WHERE k <= 20 GROUP BY ALL", ("profile_catalogs", "merged_page", "item_features"))
 def c19(spark, d):
+    """What a profile's catalogs show on their first pages, as liked items of its history."""
+    from tastegrid.plans.catalogs import preset_catalog, sync_profiles
     from tastegrid.queries.discovery import discovered
 
-    first = discovered(spark, d).filter("query_idx = 0 AND pos <= 20").select("catalog_id", "item_id", "media_type")
-    rows = D.profile_catalogs(spark, d).join(first, "catalog_id").withColumn("source", F.lit("liked"))
-    return rows.groupBy("owner", "item_id", "media_type", "source").agg(F.count("*").alias("episodes_watched"))
+    return sync_profiles(D.profile_catalogs(spark, d), preset_catalog(discovered(spark, d)), D.item_features(spark, d))
