@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Season words for two to five, and the markers of subtitles.
+# Season words for two to five, patterns of season and part numbers, of what search titles go without, and of subtitles and audio.
 ORDINALS = {2: ("2nd", "second", "ii"), 3: ("3rd", "third", "iii"), 4: ("4th", "fourth", "iv"), 5: ("5th", "fifth", "v")}
+NUMBERED = r"(?i)(?:season|part| s| s\.)\s*(\d+)"
+NUMBER_TOKEN = r"(?:season|part| s| s\.)\s*\d+"
+ORDINAL_TOKEN = r"\b(?:2nd|3rd|4th|5th|second|third|fourth|fifth)\s+season\b"
+ROMAN_TOKEN = r"\b(?:i{2,3}|iv|v)\b"
+SEASON_N = r"(?i)Season\s*(\d+)"
+NTH_SEASON = r"(?i)(\d+)(?:st|nd|rd|th)\s*Season"
+PART_N = r"(?i)(?:Part|Cour|Parte)\s*(\d+)"
+SEASON_AT_END = r"(?i)(?:Season\s*\d+|\d+(?:st|nd|rd|th)\s*Season)\s*$"
+NUMBER_AT_END = r"\s(\d+)$"
+SEASON_SUFFIX = r"(?i)\s*(?:-|–|—)?\s*\(?\s*(Stagione|Season)\s*\d+\s*\)?\s*"
 SUBTITLES = (r"(?i)\[[^\]]*?subs?[^\]]*?\]", r"(?i)\([^)]*?subs?[^)]*?\)", r"(?i)\b(?:SUB\s*ITA|ITA\s*SUB)\b", r"(?i)\b(?:SUBTITLES?|SUBS?)[\s\-_]*(?:ITA|ITALIANO?)\b", r"(?i)\b(?:ITA|ITALIANO?)[\s\-_]*(?:SUBTITLES?|SUBS?)\b")
 AUDIO = "(?i)(?:\\b(?:ITA|ITALIAN|ITALIANO)\\b|\U0001F1EE\U0001F1F9)"
 READABLE = r"[぀-ヿ㐀-䶿一-鿿]"
@@ -19,7 +29,7 @@ def season_from_title(c: Column) -> Column:
     for n, (short, word, roman) in reversed(ORDINALS.items()):
         named = t.contains(f"season {n}") | t.contains(f"{short} season") | t.contains(f" s{n}") | t.contains(f"{word} season") | t.contains(f"part {n}") | t.contains(f"part {roman}") | t.endswith(f" {roman}") | t.contains(f" {roman} ") | t.contains(f" {short}")
         out = F.when(named, n).otherwise(out)
-    number = F.regexp_extract(c, r"(?i)(?:season|part| s| s\.)\s*(\d+)", 1).try_cast("int")
+    number = F.regexp_extract(c, NUMBERED, 1).try_cast("int")
     return F.when(c.isNull() | (c == ""), 1).otherwise(F.coalesce(out, F.when(number.between(1, 20), number), F.lit(1)))
 
 
@@ -30,29 +40,29 @@ def drop_first(c: Column, pattern: str) -> Column:
 
 def search_title(c: Column) -> Column:
     """Without season, part, ordinal and roman tokens, and with single spaces."""
-    t = drop_first(c, r"(?:season|part| s| s\.)\s*\d+")
-    t = drop_first(t, r"\b(?:2nd|3rd|4th|5th|second|third|fourth|fifth)\s+season\b")
-    t = drop_first(t, r"\b(?:i{2,3}|iv|v)\b")
+    t = drop_first(c, NUMBER_TOKEN)
+    t = drop_first(t, ORDINAL_TOKEN)
+    t = drop_first(t, ROMAN_TOKEN)
     return F.trim(F.regexp_replace(F.coalesce(t, F.lit("")), r"\s+", " "))
 
 
 def season_number(c: Column) -> Column:
     """The number in "season n" or "nth season", else null."""
-    a, b = (F.regexp_extract(c, p, 1) for p in (r"(?i)Season\s*(\d+)", r"(?i)(\d+)(?:st|nd|rd|th)\s*Season"))
+    a, b = (F.regexp_extract(c, p, 1) for p in (SEASON_N, NTH_SEASON))
     return F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit(""))).try_cast("int")
 
 
 def part_number(c: Column, season: Column) -> Column:
     """The part or cour in a title, else a number at its end that isn't the season; null below 2."""
-    named = F.regexp_extract(c, r"(?i)(?:Part|Cour|Parte)\s*(\d+)", 1).try_cast("int")
-    at_end = F.when(~c.rlike(r"(?i)(?:Season\s*\d+|\d+(?:st|nd|rd|th)\s*Season)\s*$"), F.regexp_extract(c, r"\s(\d+)$", 1).try_cast("int"))
+    named = F.regexp_extract(c, PART_N, 1).try_cast("int")
+    at_end = F.when(~c.rlike(SEASON_AT_END), F.regexp_extract(c, NUMBER_AT_END, 1).try_cast("int"))
     n = F.coalesce(named, F.when(at_end != season, at_end))
     return F.when(n > 1, n)
 
 
 def clean_title(c: Column) -> Column:
     """Without a season suffix, which badges show instead."""
-    return F.trim(F.regexp_replace(c, r"(?i)\s*(?:-|–|—)?\s*\(?\s*(Stagione|Season)\s*\d+\s*\)?\s*", ""))
+    return F.trim(F.regexp_replace(c, SEASON_SUFFIX, ""))
 
 
 def season_badge(season: Column, part: Column, seasons: Column, episodes: Column, media_type: Column) -> Column:
