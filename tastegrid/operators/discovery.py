@@ -163,29 +163,30 @@ def discover_relaxed(items: DataFrame, blocks: list[tuple[dict, Discovery]]) ->
 ANY = "*"
 
 
-def keyed_lists(items: DataFrame, n: int, *order: Column) -> DataFrame:
-    """(key, item_id, place): the first n items of each combination of a genre, a keyword and a country, or any (*)."""
+def keyed_lists(items: DataFrame, n: int, order: str, *groups: str) -> DataFrame:
+    """(groups, key, item_id, order): the first n items of each combination of a genre, a keyword and a country, or any (*)."""
     own = lambda c: F.concat(F.array(F.lit(ANY)), F.coalesce(c.cast("array<string>"), F.expr("CAST(array() AS array<string>)")))
-    one = items.select("*", F.explode(own(F.array_distinct("genre_ids"))).alias("_g"))
+    one = items.select(*groups, "item_id", order, F.explode(own(F.array_distinct("genre_ids"))).alias("_g"), "keyword_ids", "origin_country")
     one = one.select("*", F.explode(own(F.array_distinct("keyword_ids"))).alias("_k"))
     one = one.select("*", F.explode(own(F.array("origin_country"))).alias("_o")).withColumn("key", F.concat_ws("|", "_g", "_k", "_o"))
-    w = Window.partitionBy("key").orderBy(*order, "item_id")
-    return one.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("key", "item_id", "place")
+    w = Window.partitionBy(*groups, "key").orderBy(F.desc(order), "item_id")
+    return one.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select(*groups, "key", "item_id", order)
 
 
-def discover_for(items: DataFrame, wanted: DataFrame, n: int, order: str = "popularity") -> DataFrame:
-    """(owner, item_id, pos): each profile's first n items by `order` of any wanted genre, any wanted keyword and any wanted country.
+def discover_for(items: DataFrame, wanted: DataFrame, n: int, order: str = "popularity", keys: tuple[str, ...] = ("owner",), groups: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, item_id, pos): each profile's first n items by `order` of any wanted genre, any wanted keyword and any wanted country.
 
-    wanted: (owner, genres, keywords, countries), where an empty list means all. The best n of a union are
-    among the best n of its parts, so profiles meet lists of n items, never the items.
+    wanted: (keys, groups, genres, keywords, countries), where an empty list means all; groups: columns of both tables
+    in which they must agree. The best n of a union are among the best n of its parts, so profiles meet lists of n items, never the items.
     """
-    lists = keyed_lists(items, n, F.desc(order))
+    lists = keyed_lists(items, n, order, *groups)
     part = lambda c: F.when(F.size(c) > 0, F.array_distinct(F.col(c).cast("array<string>"))).otherwise(F.array(F.lit(ANY)))
-    keys = wanted.select("owner", F.explode(part("genres")).alias("g"), part("keywords").alias("k"), part("countries").alias("o"))
-    keys = keys.select("owner", "g", F.explode("k").alias("k"), "o").select("owner", "g", "k", F.explode("o").alias("o")).select("owner", F.concat_ws("|", "g", "k", "o").alias("key"))
-    own = keys.join(lists, "key").select("owner", "item_id").distinct().join(items.select("item_id", order), "item_id")
-    w = Window.partitionBy("owner").orderBy(F.desc(order), "item_id")
-    return own.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n).select("owner", "item_id", "pos")
+    own = list(dict.fromkeys([*keys, *groups]))
+    asked = wanted.select(*own, F.explode(part("genres")).alias("g"), part("keywords").alias("k"), part("countries").alias("o"))
+    asked = asked.select(*own, "g", F.explode("k").alias("k"), "o").select(*own, "g", "k", F.explode("o").alias("o")).select(*own, F.concat_ws("|", "g", "k", "o").alias("key"))
+    found = asked.join(lists, [*groups, "key"]).groupBy(*keys, "item_id").agg(F.max(order).alias(order))
+    w = Window.partitionBy(*keys).orderBy(F.desc(order), "item_id")
+    return found.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n).select(*keys, "item_id", "pos")
 
 
 def map_genres(genre_ids: Column) -> Column:

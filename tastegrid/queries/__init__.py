@@ -12,7 +12,7 @@ from tastegrid.sources.domain import BASE_SQL
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ("vectors", "scoring", "tastes", "discovery", "identity", "episodes", "text", "ranking", "catalogs", "streams", "more", "configs", "details", "providers", "searches", "matching")
+MODULES = ("vectors", "scoring", "tastes", "discovery", "identity", "episodes", "text", "ranking", "catalogs", "heroes", "streams", "more", "configs", "details", "providers", "searches", "matching")
 
 
 def with_tables(sql: str, tables: tuple[str, ...]) -> str:
