@@ -44,3 +44,10 @@ def test_seeds_take_their_neighbours_along(spark):
     best = R.weighted_neighbours(seeds.withColumnRenamed("src_id", "item_id"), edges, "owner")
     assert sorted(tuple(r) for r in best.collect()) == [(1, 20, 5, 1), (1, 21, 2, 2), (2, 20, 1, 2)]
     assert not re.search(r"Exchange hashpartitioning\([^)]*(dst_id|item_id)#", plan(best))
+
+
+def test_items_are_never_broadcast_by_the_size_of_their_file(spark, sf):
+    from tastegrid import queries as Q
+
+    Q.load()
+    assert not re.search(r"BroadcastHashJoin \[item_id#", plan(Q.QUERIES["a18_relevance_audit"](spark, sf)))
