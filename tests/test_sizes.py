@@ -51,3 +51,17 @@ def test_items_are_never_broadcast_by_the_size_of_their_file(spark, sf):
 
     Q.load()
     assert not re.search(r"BroadcastHashJoin \[item_id#", plan(Q.QUERIES["a18_relevance_audit"](spark, sf)))
+
+
+def test_fused_vector_reads_its_rows_once(spark):
+    history = spark.createDataFrame([(1, "p1", 7), (1, "p1", 7), (1, "p2", 8), (2, "p1", 99), (None, "p1", 7), (4, None, 7), (5, "p1", 9)], "owner long, context string, item_id long")
+    items = spark.createDataFrame([(7, [28, 28], [5]), (8, [12], [5]), (9, [None], None)], "item_id long, genre_ids array<long>, keyword_ids array<long>").withColumns({"director_ids": F.array(F.lit(1)), "cast_ids": F.array(F.lit(2)), "origin_country": F.lit(None).cast("string")})
+    static = spark.createDataFrame([(1, "g:28", 100.0), (1, "g:9", 300.0), (2, "g:9", 50.0), (3, "g:9", 700.0)], "owner long, feature string, weight double")
+    both = history.union(history.withColumn("context", F.lit("global"))).distinct()
+    counts = V.interaction_counts(both, "owner", "context")
+    got = V.fused_vector(history, items, static, None, "owner", "context", "global", 3)
+    everywhere = counts.select("owner", "context").union(static.select("owner", F.lit("global"))).distinct().join(static, "owner")
+    want = V.fuse(everywhere, V.active_vector(both, items, "owner", "context"), counts, "owner", "context").filter("owner IS NOT NULL AND context IS NOT NULL")
+    rows = lambda df: sorted(((r.owner, r.context, r.feature or "", r.weight) for r in df.collect()), key=str)
+    assert rows(got) == rows(want) and (3, "global", "g:9", 700.0) in rows(got)
+    assert len(re.findall(r"Exchange hashpartitioning\(owner#\d+L?, 3\)", plan(got.groupBy("owner").count()).replace("\n", " "))) == 1
