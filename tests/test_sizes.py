@@ -65,3 +65,20 @@ def test_fused_vector_reads_its_rows_once(spark):
     rows = lambda df: sorted(((r.owner, r.context, r.feature or "", r.weight) for r in df.collect()), key=str)
     assert rows(got) == rows(want) and (3, "global", "g:9", 700.0) in rows(got)
     assert len(re.findall(r"Exchange hashpartitioning\(owner#\d+L?, 3\)", plan(got.groupBy("owner").count()).replace("\n", " "))) == 1
+
+
+def test_candidates_are_not_joined_with_their_features_one_by_one(spark, sf):
+    from tastegrid import queries as Q
+
+    Q.load()
+    for name in ("x02_thematic", "x04_base_match", "x06_item_match", "x10_hybrid_score", "x13_genre_saturation", "j26_blend_profile_scores"):
+        text = plan(Q.QUERIES[name](spark, sf))
+        assert not re.search(r"SortMergeJoin \[item_id#\d+L?\], \[item_id#\d+L?\], Inner", text), name
+        assert not re.search(r"Exchange hashpartitioning\(owner#\d+L?, item_id#", text), name
+
+
+def test_neighbours_bring_what_the_edges_hold_of_them(spark):
+    seeds = spark.createDataFrame([(1, 7), (1, 8), (2, 8)], "owner long, src_id long")
+    edges = spark.createDataFrame([(7, 20, 1, [28]), (7, 21, 2, None), (8, 20, 2, [28])], "src_id long, dst_id long, position int, genre_ids array<long>")
+    got = sorted(tuple(r) for r in R.neighbours(seeds, edges, 3, "owner").collect())
+    assert got == [(1, 20, 1, [28]), (1, 20, 2, [28]), (1, 21, 2, None), (2, 20, 2, [28])]
