@@ -91,3 +91,10 @@ def test_votes_are_counted_without_making_the_rows(spark):
     want = R.relax_votes(q, i, "owner", "lane").groupBy("owner", "relaxed").agg(F.count("*").alias("n"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.schema["n"].dataType == want.schema["n"].dataType
     assert not any("item_id" in line for line in plan(got).splitlines() if "Scan" not in line)
+
+
+def test_traits_are_dealt_before_they_widen(spark, sf):
+    from tastegrid.sources import domain as D
+
+    text = plan(D.item_traits.__wrapped__(spark, sf))
+    assert 0 <= text.index("runtime#") < text.index("Exchange hashpartitioning(item_id#")
