@@ -98,3 +98,31 @@ def test_traits_are_dealt_before_they_widen(spark, sf):
 
     text = plan(D.item_traits.__wrapped__(spark, sf))
     assert 0 <= text.index("runtime#") < text.index("Exchange hashpartitioning(item_id#")
+
+
+def test_an_owners_items_are_joined_by_owner_alone(spark, sf):
+    from tastegrid import queries as Q
+
+    Q.load()
+    for name in ("c02_true_blend", "j02_join_impressions", "j04_hide_watched", "q01_top_items"):
+        assert not re.search(r"Exchange hashpartitioning\(owner#\d+L?, (item|profile|catalog)_id#", plan(Q.QUERIES[name](spark, sf))), name
+
+
+def test_days_and_seen_items_by_owner_are_plain_joins(spark):
+    rows = spark.createDataFrame([(1, 7), (1, 8), (2, 7), (None, 7), (2, None), (3, 9)], "owner long, item_id long")
+    days = spark.createDataFrame([(1, 7, 3), (2, 9, 4), (2, None, 5), (None, 7, 6)], "owner long, item_id int, days long")
+    sort = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert sort(R.with_days(rows, days, "owner")) == sort(rows.join(days, ["owner", "item_id"], "left").select("owner", "item_id", "days"))
+    assert sort(R.without_seen(rows, days)) == sort(rows.join(days, ["owner", "item_id"], "left_anti"))
+
+
+def test_tastes_are_maps_and_tops_in_one_pass(spark):
+    vector = spark.createDataFrame([(1, "g:28", 5.0), (1, "g:12", 9.0), (1, "g:16", 9.0), (1, "k:7", 1.0), (1, "g:99", 0.0), (2, "d:1", 2.0), (3, "g:5", 1.0)], "owner long, feature string, weight double")
+    filters = spark.createDataFrame([(1, "g:28"), (1, "g:28"), (1, "k:9"), (1, "g:99"), (3, "k:4")], "owner long, feature string")
+    got = {r.owner: r for r in V.as_tastes(vector, filters, "owner", 3).collect()}
+    assert {o: r.vector for o, r in got.items()} == {r.owner: r.vector for r in V.as_maps(vector, "owner").collect()}
+    for p, c in (("g", "genres"), ("k", "keywords")):
+        want = {}
+        for r in V.top_features(vector, p, 3, "owner", filters=filters).orderBy("owner", "pos").collect():
+            want.setdefault(r.owner, []).append(int(r.feature.split(":")[1]))
+        assert {o: r[c] for o, r in got.items() if r[c]} == want
