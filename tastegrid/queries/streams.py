@@ -107,7 +107,7 @@ def s05(spark, d):
 def s15(spark, d):
     path = S.shared_dir(spark, "catalogs")
     c = discovered(spark, d).filter("pos <= 20").select("catalog_id", "item_id", "pos")
-    own = D.profile_catalogs(spark, d).join(c, "catalog_id").withColumns({"profile_id": F.lit("global"), "kids": F.col("owner") % 2 == 0})
+    own = D.profile_catalogs(spark, d).repartition(S.tasks_for(spark, f"{d}/customer.parquet", mb=0.5), "owner").join(F.broadcast(c), "catalog_id").withColumns({"profile_id": F.lit("global"), "kids": F.col("owner") % 2 == 0})
     S.write_catalogs(own, path)
     return spark.read.parquet(path).withColumn("kids", F.col("kids").cast("boolean")).groupBy("catalog_id", "kids").agg(F.countDistinct("owner").alias("owners"), F.count("*").alias("items"), F.sum("item_id").alias("total"))
 
