@@ -115,7 +115,7 @@ SELECT node, target, hops FROM r WHERE k = 1""", ("similar_items",))
 def j14(spark, d):
     s = D.similar(spark, d).filter("position <= 3")
     nodes = s.select(F.col("src_id").alias("node")).distinct()
-    return X.franchise_parent(nodes, s.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), F.col("position").alias("ord")), D.item_features(spark, d).filter("item_id % 7 = 0").select(F.col("item_id").alias("node")))
+    return X.franchise_parent(nodes, s.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), F.col("position").alias("ord")), D.item_features(spark, d).filter("item_id % 7 = 0").select(F.col("item_id").alias("node")), D.tasks(spark, d))
 
 
 BASE_SQL["mapped_titles"] = (("item_features",), """

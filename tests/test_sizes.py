@@ -126,3 +126,34 @@ def test_tastes_are_maps_and_tops_in_one_pass(spark):
         for r in V.top_features(vector, p, 3, "owner", filters=filters).orderBy("owner", "pos").collect():
             want.setdefault(r.owner, []).append(int(r.feature.split(":")[1]))
         assert {o: r[c] for o, r in got.items() if r[c]} == want
+
+
+def test_pages_are_dealt_by_owner_once(spark, sf):
+    from tastegrid import queries as Q
+
+    Q.load()
+    text = plan(Q.QUERIES["c16_post_processing"](spark, sf))
+    assert not re.search(r"Exchange hashpartitioning\((owner#\d+L?, [a-z]|catalog_id#\d+, owner#)", text)
+    assert not re.search(r"Join \[owner#\d+L?, item_id#", text)
+
+
+def test_hops_are_dealt_to_as_many_tasks_as_asked(spark):
+    from tastegrid.operators import xref as X
+
+    edges = spark.createDataFrame([(1, 2, 1), (2, 3, 1), (2, 7, 2), (3, 1, 1), (3, 14, 2)], "src long, dst long, ord int")
+    nodes = spark.createDataFrame([(1,), (2,), (3,)], "node long")
+    got = X.franchise_parent(nodes, edges, spark.createDataFrame([(7,), (14,), (7,)], "node long"), 6)
+    assert sorted(map(tuple, got.collect())) == [(1, 14, 3), (2, 14, 2), (3, 7, 3)]
+    text = plan(got)
+    assert len(re.findall(r"Exchange hashpartitioning\(at#\d+L?, 6\)", text)) >= 3 and len(re.findall(r"Exchange hashpartitioning\(node#\d+L?, 6\)", text)) == 1
+
+
+def test_catalogs_are_written_by_more_than_one_task(spark, sf, monkeypatch):
+    from tastegrid import queries as Q
+    from tastegrid.sources import tables as T
+
+    Q.load()
+    seen = []
+    monkeypatch.setattr(T, "write_catalogs", lambda df, path: (seen.append(plan(df)), df.write.mode("overwrite").partitionBy("catalog_id", "kids").parquet(path)))
+    assert Q.QUERIES["s15_write_catalogs"](spark, sf).count() == 20
+    assert "Exchange hashpartitioning(owner#" in seen[0] and not re.search(r"SortMergeJoin \[catalog_id#", seen[0])
