@@ -157,3 +157,16 @@ def test_catalogs_are_written_by_more_than_one_task(spark, sf, monkeypatch):
     monkeypatch.setattr(T, "write_catalogs", lambda df, path: (seen.append(plan(df)), df.write.mode("overwrite").partitionBy("catalog_id", "kids").parquet(path)))
     assert Q.QUERIES["s15_write_catalogs"](spark, sf).count() == 20
     assert "Exchange hashpartitioning(owner#" in seen[0] and not re.search(r"SortMergeJoin \[catalog_id#", seen[0])
+
+
+def test_neighbours_are_counted_and_met_in_as_many_tasks_as_the_purchases(spark, sf, monkeypatch):
+    from tastegrid import queries as Q
+    from tastegrid.sources import domain as D
+
+    Q.load()
+    monkeypatch.setattr(D, "tasks", lambda *_: 37)
+    own = lambda name: plan(Q.QUERIES[name](spark, sf)).split("InMemoryRelation")[0]
+    assert "Exchange hashpartitioning(dst_id#" in own("a10_similar_counts") and ", 37)" in own("a10_similar_counts")
+    assert re.search(r"Exchange hashpartitioning\(src_id#\d+L?, 37\)", own("c11_similar_to"))
+    text = plan(D.community(spark, sf))
+    assert re.search(r"Exchange hashpartitioning\(owner#\d+L?, 37\)", text) and text.count("Exchange hashpartitioning") == 1
