@@ -149,7 +149,7 @@ def c17(spark, d):
     from tastegrid.operators.ranking import interleave
 
     q = merged_queries(spark, d).select("owner", F.posexplode("queries").alias("list_idx", "q"))
-    rows = match(D.item_features(spark, d), from_maps(q, "q", F.lit("movie")), 60)
+    rows = match(D.item_features(spark, d), from_maps(q, "q", F.lit("movie")), 60, "owner")
     return interleave(rows.select("owner", "list_idx", "pos", "item_id"), "owner", limit=20).select("owner", "item_id", F.col("place").alias("pos"))
 
 

@@ -43,7 +43,8 @@ BASE_SQL["own_queries"] = ((), f"SELECT owner, catalog_id, query_idx, {_CASES} F
 
 def own_queries(spark: SparkSession, d: str) -> DataFrame:
     """owner, catalog_id, query_idx and the keys of a block: three queries in every profile's own catalog."""
-    c = D.read(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("owner"), F.lit("own").alias("catalog_id"), F.explode(F.array(*map(F.lit, range(3)))).alias("query_idx"))
+    # customer is a small file of few tasks, and a row of it becomes three wide ones: dealt first
+    c = D.read(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("owner")).repartition(D.tasks(spark, d), "owner").select("owner", F.lit("own").alias("catalog_id"), F.explode(F.array(*map(F.lit, range(3)))).alias("query_idx"))
     c = c.withColumn("k", F.col("owner") * 3 + F.col("query_idx"))
     return c.select("owner", "catalog_id", "query_idx", *(F.expr(e).cast(M.KINDS[k]).alias(k) for k, e in OWN_QUERIES.items()))
 
@@ -85,8 +86,8 @@ BASE_SQL["own_queries_kids"] = (("own_queries",), _KIDS.format(",".join(map(str,
 BASE_SQL["own_found_kids"] = (("own_queries_kids", "whole_items"), found_sql("own_queries_kids", "owner, catalog_id, query_idx", 20))
 
 
-def own_found(spark: SparkSession, d: str) -> DataFrame:
-    return M.match(whole_items(spark, d), own_queries(spark, d), 60)
+def own_found(spark: SparkSession, d: str, *by: str) -> DataFrame:
+    return M.match(whole_items(spark, d), own_queries(spark, d), 60, *by)
 
 
 @query("r01_rows", "SELECT owner, query_idx, item_id, CAST(pos AS INTEGER) AS pos FROM own_found", ("own_found",))
@@ -106,8 +107,7 @@ WITH o AS (SELECT * FROM own_found QUALIFY row_number() OVER (PARTITION BY owner
 SELECT owner, item_id, CAST(row_number() OVER (PARTITION BY owner ORDER BY query_idx, pos) AS INTEGER) AS pos FROM o QUALIFY row_number() OVER (PARTITION BY owner ORDER BY query_idx, pos) <= 100""", ("own_found",))
 def c01_own(spark, d):
     """Each profile's own catalog, its queries one after another."""
-    rows = own_found(spark, d).withColumn("catalog_id", F.concat_ws(":", "owner", "catalog_id"))
-    return C.preset_catalog(rows).select(F.substring_index("catalog_id", ":", 1).cast("long").alias("owner"), "item_id", "pos")
+    return C.preset_catalog(own_found(spark, d, "owner"), keys=("owner", "catalog_id")).select("owner", "item_id", "pos")
 
 
 @query("c09_own_catalogs", """
@@ -115,8 +115,7 @@ WITH o AS (SELECT * FROM own_found QUALIFY row_number() OVER (PARTITION BY owner
 SELECT owner, item_id, CAST(row_number() OVER (PARTITION BY owner ORDER BY pos, query_idx) AS INTEGER) AS pos FROM o QUALIFY row_number() OVER (PARTITION BY owner ORDER BY pos, query_idx) <= 20""", ("own_found",))
 def c09_own(spark, d):
     """A page of each profile's own catalog, its queries in turn."""
-    rows = own_found(spark, d).withColumn("catalog_id", F.concat_ws(":", "owner", "catalog_id"))
-    return C.multi_query_catalog(rows).select(F.substring_index("catalog_id", ":", 1).cast("long").alias("owner"), "item_id", "pos")
+    return C.multi_query_catalog(own_found(spark, d, "owner"), keys=("owner", "catalog_id")).select("owner", "item_id", "pos")
 
 
 BASE_SQL["asked_texts"] = ((), "SELECT DISTINCT lower(text) AS text FROM (SELECT split_part(p_name, ' ', CAST(p_partkey % 3 + 1 AS INTEGER)) AS text FROM part UNION ALL SELECT substr(p_name, CAST(p_partkey % 4 + 1 AS INTEGER), CAST(p_partkey % 7 + 1 AS INTEGER)) FROM part UNION ALL SELECT p_name FROM part WHERE p_partkey % 10 = 0) WHERE text <> ''")
