@@ -170,3 +170,17 @@ def test_neighbours_are_counted_and_met_in_as_many_tasks_as_the_purchases(spark,
     assert re.search(r"Exchange hashpartitioning\(src_id#\d+L?, 37\)", own("c11_similar_to"))
     text = plan(D.community(spark, sf))
     assert re.search(r"Exchange hashpartitioning\(owner#\d+L?, 37\)", text) and text.count("Exchange hashpartitioning") == 1
+
+
+def test_a_network_has_all_its_neighbours(spark):
+    from tastegrid.plans import catalogs as C
+
+    n = 90  # the last by hybrid score is the first by match
+    neighbours = spark.createDataFrame([(1, i, 1 + i // 20, i, [28], [1001]) for i in range(1, n + 1)], "owner long, item_id long, weight long, place int, genre_ids array<long>, keyword_ids array<long>")
+    top = spark.createDataFrame([(1, [12])], "owner long, top array<long>")
+    dna = spark.createDataFrame([(1, [], [], 0)], "owner long, genres array<long>, keywords array<long>, filters long")
+    days = spark.createDataFrame([], "owner long, item_id long, days long")
+    match = lambda rows: rows.withColumn("full", F.when(F.col("item_id") == n, 900.0).otherwise(1.0))
+    got = C.seed_network(neighbours, top, dna, match, days).orderBy("pos").collect()
+    assert len(got) == n and got[0].item_id == n
+    assert len(C.seed_network(neighbours, top, dna, match, days, most=80).collect()) == 80
