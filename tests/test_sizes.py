@@ -184,3 +184,63 @@ def test_a_network_has_all_its_neighbours(spark):
     got = C.seed_network(neighbours, top, dna, match, days).orderBy("pos").collect()
     assert len(got) == n and got[0].item_id == n
     assert len(C.seed_network(neighbours, top, dna, match, days, most=80).collect()) == 80
+
+
+def test_shares_of_owners_hold_every_row_once(spark, sf, monkeypatch):
+    from tastegrid.sources import domain as D
+
+    assert D.shares(spark, sf) == 1
+    monkeypatch.setattr(D, "shares", lambda spark, d: 1 if isinstance(d, D.Share) else 3)
+    seen = []
+
+    @D.in_shares
+    def bought(spark, d):
+        seen.append((d.number, D.read(spark, d, "customer").count(), D.read(spark, d, "events").count(), D.read(spark, d, "orders").count()))
+        return D.purchases(spark, d).select("owner", "item_id", "basket")
+
+    got, want = bought(spark, sf), D.purchases(spark, sf).select("owner", "item_id", "basket")
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+    whole = [D.read(spark, sf, t).count() for t in ("customer", "events", "orders")]
+    assert [s[0] for s in seen] == [0, 1, 2] and [sum(s[k] for s in seen) for k in (1, 2, 3)] == whole and all(s[1] for s in seen)
+    assert spark.conf.get(D.CLEANUP) == "false"
+
+
+def test_personal_lists_are_the_same_in_shares(spark, sf, monkeypatch):
+    from tastegrid import queries as Q
+    from tastegrid.sources import domain as D
+
+    Q.load()
+    for name in ("x13_genre_saturation", "a20_taste_drift"):
+        want = Q.QUERIES[name](spark, sf)
+        with monkeypatch.context() as m:
+            m.setattr(D, "shares", lambda spark, d: 1 if isinstance(d, D.Share) else 2)
+            got = Q.QUERIES[name](spark, sf)
+        assert got.columns == want.columns and got.count() == want.count() > 0 and got.exceptAll(want).isEmpty(), name
+        assert "Exchange" not in plan(got), name
+
+
+def test_drift_comes_from_one_pass(spark):
+    history = spark.createDataFrame([(1, "p1", 7), (1, "p2", 8), (2, "p1", 99), (5, "p1", 9)], "owner long, context string, item_id long")
+    items = spark.createDataFrame([(7, [28, 28], [5]), (8, [12], [5]), (9, [None], None)], "item_id long, genre_ids array<long>, keyword_ids array<long>").withColumns({"director_ids": F.array(F.lit(1)), "cast_ids": F.array(F.lit(2)), "origin_country": F.lit(None).cast("string")})
+    static = spark.createDataFrame([(1, "g:28", 100.0), (1, "g:9", 300.0), (2, "g:9", 50.0), (3, "g:9", 700.0), (6, "g:4", 0.0)], "owner long, feature string, weight double")
+    args = (history, items, static, None, "owner", "context", "global", 3)
+    contexts = history.select("owner", "context").union(history.select("owner", F.lit("global"))).union(static.select("owner", F.lit("global"))).distinct()
+    want = V.taste_drift(contexts.join(static, "owner"), V.fused_vector(*args), "owner", "context")
+    got = V.drift(V.fused_vector(*args, with_static=True), "owner", "context")
+    rows = lambda df: sorted(((r.owner, r.context, r.feature or "", r.static, r.final, r.pos) for r in df.collect()), key=str)
+    assert rows(got) == rows(want) and len(rows(got)) > 10
+
+
+def test_tastes_have_tops_without_filters_too(spark):
+    vector = spark.createDataFrame([(1, "a", "g:28", 5.0), (1, "a", "g:12", 9.0), (1, "a", "g:16", 9.0), (1, "b", "k:7", 1.0), (1, "a", "g:99", 0.0), (3, "a", "g:5", 1.0)], "owner long, context string, feature string, weight double")
+    filters = spark.createDataFrame([(1, "g:28"), (1, "k:9"), (3, "g:4")], "owner long, feature string")
+    got = {(r.owner, r.context): (r.genres, r.keywords, r.own_genres, r.own_keywords) for r in V.as_tastes(vector, filters, "owner", 3, "context").collect()}
+    assert got == {(1, "a"): ([28, 12, 16], [9], [12, 16, 28], []), (1, "b"): ([28], [9, 7], [], [7]), (3, "a"): ([4, 5], [], [5], [])}
+
+
+def test_a_searchs_rows_with_vectors_are_not_dealt_by_item(spark, sf):
+    from tastegrid import queries as Q
+
+    Q.load()
+    assert not re.search(r"Exchange hashpartitioning\(item_id#\d+L?, \d+\)[^\n]*\n[^\n]*\n?[^\n]*vector", plan(Q.QUERIES["x12_final_search_score"](spark, sf)))
+    assert "BroadcastHashJoin [item_id#" in plan(Q.QUERIES["x12_final_search_score"](spark, sf))
