@@ -154,3 +154,23 @@ def test_whitening(spark):
     assert whiten(df.filter("vec_id in (1, 2, 3)")).select("component").distinct().count() == 2  # three points span a plane
     with pytest.raises(Exception, match="64 bits"):
         whiten(spark.createDataFrame([(1, [1e30]), (2, [1.0])], "vec_id long, embedding array<double>")).count()
+
+
+def test_first_lists_are_merged_from_what_can_be_among_the_best():
+    import numpy as np
+
+    from tastegrid.llm import nn_descent as N
+
+    rng = np.random.default_rng(3)
+    k, node = 5, np.repeat(np.arange(40), rng.integers(1, 60, 40))
+    for kinds in (12, 1000):  # many copies of few ids, and few of many
+        ids = rng.integers(0, kinds, len(node))
+        scores = np.round(rng.normal(size=len(node)), 1).astype(np.float32)  # with ties
+        new = np.ones(len(node), bool)
+        some = N._likely(node, ids, scores, k)
+        assert N._kept(node[some], ids[some], scores[some], new[some], k).equals(N._kept(node, ids, scores, new, k))
+        assert some.sum() < len(node) if kinds == 1000 else True
+    s = np.round(rng.normal(size=(30, 50)), 1).astype(np.float32)
+    a, c = N._tops(s, 7)
+    assert a.tolist() == np.repeat(np.arange(30), 7).tolist() and len(set(zip(a.tolist(), c.tolist(), strict=True))) == 210
+    assert (np.sort(s[a, c].reshape(30, 7), axis=1) == np.sort(s, axis=1)[:, -7:]).all()
